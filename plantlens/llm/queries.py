@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plantlens.llm.common import table
+from plantlens.llm.mixing import MIX_SQL, mix
+from plantlens.llm.packing import pack
 from plantlens.llm.token_counts import token_counts
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +17,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCAB)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), VOCAB)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_hilbert_packing, op8_curriculum_mix)}
+
+#: Only the mix is plain arithmetic; tests/llm holds the others against brute force.
+ORACLE_SQL: dict[str, str] = {"op8_curriculum_mix": MIX_SQL}

@@ -87,12 +87,11 @@ class WordVocab:
         self.ranks, self.made = order.astype(np.int64), made[order]
         self.pairs = PairTable(keys[order])
 
-    def cut(self, text: str) -> tuple[list[str], list[int]]:
-        """Pre-tokens of a text, and the ids of special strings in it."""
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text in order; special strings in it stay whole (no pre-token is like one)."""
         if "<|" in text and (parts := self.cut_special.split(text))[1:]:
-            found = [self.special[p] for p in parts[1::2]]
-            return [w for p in parts[0::2] for w in self.plain(p)], found
-        return self.plain(text), []
+            return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.plain(p))]
+        return self.plain(text)
 
     def plain(self, text: str) -> list[str]:
         if not text.isascii():
@@ -147,26 +146,53 @@ def vocab(path: str) -> WordVocab:
 
 
 class Remembered(dict):
-    """Pre-token to value, filled in batches."""
+    """Pre-token to value, filled in batches; ``always`` stays."""
+
+    def __init__(self, always: dict):
+        super().__init__(always)
+        self.always = always
 
     def fill(self, wanted: set[str], work) -> None:
         new = [w for w in wanted if w not in self]
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list(wanted)
+            self.update(self.always)
+            new = [w for w in wanted if w not in self]
         if new:
             self.update(zip(new, work(new), strict=True))
 
 
 @lru_cache(maxsize=4)
 def counts_of(path: str) -> Remembered:
-    return Remembered()
+    return Remembered(dict.fromkeys(vocab(path).special, 1))
+
+
+@lru_cache(maxsize=4)
+def ids_of(path: str) -> Remembered:
+    return Remembered({w: np.array([i], dtype="<u2").tobytes() for w, i in vocab(path).special.items()})
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, as the library for the file counts them without added special tokens."""
     v, known = vocab(path), counts_of(path)
     cut = [v.cut(t) for t in texts]
-    known.fill(set().union(*(words for words, _ in cut)), lambda new: v.merged(new)[1].tolist())
+    known.fill(set().union(*cut), lambda new: v.merged(new)[1].tolist())
+    get = known.__getitem__
+    return [sum(map(get, words)) for words in cut]
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text, two bytes each (little-endian), as the library gives them without added special tokens."""
+    v, known = vocab(path), ids_of(path)
+    if v.width > 1 << 16:
+        raise ValueError("ids of this vocabulary need more than two bytes")
+
+    def work(new: list[str]) -> list[bytes]:
+        symbols, sizes = v.merged(new)
+        flat, ends = symbols.astype("<u2").tobytes(), (2 * np.cumsum(sizes)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    cut = [v.cut(t) for t in texts]
+    known.fill(set().union(*cut), work)
     get = known.__getitem__
-    return [sum(map(get, words)) + len(special) for words, special in cut]
+    return [b"".join(map(get, words)) for words in cut]

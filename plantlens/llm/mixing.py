@@ -50,13 +50,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
     return level.withColumn("target", F.when(F.col("rank") < F.col("open"), F.col("cap").cast("double")).otherwise(common * F.col("weight"))).select("skey", "source_size", "nth", "target")
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), slopes: Sequence[float] = SLOPES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row (the document), size, source_size, target, before (words of its source in front of it), taken and slope."""
-    lined = docs.select(F.struct("*").alias("row")).select(
-        "row",
-        n_words(f"row.`{text_col}`").alias("size"),
-        F.coalesce(F.concat(F.lit("s"), F.col(f"row.`{source_col}`").cast("string")), F.lit("t")).alias("skey"),
-        F.md5(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")).cast("binary")).alias("order"),
+def mix_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), slopes: Sequence[float] = SLOPES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
+    """row (the document, or its columns in ``keep``), size, source_size, target, before (words of its source in front of it), taken and slope."""
+    lined = docs.select(
+        F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"),
+        n_words(f"`{text_col}`").alias("size"),
+        F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("t")).alias("skey"),
+        F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")).alias("order"),
     ).withColumn("stretch", F.substring("order", 1, STRETCH))
     sums = lined.groupBy("skey", "stretch").agg(F.sum("size").alias("size"))
     targets = source_targets(sums, weights, most)
@@ -82,7 +82,7 @@ def position(copy) -> "Column":
 def mix(docs: DataFrame, **how) -> DataFrame:
     """One row per document, in training order: doc_id, size, source_size, target, taken and the first copy's position."""
     id_col = how.get("id_col", "doc_id")
-    return mix_plan(docs, **how).select(F.col(f"row.`{id_col}`").alias("doc_id"), "size", "source_size", "target", "taken", position(F.lit(0)).alias("position")).orderBy("position", "doc_id", "size")
+    return mix_plan(docs, keep=[id_col], **how).select(F.col(f"row.`{id_col}`").alias("doc_id"), "size", "source_size", "target", "taken", position(F.lit(0)).alias("position")).orderBy("position", "doc_id", "size")
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:

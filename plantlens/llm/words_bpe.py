@@ -19,8 +19,8 @@ import regex
 #: Lower case that the library gives and str.lower does not: it looks at no neighbours, and two newer letters.
 LOWER = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 NONE = np.int64(1) << 40
-#: Distinct pre-tokens remembered by a Python worker; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Distinct words remembered by a Python worker; beyond it only those of the present texts stay.
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -146,53 +146,84 @@ def vocab(path: str) -> WordVocab:
 
 
 class Remembered(dict):
-    """Pre-token to value, filled in batches; ``always`` stays."""
+    """Word (bytes between ASCII white space) to value; words not met before are worked out in batches."""
 
-    def __init__(self, always: dict):
-        super().__init__(always)
-        self.always = always
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
 
-    def fill(self, wanted: set[str], work) -> None:
+    def fill(self, wanted: set[bytes]) -> None:
         new = [w for w in wanted if w not in self]
         if len(self) + len(new) > REMEMBERED:
+            stay = [(w, self[w]) for w in wanted if w in self]
             self.clear()
-            self.update(self.always)
-            new = [w for w in wanted if w not in self]
+            self.update(stay)
         if new:
-            self.update(zip(new, work(new), strict=True))
+            self.update(zip(new, self.work(new), strict=True))
+
+
+def parts_of(words: list[bytes], v: WordVocab) -> tuple[list[str], list[int]]:
+    """Distinct pre-tokens of the words, and as many numbers per word as it has pre-tokens, in one flat list with -1 between words."""
+    distinct: dict[str, int] = {}
+    flat: list[int] = []
+    for w in words:
+        for p in v.cut(w.decode()):
+            flat.append(distinct.setdefault(p, len(distinct)))
+        flat.append(-1)
+    return list(distinct), flat
 
 
 @lru_cache(maxsize=4)
 def counts_of(path: str) -> Remembered:
-    return Remembered(dict.fromkeys(vocab(path).special, 1))
+    v = vocab(path)
+
+    def work(new: list[bytes]) -> list[int]:
+        distinct, flat = parts_of(new, v)
+        sizes = np.append(v.merged(distinct)[1], 0)
+        sizes[[i for i, p in enumerate(distinct) if p in v.special]] = 1
+        at = np.asarray(flat)
+        total = np.cumsum(sizes[at])[at < 0]
+        return np.diff(total, prepend=0).tolist()
+
+    return Remembered(work)
 
 
 @lru_cache(maxsize=4)
 def ids_of(path: str) -> Remembered:
-    return Remembered({w: np.array([i], dtype="<u2").tobytes() for w, i in vocab(path).special.items()})
+    v = vocab(path)
+    if v.width + len(v.special) > 1 << 16:
+        raise ValueError("ids of this vocabulary need more than two bytes")
+
+    def work(new: list[bytes]) -> list[bytes]:
+        distinct, flat = parts_of(new, v)
+        symbols, sizes = v.merged(distinct)
+        raw, ends = symbols.astype("<u2").tobytes(), (2 * np.cumsum(sizes)).tolist()
+        ids = [v.special[p].to_bytes(2, "little") if p in v.special else raw[a:b] for p, a, b in zip(distinct, [0, *ends], ends)]
+        out, own = [], []
+        for k in flat:
+            if k < 0:
+                out.append(own[0] if len(own) == 1 else b"".join(own))
+                own = []
+            else:
+                own.append(ids[k])
+        return out
+
+    return Remembered(work)
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, as the library for the file counts them without added special tokens."""
-    v, known = vocab(path), counts_of(path)
-    cut = [v.cut(t) for t in texts]
-    known.fill(set().union(*cut), lambda new: v.merged(new)[1].tolist())
+    known = counts_of(path)
+    cut = [t.encode().split() for t in texts]
+    known.fill(set().union(*cut))
     get = known.__getitem__
     return [sum(map(get, words)) for words in cut]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, two bytes each (little-endian), as the library gives them without added special tokens."""
-    v, known = vocab(path), ids_of(path)
-    if v.width > 1 << 16:
-        raise ValueError("ids of this vocabulary need more than two bytes")
-
-    def work(new: list[str]) -> list[bytes]:
-        symbols, sizes = v.merged(new)
-        flat, ends = symbols.astype("<u2").tobytes(), (2 * np.cumsum(sizes)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    cut = [v.cut(t) for t in texts]
-    known.fill(set().union(*cut), work)
+    known = ids_of(path)
+    cut = [t.encode().split() for t in texts]
+    known.fill(set().union(*cut))
     get = known.__getitem__
     return [b"".join(map(get, words)) for words in cut]

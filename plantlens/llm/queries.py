@@ -9,6 +9,7 @@ from plantlens.llm.common import table
 from plantlens.llm.mixing import MIX_SQL, mix
 from plantlens.llm.packing import pack
 from plantlens.llm.token_counts import token_counts
+from plantlens.llm.toxicity import toxicity
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,7 +26,11 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_hilbert_packing, op8_curriculum_mix)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_hilbert_packing, op8_curriculum_mix, op9_toxicity)}
 
 #: Only the mix is plain arithmetic; tests/llm holds the others against brute force.
 ORACLE_SQL: dict[str, str] = {"op8_curriculum_mix": MIX_SQL}

@@ -227,23 +227,30 @@ def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128,
     if len(set(truth)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    split = [words_of(t) or [""] for t in texts]
-    seen: dict[str, int] = {}
-    for words in split:
-        for w in set(words):
-            seen[w] = seen.get(w, 0) + 1
-    known = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:vocab_size]
+    distinct: dict[str, int] = {}
+    # document by document, so that no more than one document's words are held as text
+    own = [np.fromiter((distinct.setdefault(w, len(distinct)) for w in words_of(t) or [""]), dtype=np.int32) for t in texts]
+    seen = np.bincount(np.concatenate([np.unique(a) for a in own]), minlength=len(distinct)).tolist()
+    names = list(distinct)
+    known = sorted((w for w, n in zip(names, seen, strict=True) if n >= 3), key=lambda w: (-seen[distinct[w]], w))[:vocab_size]
     net = Net.new({w: i + 1 for i, w in enumerate(known)}, seed)
-    distinct = {w: i for i, w in enumerate(seen)}
-    bag = Bag(net, list(distinct))
-    flat = np.fromiter((distinct[w] for words in split for w in words), dtype=np.int64)
-    places, real, doc = windows([len(w) for w in split])
+    bag = Bag(net, names)
+    flat = np.concatenate(own)
+    places, real, doc = windows([len(a) for a in own])
     ids, y = flat[places], np.asarray(truth, dtype=np.float32)
+    del places, own, flat, distinct, names
     per_doc = np.bincount(doc)
     trainer = Trainer(net)
 
+    def dull() -> None:
+        """A batch of windows of one harmless word each: repetition as such is not toxic."""
+        own = rng.choice(np.flatnonzero(y[doc] == 0), size=batch)
+        word = ids[own, rng.integers(WINDOW, size=batch)]
+        trainer.step(bag, np.repeat(word[:, None], WINDOW, axis=1), np.ones((batch, WINDOW), dtype=bool), np.zeros(batch, dtype=np.float32), np.full(batch, 0.5))
+
     def fit(chosen: np.ndarray) -> None:
         chosen = rng.permutation(chosen)
+        dull()
         share = y[doc[chosen]].mean()
         for k in range(0, len(chosen), batch):
             at = chosen[k : k + batch]
@@ -258,11 +265,13 @@ def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128,
         score = np.concatenate([net.forward(table, ids[i : i + 4096], real[i : i + 4096]) for i in range(0, len(ids), 4096)])
         order = np.lexsort((-score, doc))
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        worst = order[(nth == 0) | ((nth == 1) & (y[doc[order]] == 0))]
+        worst = order[(nth == 0) | ((nth < 3) & (y[doc[order]] == 0))]
         others = rng.choice(np.flatnonzero(y[doc] == 0), size=min(len(worst) // 4, int((y[doc] == 0).sum())), replace=False)
         trainer.rate = 0.01 * (1 - k / (rounds + 1))
         for _ in range(max(1, min(30, 15_000 // len(worst)))):
             fit(np.concatenate([worst, others]))
+            for _ in range(len(worst) // batch // 8):
+                dull()
     return net
 
 

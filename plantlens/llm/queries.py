@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from plantlens.llm.common import table
 from plantlens.llm.mixing import MIX_SQL, mix
 from plantlens.llm.packing import pack
+from plantlens.llm.pii import pii
+from plantlens.llm.quality_classifier import quality_classifier
+from plantlens.llm.quality_rules import quality_rules
 from plantlens.llm.token_counts import token_counts
 from plantlens.llm.toxicity import toxicity
 
@@ -18,10 +21,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCAB)
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCAB)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -30,7 +45,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_hilbert_packing, op8_curriculum_mix, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_bayes, op4_pii, op5_hilbert_packing, op7_quality_rules, op8_curriculum_mix, op9_toxicity)}
 
 #: Only the mix is plain arithmetic; tests/llm holds the others against brute force.
 ORACLE_SQL: dict[str, str] = {"op8_curriculum_mix": MIX_SQL}

@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plantlens.llm.common import table
+from plantlens.llm.metric_join import metric_join
 from plantlens.llm.mixing import MIX_SQL, mix
+from plantlens.llm.ngram_join import ngram_join
 from plantlens.llm.packing import pack
 from plantlens.llm.pii import pii
 from plantlens.llm.quality_classifier import quality_classifier
 from plantlens.llm.quality_rules import quality_rules
 from plantlens.llm.token_counts import token_counts
 from plantlens.llm.toxicity import toxicity
+from plantlens.llm.warc import WARC_SQL, warc_round_trip
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCAB)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +40,10 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCAB)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +56,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_bayes, op4_pii, op5_hilbert_packing, op7_quality_rules, op8_curriculum_mix, op9_toxicity)}
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_quality_bayes, op4_pii, op5_hilbert_packing, op6_warc, op7_quality_rules, op8_curriculum_mix, op9_toxicity, op10_metric_join)}
 
-#: Only the mix is plain arithmetic; tests/llm holds the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_curriculum_mix": MIX_SQL}
+#: What plain SQL can say over whole tables; tests/llm holds the others against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op8_curriculum_mix": MIX_SQL}

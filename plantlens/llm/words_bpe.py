@@ -18,9 +18,9 @@ import regex
 
 #: Lower case that the library gives and str.lower does not: it looks at no neighbours, and two newer letters.
 LOWER = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
-NONE = np.int64(1) << 40
+NONE = np.int32((1 << 31) - 1)
 #: Distinct words remembered by a Python worker; beyond it only those of the present texts stay.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -56,12 +56,15 @@ class PairTable:
             left = np.delete(left, first)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row numbers of the keys, -1 for those that are no pair."""
+        """Row numbers of the keys, NONE for those that are no pair."""
         keys = keys.view(np.uint64)
-        out = np.full(len(keys), -1, dtype=np.int64)
-        for bits, factor, table in zip(self.sizes, self.factors, self.tables, strict=True):
-            at = table[(keys * factor) >> np.uint64(64 - bits)]
-            np.copyto(out, at, where=(at >= 0) & (self.keys[at] == keys))
+        at = self.tables[0][(keys * self.factors[0]) >> np.uint64(64 - self.sizes[0])]
+        out = np.where((at >= 0) & (self.keys[at] == keys), at, NONE)
+        # a key is in the second table only if its place in the first is another's
+        rest = np.flatnonzero((at >= 0) & (out == NONE))
+        if len(rest):
+            at = self.tables[1][(keys[rest] * self.factors[1]) >> np.uint64(64 - self.sizes[1])]
+            out[rest] = np.where((at >= 0) & (self.keys[at] == keys[rest]), at, NONE)
         return out
 
 
@@ -77,15 +80,15 @@ class WordVocab:
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        self.words_and_blanks = regex.compile(pattern + "| ")
         letters = byte_letters()
         self.inner = np.array([ids[c] for c in letters], dtype=np.int64)
         self.last = np.array([ids[c + end] for c in letters], dtype=np.int64)
         self.width = np.int64(len(ids))
         keys = np.array([ids[a] * len(ids) + ids[b] for a, b in model["merges"]], dtype=np.int64)
         made = np.array([ids[a + b] for a, b in model["merges"]], dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.ranks, self.made = order.astype(np.int64), made[order]
-        self.pairs = PairTable(keys[order])
+        # pairs stand in the order of their ranks
+        self.made, self.pairs = made, PairTable(keys)
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; special strings in it stay whole (no pre-token is like one)."""
@@ -93,51 +96,65 @@ class WordVocab:
             return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.plain(p))]
         return self.plain(text)
 
-    def plain(self, text: str) -> list[str]:
+    def plain(self, text: str, pattern: regex.Pattern | None = None) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             for upper, lower in LOWER:
                 text = text.replace(upper, lower)
-        return self.words.findall(text.lower())
+        return (pattern or self.words).findall(text.lower())
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All symbols left of the words, and how many each word has.
 
         The words lie one after the other in one ragged array. In each round every
         word applies its own lowest-ranked pair (the leftmost of equals), all at
-        once; a word with no pair left is set aside.
+        once; only the pairs beside a new symbol are looked up again, and a word
+        with no pair left is set aside.
         """
         raw = [w.encode() for w in words]
-        sizes = np.array([len(b) for b in raw], dtype=np.int64)
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         ends = np.cumsum(sizes)
         symbols = self.inner[flat]
         symbols[ends - 1] = self.last[flat[ends - 1]]
-        owner = np.repeat(np.arange(len(words)), sizes)
-        done_symbols, done_owner = [], []
-        while len(symbols):
-            keys = symbols[:-1] * self.width + symbols[1:]
-            at = self.pairs.find(keys)
-            ok = (at >= 0) & (owner[:-1] == owner[1:])
-            # rank and place in one number: the least is the lowest rank, then the leftmost
-            rank = np.append(np.where(ok, self.ranks[at], NONE), NONE)
-            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            lengths = np.diff(np.append(begins, len(owner)))
+        rank = np.full(len(symbols), NONE, dtype=np.int32)
+        rank[:-1] = self.pairs.find(symbols[:-1] * self.width + symbols[1:])
+        rank[ends - 1] = NONE
+        word, left = np.arange(len(words)), sizes.copy()
+        done_symbols, done_words, done_sizes = [], [], []
+        while len(word):
+            begins = np.cumsum(left) - left
             best = np.minimum.reduceat(rank, begins)
-            hit = (rank == np.repeat(best, lengths)) & (rank < NONE)
-            place = np.flatnonzero(hit)
-            place = place[np.append(True, owner[place][1:] != owner[place][:-1])] if len(place) else place
-            symbols[place] = self.made[at[place]]
+            live = best < NONE
+            if not live.all():
+                each = np.repeat(live, left)
+                done_symbols.append(symbols[~each])
+                done_words.append(word[~live])
+                done_sizes.append(left[~live])
+                symbols, rank, word, left, best = symbols[each], rank[each], word[live], left[live], best[live]
+                begins = np.cumsum(left) - left
+                if not len(word):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, left))
+            if len(hit) > len(word):
+                hit = hit[np.searchsorted(hit, begins)]
+            symbols[hit] = self.made[best]
             keep = np.ones(len(symbols), dtype=bool)
-            keep[place + 1] = False
-            live = np.repeat(best < NONE, lengths)
-            done_symbols.append(symbols[~live])
-            done_owner.append(owner[~live])
-            symbols, owner = symbols[keep & live], owner[keep & live]
-        owner = np.concatenate(done_owner) if done_owner else np.zeros(0, dtype=np.int64)
-        symbols = np.concatenate(done_symbols) if done_symbols else np.zeros(0, dtype=np.int64)
-        order = np.argsort(owner, kind="stable")
-        return symbols[order], np.bincount(owner, minlength=len(words))
+            keep[hit + 1] = False
+            symbols, rank = symbols[keep], rank[keep]
+            left = left - 1
+            at, begins = hit - np.arange(len(hit)), np.cumsum(left) - left
+            inner = at < begins + left - 1
+            rank[at[~inner]] = NONE
+            for place in (at[inner], at[at > begins] - 1):
+                rank[place] = self.pairs.find(symbols[place] * self.width + symbols[place + 1])
+        if not done_words:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        symbols, word, left = np.concatenate(done_symbols), np.concatenate(done_words), np.concatenate(done_sizes)
+        counts = np.zeros(len(words), dtype=np.int64)
+        counts[word] = left
+        order = np.argsort(np.repeat(word, left), kind="stable")
+        return symbols[order], counts
 
 
 @lru_cache(maxsize=4)
@@ -162,15 +179,18 @@ class Remembered(dict):
             self.update(zip(new, self.work(new), strict=True))
 
 
-def parts_of(words: list[bytes], v: WordVocab) -> tuple[list[str], list[int]]:
-    """Distinct pre-tokens of the words, and as many numbers per word as it has pre-tokens, in one flat list with -1 between words."""
-    distinct: dict[str, int] = {}
-    flat: list[int] = []
-    for w in words:
-        for p in v.cut(w.decode()):
-            flat.append(distinct.setdefault(p, len(distinct)))
-        flat.append(-1)
-    return list(distinct), flat
+def parts_of(words: list[bytes], v: WordVocab) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of the words, their numbers in the order of the words, and how many each word has."""
+    pieces: list[str] = []
+    if any(b"<|" in w for w in words):
+        for w in words:
+            pieces += [*v.cut(w.decode()), " "]
+    else:
+        pieces = v.plain((b" ".join(words) + b" ").decode(), v.words_and_blanks)
+    distinct: dict[str, int] = {" ": 0}
+    flat = np.fromiter((distinct.setdefault(p, len(distinct)) for p in pieces), dtype=np.int64, count=len(pieces))
+    blanks = np.flatnonzero(flat == 0)
+    return list(distinct)[1:], flat[flat > 0] - 1, np.diff(blanks, prepend=-1) - 1
 
 
 @lru_cache(maxsize=4)
@@ -178,12 +198,12 @@ def counts_of(path: str) -> Remembered:
     v = vocab(path)
 
     def work(new: list[bytes]) -> list[int]:
-        distinct, flat = parts_of(new, v)
-        sizes = np.append(v.merged(distinct)[1], 0)
+        distinct, flat, parts = parts_of(new, v)
+        sizes = v.merged(distinct)[1]
         sizes[[i for i, p in enumerate(distinct) if p in v.special]] = 1
-        at = np.asarray(flat)
-        total = np.cumsum(sizes[at])[at < 0]
-        return np.diff(total, prepend=0).tolist()
+        total = np.cumsum(np.append(0, sizes[flat]))
+        ends = np.cumsum(parts)
+        return (total[ends] - total[ends - parts]).tolist()
 
     return Remembered(work)
 
@@ -195,18 +215,17 @@ def ids_of(path: str) -> Remembered:
         raise ValueError("ids of this vocabulary need more than two bytes")
 
     def work(new: list[bytes]) -> list[bytes]:
-        distinct, flat = parts_of(new, v)
+        distinct, flat, parts = parts_of(new, v)
         symbols, sizes = v.merged(distinct)
-        raw, ends = symbols.astype("<u2").tobytes(), (2 * np.cumsum(sizes)).tolist()
-        ids = [v.special[p].to_bytes(2, "little") if p in v.special else raw[a:b] for p, a, b in zip(distinct, [0, *ends], ends)]
-        out, own = [], []
-        for k in flat:
-            if k < 0:
-                out.append(own[0] if len(own) == 1 else b"".join(own))
-                own = []
-            else:
-                own.append(ids[k])
-        return out
+        begins = np.cumsum(sizes) - sizes
+        if special := [i for i, p in enumerate(distinct) if p in v.special]:
+            begins[special], sizes[special] = len(symbols) + np.arange(len(special)), 1
+            symbols = np.append(symbols, [v.special[distinct[i]] for i in special])
+        own = sizes[flat]
+        ends = np.cumsum(own)
+        raw = symbols[np.repeat(begins[flat] - ends + own, own) + np.arange(int(own.sum()))].astype("<u2").tobytes()
+        bounds = (2 * np.append(0, ends)[np.append(0, np.cumsum(parts))]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     return Remembered(work)
 

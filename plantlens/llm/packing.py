@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import by_slice, id_text, saved
-from plantlens.llm.words_bpe import encode
+from plantlens.llm.words_bpe import encode, vocab
 
 DIMS, BITS, BUCKETS = 3, 10, 1024
 #: A cell is a stretch of the curve that one task lays out; there are at most MOST_CELLS of them.
@@ -67,7 +67,7 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def curve_places(ids: list[np.ndarray]) -> np.ndarray:
     """Place on the curve of each document's hashed bag of ids."""
     r = projection()
-    bags = np.stack([np.bincount((i.astype(np.int64) * 40503 >> 4) % BUCKETS, minlength=BUCKETS) for i in ids]).astype(np.float64)
+    bags = np.stack([np.bincount((i * 40503 >> 4) % BUCKETS, minlength=BUCKETS) for i in ids]).astype(np.float64)
     points = bags @ r / np.maximum(np.sqrt((bags * bags).sum(axis=1)), 1)[:, None]
     grid = np.linspace(-3, 3, 1 << BITS)
     even = np.array([NormalDist().cdf(g) for g in grid])
@@ -77,11 +77,10 @@ def curve_places(ids: list[np.ndarray]) -> np.ndarray:
 
 def tokenized(docs: DataFrame, vocab_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids (two bytes each), n and place on the curve, with a hash of the id in the low bits."""
-    end = np.array([end_id], dtype="<u2").tobytes()
 
     def work(rows, texts):
-        raw = [b + end for b in encode(texts, vocab_path)]
-        ids = [np.frombuffer(b, dtype="<u2") for b in raw]
+        ids = [np.append(i, end_id) for i in encode(texts, vocab_path)]
+        raw = [i.astype("<u2").tobytes() for i in ids]
         place = np.concatenate([curve_places(ids[k : k + 512]) for k in range(0, len(ids), 512)])
         return {"doc_id": rows.column(0), "ids": pa.array(raw, type=pa.binary()), "n": [len(i) for i in ids], "place": place}
 
@@ -91,7 +90,9 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int, id_col: str, text_c
 
 def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
+    spark, v = docs.sparkSession, vocab(vocab_path)
+    if max(int(v.width) + len(v.special), end_id + 1) > 1 << 16:
+        raise ValueError("ids of this vocabulary need more than two bytes")
     ready = saved(tokenized(docs, vocab_path, end_id, id_col, text_col))
     total = ready.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = int(min(MOST_CELLS, total // CELL_TOKENS + 1))

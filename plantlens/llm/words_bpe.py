@@ -16,11 +16,13 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from plantlens.llm.word_hash import word_hashes, words_of_each
+
 #: Lower case that the library gives and str.lower does not: it looks at no neighbours, and two newer letters.
 LOWER = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 NONE = np.int32((1 << 31) - 1)
 #: Distinct words remembered by a Python worker; beyond it only those of the present texts stay.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -103,24 +105,21 @@ class WordVocab:
                 text = text.replace(upper, lower)
         return (pattern or self.words).findall(text.lower())
 
-    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All symbols left of the words, and how many each word has.
+    def merged(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols left of words (their bytes in a row, and how many each has), and how many symbols each word has.
 
         The words lie one after the other in one ragged array. In each round every
         word applies its own lowest-ranked pair (the leftmost of equals), all at
         once; only the pairs beside a new symbol are looked up again, and a word
         with no pair left is set aside.
         """
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         ends = np.cumsum(sizes)
         symbols = self.inner[flat]
         symbols[ends - 1] = self.last[flat[ends - 1]]
         rank = np.full(len(symbols), NONE, dtype=np.int32)
         rank[:-1] = self.pairs.find(symbols[:-1] * self.width + symbols[1:])
         rank[ends - 1] = NONE
-        word, left = np.arange(len(words)), sizes.copy()
+        word, left = np.arange(len(sizes)), sizes.copy()
         done_symbols, done_words, done_sizes = [], [], []
         while len(word):
             begins = np.cumsum(left) - left
@@ -151,7 +150,7 @@ class WordVocab:
         if not done_words:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         symbols, word, left = np.concatenate(done_symbols), np.concatenate(done_words), np.concatenate(done_sizes)
-        counts = np.zeros(len(words), dtype=np.int64)
+        counts = np.zeros(len(sizes), dtype=np.int64)
         counts[word] = left
         order = np.argsort(np.repeat(word, left), kind="stable")
         return symbols[order], counts
@@ -162,87 +161,84 @@ def vocab(path: str) -> WordVocab:
     return WordVocab(path)
 
 
-class Remembered(dict):
-    """Word (bytes between ASCII white space) to value; words not met before are worked out in batches."""
-
-    def __init__(self, work):
-        super().__init__()
-        self.work = work
-
-    def fill(self, wanted: set[bytes]) -> None:
-        new = [w for w in wanted if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            stay = [(w, self[w]) for w in wanted if w in self]
-            self.clear()
-            self.update(stay)
-        if new:
-            self.update(zip(new, self.work(new), strict=True))
-
-
-def parts_of(words: list[bytes], v: WordVocab) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pre-tokens of the words, their numbers in the order of the words, and how many each word has."""
-    pieces: list[str] = []
-    if any(b"<|" in w for w in words):
-        for w in words:
-            pieces += [*v.cut(w.decode()), " "]
-    else:
-        pieces = v.plain((b" ".join(words) + b" ").decode(), v.words_and_blanks)
-    distinct: dict[str, int] = {" ": 0}
-    flat = np.fromiter((distinct.setdefault(p, len(distinct)) for p in pieces), dtype=np.int64, count=len(pieces))
-    blanks = np.flatnonzero(flat == 0)
-    return list(distinct)[1:], flat[flat > 0] - 1, np.diff(blanks, prepend=-1) - 1
+class Remembered:
+    """Ids of the words (between ASCII white space) met so far, by their hashes in order; ``flat`` has them in a row."""
+
+    def __init__(self, v: WordVocab):
+        self.v = v
+        self.keys, self.begins, self.sizes, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def work_out(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in a row, and how many each has. They are cut and merged together."""
+        v, joined = self.v, b" ".join(words) + b" "
+        if b"<|" in joined:
+            pieces = [p for w in words for p in (*v.cut(w.decode()), " ")]
+        else:
+            pieces = v.plain(joined.decode(), v.words_and_blanks)
+        data = np.frombuffer("\n".join(pieces).encode(), dtype=np.uint8)
+        ends = np.append(np.flatnonzero(data == 10), len(data))
+        begins = np.append(0, ends[:-1] + 1)
+        blank = (ends - begins == 1) & (data[begins] == 32)
+        symbols, sizes = v.merged(data[(data != 10) & (data != 32)], (ends - begins)[~blank])
+        if b"<|" in joined:
+            own = [p for p in pieces if p != " "]
+            ids = [[v.special[p]] if p in v.special else part for p, part in zip(own, np.split(symbols, np.cumsum(sizes)[:-1]), strict=True)]
+            symbols, sizes = np.concatenate(ids), np.array(list(map(len, ids)))
+        per_word = np.append(0, np.cumsum(sizes))[np.cumsum(~blank)[blank]]
+        return symbols, np.diff(per_word, prepend=0)
+
+    def look_up(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word of a text begins, and where its ids begin in ``flat`` and how many they are."""
+        hashes, starts, stops = word_hashes(raw)
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if not known.all():
+            if len(self.keys) + (~known).sum() > REMEMBERED:
+                # only the words of this text stay
+                stay = at[known]
+                kept = self.sizes[stay]
+                self.flat = self.flat[spread(self.begins[stay], kept)]
+                self.keys, self.sizes, self.begins = self.keys[stay], kept, np.cumsum(kept) - kept
+            new = first[~known]
+            ids, sizes = self.work_out([raw[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, distinct[~known])
+            self.keys = np.insert(self.keys, place, distinct[~known])
+            self.begins = np.insert(self.begins, place, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, place, sizes)
+            self.flat = np.concatenate([self.flat, ids])
+            at = np.searchsorted(self.keys, distinct)
+        return starts, self.begins[at][back], self.sizes[at][back]
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of ragged parts, one part after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @lru_cache(maxsize=4)
-def counts_of(path: str) -> Remembered:
-    v = vocab(path)
+def remembered(path: str) -> Remembered:
+    return Remembered(vocab(path))
 
-    def work(new: list[bytes]) -> list[int]:
-        distinct, flat, parts = parts_of(new, v)
-        sizes = v.merged(distinct)[1]
-        sizes[[i for i, p in enumerate(distinct) if p in v.special]] = 1
-        total = np.cumsum(np.append(0, sizes[flat]))
-        ends = np.cumsum(parts)
-        return (total[ends] - total[ends - parts]).tolist()
 
-    return Remembered(work)
+def looked_up(texts: list[str], path: str) -> tuple[Remembered, np.ndarray, np.ndarray, np.ndarray]:
+    """The memory, the words of each text, and the places and sizes of the words' ids in it."""
+    memory, raw = remembered(path), [t.encode() for t in texts]
+    starts, begins, sizes = memory.look_up(b"\n".join(raw))
+    return memory, words_of_each(starts, list(map(len, raw))), begins, sizes
 
 
-@lru_cache(maxsize=4)
-def ids_of(path: str) -> Remembered:
-    v = vocab(path)
-    if v.width + len(v.special) > 1 << 16:
-        raise ValueError("ids of this vocabulary need more than two bytes")
-
-    def work(new: list[bytes]) -> list[bytes]:
-        distinct, flat, parts = parts_of(new, v)
-        symbols, sizes = v.merged(distinct)
-        begins = np.cumsum(sizes) - sizes
-        if special := [i for i, p in enumerate(distinct) if p in v.special]:
-            begins[special], sizes[special] = len(symbols) + np.arange(len(special)), 1
-            symbols = np.append(symbols, [v.special[distinct[i]] for i in special])
-        own = sizes[flat]
-        ends = np.cumsum(own)
-        raw = symbols[np.repeat(begins[flat] - ends + own, own) + np.arange(int(own.sum()))].astype("<u2").tobytes()
-        bounds = (2 * np.append(0, ends)[np.append(0, np.cumsum(parts))]).tolist()
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    return Remembered(work)
-
-
-def count_tokens(texts: list[str], path: str) -> list[int]:
+def count_tokens(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text, as the library for the file counts them without added special tokens."""
-    known = counts_of(path)
-    cut = [t.encode().split() for t in texts]
-    known.fill(set().union(*cut))
-    get = known.__getitem__
-    return [sum(map(get, words)) for words in cut]
-
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, two bytes each (little-endian), as the library gives them without added special tokens."""
-    known = ids_of(path)
-    cut = [t.encode().split() for t in texts]
-    known.fill(set().union(*cut))
-    get = known.__getitem__
-    return [b"".join(map(get, words)) for words in cut]
+    _, words, _, sizes = looked_up(texts, path)
+    return np.diff(np.append(0, np.cumsum(sizes))[np.cumsum(words)], prepend=0)
+
+
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of each text, as the library gives them without added special tokens."""
+    memory, words, begins, sizes = looked_up(texts, path)
+    ids = memory.flat[spread(begins, sizes)]
+    return np.split(ids, np.append(0, np.cumsum(sizes))[np.cumsum(words)][:-1]) if texts else []

@@ -35,52 +35,43 @@ from pyspark.sql import functions as F
 
 from plantlens.llm.common import by_slice, id_text, saved
 from plantlens.llm.components import components
+from plantlens.llm.word_hash import MULTIPLIER, mixed, word_hashes
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: One in so many occurrences is counted; shingles counted SEEN times or more are frequent, LISTED of them at most.
 DRAW, SEEN, LISTED = 16, 4, 1_000_000
-#: Bits of the filter that spares texts which no candidate needs.
-FILTER_WORDS = 1 << 18
-REMEMBERED = 400_000
-_words: dict[bytes, int] = {}
+#: Words of the filter that spares texts which no candidate needs, and bits of the one in front of the list of frequent shingles.
+FILTER_WORDS, LIST_BITS = 1 << 18, 24
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (uint64) of each text."""
-    split = [t.encode().lower().split() for t in texts]
-    new = set().union(*split).difference(_words)
-    if len(_words) + len(new) > REMEMBERED:
-        _words.clear()
-        new = set().union(*split)
-    _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    get = _words.__getitem__
-    flat = np.fromiter((h for words in split for h in map(get, words)), dtype=np.uint64)
+def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingle hashes (uint64) of the texts in order, with repeats, and how many each text has."""
+    raw = [t.encode().lower() for t in texts]
+    flat, starts, _ = word_hashes(b"\n".join(raw))
+    begins = np.cumsum([0, *(len(r) + 1 for r in raw[:-1])]) if raw else np.zeros(0, dtype=np.int64)
+    first = np.searchsorted(starts, begins)
+    words = np.diff(np.append(first, len(starts)))
     n = len(flat)
     rolled = np.zeros(max(n - k + 1, 0), dtype=np.uint64)
     for j in range(k):
         rolled = rolled * MULTIPLIER + flat[j : n - k + 1 + j]
-    rolled = mixed(rolled)
-    out, at = [], 0
-    for words in split:
-        m = len(words)
-        if m >= k:
-            out.append(np.unique(rolled[at : at + m - k + 1]))
-        elif m:
-            whole = np.array([m], dtype=np.uint64)
-            for j in range(m):
-                whole = whole * MULTIPLIER + flat[at + j : at + j + 1]
-            out.append(mixed(whole))
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
-        at += m
-    return out
+    counts = np.where(words >= k, words - k + 1, np.minimum(words, 1))
+    out = np.empty(int(counts.sum()), dtype=np.uint64)
+    ends = np.cumsum(counts)
+    long = np.repeat(words >= k, counts)
+    inner = np.arange(len(out)) - np.repeat(ends - counts, counts) + np.repeat(first, counts)
+    out[long] = rolled[inner[long]]
+    for d in np.flatnonzero((words > 0) & (words < k)):
+        whole = np.array([words[d]], dtype=np.uint64)
+        for j in range(words[d]):
+            whole = whole * MULTIPLIER + flat[first[d] + j : first[d] + j + 1]
+        out[ends[d] - 1 : ends[d]] = whole
+    return mixed(out), counts
+
+
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (uint64) of each text."""
+    flat, counts = shingles(texts, k)
+    return [np.unique(s) for s in np.split(flat, np.cumsum(counts)[:-1])] if texts else []
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -89,20 +80,25 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, type=pa.int32()), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64), type=pa.int64()))
 
 
-def frequent(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles (60 bits, sorted) and the level of each: the number of binary digits of its estimated count over 64."""
+def frequent(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent shingles (60 bits, sorted), the level of each (binary digits of its estimated count over 64), and which leading bits occur."""
 
     def work(rows, texts):
-        drawn = []
-        for doc, s in zip(rows.column(0).to_pylist(), shingle_sets(texts, k), strict=True):
-            seed = np.uint64(xxhash.xxh3_64_intdigest(str(doc)))
-            drawn.append(s[mixed(s ^ seed) % np.uint64(DRAW) == 0])
-        return {"s": pa.array((np.concatenate(drawn) >> np.uint64(4)).astype(np.int64))}
+        flat, counts = shingles(texts, k)
+        seeds = np.array([xxhash.xxh3_64_intdigest(str(d)) for d in rows.column(0).to_pylist()], dtype=np.uint64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        drawn = np.flatnonzero(mixed(flat ^ seeds[owner]) % np.uint64(DRAW) == 0)
+        # once for each document
+        drawn = drawn[np.unique(np.stack([owner[drawn].astype(np.uint64), flat[drawn]], axis=1), axis=0, return_index=True)[1]]
+        return {"s": pa.array((flat[drawn] >> np.uint64(4)).astype(np.int64))}
 
     counted = by_slice(own, "text", "s long", work).groupBy("s").count().where(F.col("count") >= SEEN)
     top = counted.orderBy(F.desc("count"), "s").limit(LISTED).toPandas().sort_values("s")
     level = np.clip(np.log2(top["count"].to_numpy(dtype=np.float64) * DRAW / 64).astype(np.int64) + 1, 1, 15)
-    return top["s"].to_numpy(dtype=np.uint64), level.astype(np.uint64)
+    names = top["s"].to_numpy(dtype=np.uint64)
+    maybe = np.zeros(1 << LIST_BITS, dtype=bool)
+    maybe[names >> np.uint64(60 - LIST_BITS)] = True
+    return names, level.astype(np.uint64), maybe
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -114,19 +110,21 @@ def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
     listed = own.sparkSession.sparkContext.broadcast(frequent(own, k))
 
     def work(rows, texts):
-        names, levels = listed.value
+        names, levels, maybe = listed.value
         sets = shingle_sets(texts, k)
         out = []
         for s in sets:
             short = s >> np.uint64(4)
             level = np.zeros(len(s), dtype=np.uint64)
-            if len(names) and len(s):
-                at = np.minimum(np.searchsorted(names, short), len(names) - 1)
-                level = np.where(names[at] == short, levels[at], level)
+            asked = np.flatnonzero(maybe[short >> np.uint64(60 - LIST_BITS)])
+            if len(asked):
+                at = np.minimum(np.searchsorted(names, short[asked]), len(names) - 1)
+                level[asked] = np.where(names[at] == short[asked], levels[at], np.uint64(0))
             token = (short << np.uint64(4)) | level
-            if len(s):
-                token = token[np.lexsort((token, level))][: prefix_size(len(s), percent)]
-            out.append(token)
+            # rare ones first; the hashes of one level are in order already
+            if level.any():
+                token = token[np.argsort(level, kind="stable")]
+            out.append(token[: prefix_size(len(s), percent)] if len(s) else token)
         return {"doc_id": rows.column(0), "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "prefix_key": [xxhash.xxh3_128_hexdigest(t.tobytes()) for t in out], "prefix": lists(out)}
 
     return by_slice(own, "text", "doc_id long, n long, digest string, prefix_key string, prefix array<long>", work)
@@ -154,8 +152,9 @@ def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return by_slice(asked, "text", "node long, n long, shingles binary", work).join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a saved table whose sets are similar enough."""
+    sets = saved(needed_sets(own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k))
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
     joined = pairs.join(first, "a").join(second, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
@@ -186,15 +185,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     level = F.col("token").bitwiseAND(F.lit(15))
     salt = F.pmod(F.xxhash64("gid"), F.call_function("shiftleft", F.lit(1), level.cast("int")).cast("long"))
     block = Window.partitionBy("token", "salt")
-    shared = entries.withColumn("salt", F.when(level > 0, salt).otherwise(0)).withColumns({"centre": F.min("gid").over(block), "many": F.count("*").over(block)})
-    shared = saved(shared.where((F.col("many") > 1) | (level > 0)).select("token", "gid", "n", "pos", "centre"))
+    shared = entries.withColumn("salt", F.when(level > 0, salt).otherwise(0)).withColumns({"c": F.min(F.struct("gid", "n", "pos")).over(block), "many": F.count("*").over(block)})
+    shared = saved(shared.where((F.col("many") > 1) | (level > 0)).select("token", "gid", "n", "pos", "c"))
 
     # first round: each group against the first of its block, each member against the first of its group
-    tries = shared.where("gid <> centre").select("centre", "gid").distinct().join(members.select("gid", "node"), "gid").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    able = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n) AND (100 + {percent}) * least(n - pos, c.n - c.pos) >= {percent} * (n + c.n)"
+    tries = shared.where("gid <> c.gid").where(able).select(F.col("c.gid").alias("centre"), "gid").distinct().join(members.select("gid", "node"), "gid").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     tries = saved(tries.union(members.where("node <> gid").select("gid", "node")).distinct())
-    needed = shared.select("gid").distinct().join(members.select("gid", "node"), "gid").select("node").union(members.where("members > 1").select("node")).distinct()
-    sets = saved(needed_sets(own, needed, k))
-    links = saved(verified(tries, sets, percent))
+    links = saved(verified(tries, own, k, percent))
     known = components(links)
 
     # second round: what shares a block but no component
@@ -210,7 +208,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     )
     across = rows.alias("x").join(rows.alias("y"), near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     more = across.union(within).distinct().join(tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = saved(verified(saved(more), sets, percent))
+    late = saved(verified(saved(more), own, k, percent))
     if not late.isEmpty():
         known = components(links.union(late))
     of_digest = classes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -74,3 +74,17 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def n_words(text) -> "Column":
     """Number of words of a text, 0 for null; stays inside generated JVM code."""
     return F.coalesce(F.size(F.expr(f"regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")), F.lit(0)).cast("long")
+
+
+def rewritten(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch]) -> DataFrame:
+    """``mapInArrow`` that keeps the columns: ``work(rows, texts)`` returns rows of the same schema, for slices of bounded size."""
+    kinds, out, at = df.schema, to_arrow_schema(df.schema), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for i, j in slices(texts):
+                got = work(batch.slice(i, j - i), texts[i:j])
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(got.columns, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, kinds)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_slice, id_text, saved
+from plantlens.llm.common import by_slice, id_text, rewritten, saved
 
 KINDS = ("email", "ip", "card", "phone")
 COUNTS = tuple(f"n_{k}" for k in KINDS)
@@ -244,3 +244,20 @@ def redacted(text: str, accepted: dict[str, bool], mark: Callable[[str], str] =
         out += [text[last:a], mark(KINDS[kind])]
         last = b
     return "".join([*out, text[last:]]) if out else text
+
+
+def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The documents with their personal data masked; ``chars_col``, where there is one, follows the text."""
+    accepted = docs.sparkSession.sparkContext.broadcast(fitted(saved(found_candidates(docs, id_col, text_col).select("pattern"))).accepted)
+    at, size_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def work(rows, texts):
+        columns = list(rows.columns)
+        new = [redacted(t, accepted.value) for t in texts]
+        sizes = None if size_at is None else columns[size_at].to_pylist()
+        if sizes is not None:
+            columns[size_at] = pa.array([n if a == b or n is None else len(b) for n, a, b in zip(sizes, texts, new, strict=True)], type=pa.int64())
+        columns[at] = pa.array([None if old is None else t for old, t in zip(columns[at].to_pylist(), new, strict=True)], type=pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+
+    return rewritten(docs, text_col, work)

@@ -26,10 +26,11 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_slice, id_text
+from plantlens.llm.common import by_slice, id_text, rewritten
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of a window, and how far the next one starts behind it.
@@ -334,3 +335,9 @@ def scoring(spark, net: Net | None):
         return own[0](texts)
 
     return score
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns."""
+    score = scoring(docs.sparkSession, trained(docs, labels, id_col=id_col, text_col=text_col, **sample))
+    return rewritten(docs, text_col, lambda rows, texts: rows.filter(pa.array(score(texts) < threshold)))

@@ -1,4 +1,332 @@
-"""Queries over the testdata tables and their DuckDB twins."""
+"""Queries over the testdata and their DuckDB twins.
 
-QUERIES: dict = {}
+All read whole tables. Times are added up in whole microseconds and divided
+once, so both engines give the same doubles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plantlens.functions.grammar import html_escape, microseconds
+from plantlens.operators import alarms, classify, coverage, metrics, segments
+from plantlens.operators.grid import MICRO, dense_grid
+from plantlens.plans.plant import CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, events, replayed
+from plantlens.schema import Shifts
+from plantlens.sources import generator, schedule, truth
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query with its twin."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def of(m: DataFrame, kind: str) -> DataFrame:
+    return m.where(F.col("type") == kind)
+
+
+def machines(m: DataFrame) -> DataFrame:
+    return m.select("machine").distinct().withColumn("ideal_cycle_s", F.lit(CYCLE_S))
+
+
+SEG = """seg AS (
+  SELECT machine, state, reason_code, us, lead(us) OVER (PARTITION BY machine ORDER BY us, log_id) AS next FROM m WHERE type = 'STATE'
+), cut AS (
+  SELECT s.machine, k, state, reason_code, least(coalesce(next, (SELECT max(e) FROM shifts)), e) - greatest(us, s) AS us
+  FROM seg s JOIN shifts ON us < e AND coalesce(next, (SELECT max(e) FROM shifts)) > s
+  WHERE least(coalesce(next, (SELECT max(e) FROM shifts)), e) > greatest(us, s)
+)"""
+STATE_US = "coalesce(sum(CASE WHEN state = '{}' THEN us ELSE 0 END), 0)::BIGINT"
+
+
+@query(f"WITH {M} SELECT machine, state, reason_code, log_id, us AS start_us, lead(us) OVER (PARTITION BY machine ORDER BY us, log_id) AS next_us FROM m WHERE type = 'STATE'")
+def q_state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segments(of(events(spark, sf_dir), "STATE"))
+
+
+@query(f"WITH {M}, {GRID}, {SEG} SELECT machine, k, {STATE_US.format('RUN')} / 1e6 AS run_seconds, {STATE_US.format('DOWN')} / 1e6 AS down_seconds, {STATE_US.format('IDLE')} / 1e6 AS idle_seconds FROM cut GROUP BY machine, k")
+def q_state_seconds_by_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segments.state_seconds(segments.segments(of(events(spark, sf_dir), "STATE")), SHIFTS)
+    return found.select("machine", "k", *((F.col(f"{s}_us") / MICRO).alias(f"{s}_seconds") for s in ("run", "down", "idle")))
+
+
+@query(f"WITH {M}, {GRID} SELECT machine, k, sum(good_delta)::BIGINT AS good, sum(reject_delta)::BIGINT AS reject FROM m JOIN shifts ON us >= s AND us < e WHERE type = 'COUNT' GROUP BY machine, k")
+def q_counts_by_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.counts(of(events(spark, sf_dir), "COUNT"), SHIFTS)
+
+
+@query(f"WITH {M}, {GRID}, {SEG} SELECT machine, k, reason_code, sum(us)::BIGINT / 1e6 AS seconds FROM cut WHERE state = 'DOWN' GROUP BY machine, k, reason_code")
+def q_downtime_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segments.downtime_pareto(segments.segments(of(events(spark, sf_dir), "STATE")), SHIFTS)
+    return found.select("machine", "k", "reason_code", (F.col("us") / MICRO).alias("seconds")).orderBy("machine", "k", F.desc("seconds"), "reason_code")
+
+
+@query(f"WITH {M}, {GRID} SELECT machine, k, reason_code, count(*) AS n FROM m JOIN shifts ON us >= s AND us < e WHERE type = 'STATE' AND state = 'DOWN' GROUP BY machine, k, reason_code")
+def q_downtime_event_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.downtime_events(of(events(spark, sf_dir), "STATE"), SHIFTS)
+
+
+@query(f"WITH {M} SELECT machine, ts FROM m WHERE type = 'STATE' UNION SELECT machine, ts FROM m WHERE type = 'COUNT' UNION SELECT machine, ts FROM m WHERE type = 'ALARM' UNION SELECT machine, ts FROM m WHERE type = 'HEARTBEAT'")
+def q_observed_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("machine", "ts").distinct()
+
+
+COV = f"""obs AS (
+  SELECT machine, us, lead(us) OVER (PARTITION BY machine ORDER BY us) AS next FROM (SELECT DISTINCT machine, us FROM m)
+), cov AS (
+  SELECT g.machine, g.k, coalesce(min(abs(us - s)) <= {GAP_S * MICRO}, false) AS start_ok, coalesce(min(abs(us - e)) <= {GAP_S * MICRO}, false) AS end_ok,
+         coalesce(max(CASE WHEN next > s AND us < e THEN next - us END), 0) AS max_gap_us,
+         coalesce(min(CASE WHEN next > s AND us < e THEN us END) FILTER (next - us = top), any_value(s)) AS gap_from_us,
+         coalesce(min(CASE WHEN next > s AND us < e THEN next END) FILTER (next - us = top), any_value(s)) AS gap_to_us,
+         count(*) FILTER (us BETWEEN s AND e) AS n_observations
+  FROM (SELECT g.*, o.us, o.next, max(CASE WHEN o.next > g.s AND o.us < g.e THEN o.next - o.us END) OVER (PARTITION BY g.machine, g.k) AS top FROM grid g LEFT JOIN obs o ON o.machine = g.machine) g
+  GROUP BY g.machine, g.k
+)"""
+
+
+@query(f"WITH {M}, {GRID}, {COV} SELECT machine, k, start_ok, end_ok, max_gap_us <= {GAP_S * MICRO} AS gaps_ok, max_gap_us, gap_from_us, gap_to_us, n_observations FROM cov")
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return coverage.coverage(m, dense_grid(machines(m), SHIFTS), SHIFTS, GAP_S)
+
+
+@query(f"WITH {M}, {GRID} SELECT g.machine, k, coalesce(bool_or(us <= s), false) AS state_seen FROM grid g LEFT JOIN m ON m.machine = g.machine AND m.type = 'STATE' GROUP BY g.machine, k")
+def q_state_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return coverage.state_evidence(of(m, "STATE"), dense_grid(machines(m), SHIFTS))
+
+
+FULL = f"""{M}, {GRID}, {SEG}, {COV}, sec AS (
+  SELECT machine, k, {STATE_US.format('RUN')} AS run, {STATE_US.format('DOWN')} AS down, {STATE_US.format('IDLE')} AS idle FROM cut GROUP BY machine, k
+), cnt AS (
+  SELECT machine, k, sum(good_delta)::BIGINT AS good, sum(reject_delta)::BIGINT AS reject FROM m JOIN shifts ON us >= s AND us < e WHERE type = 'COUNT' GROUP BY machine, k
+), ev AS (
+  SELECT g.machine, g.k, coalesce((SELECT min(us) FROM m WHERE m.machine = g.machine AND type = 'STATE') <= g.s, false) AS seen FROM grid g
+), cell AS (
+  SELECT g.machine, g.k, g.shift, coalesce(run, 0) AS run, coalesce(down, 0) AS down, coalesce(idle, 0) AS idle, coalesce(good, 0) AS good, coalesce(reject, 0) AS reject, start_ok, end_ok,
+         max_gap_us <= {GAP_S * MICRO} AS gaps_ok, max_gap_us, gap_from_us, gap_to_us, n_observations, seen AND abs(coalesce(run, 0) + coalesce(down, 0) + coalesce(idle, 0) - 28800000000) < 1000000 AS state_ok
+  FROM grid g LEFT JOIN sec USING (machine, k) LEFT JOIN cnt USING (machine, k) JOIN cov USING (machine, k) JOIN ev USING (machine, k)
+), full_ AS (
+  SELECT *, state_ok AND start_ok AND end_ok AND gaps_ok AS complete FROM cell
+)"""
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return metrics.effectiveness(of(m, "STATE"), of(m, "COUNT"), m, machines(m), SHIFTS, GAP_S)
+
+
+@query(
+    f"""WITH {FULL}, r AS (
+  SELECT machine, k, complete, run / 1e6 AS run_seconds, down / 1e6 AS down_seconds, idle / 1e6 AS idle_seconds, good, reject,
+         CASE WHEN complete THEN run / 1e6 / 28800.0::DOUBLE END AS availability,
+         CASE WHEN complete THEN CASE WHEN run > 0 THEN (good + reject) * {CYCLE_S}::DOUBLE / (run / 1e6) ELSE 0 END END AS performance,
+         CASE WHEN complete THEN CASE WHEN good + reject > 0 THEN good::DOUBLE / (good + reject) ELSE 0 END END AS quality
+  FROM full_
+) SELECT *, availability * performance * quality AS oee FROM r"""
+)
+def q_oee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir).select("machine", "k", "complete", "run_seconds", "down_seconds", "idle_seconds", "good", "reject", "availability", "performance", "quality", "oee")
+
+
+@query(f"WITH {FULL} SELECT machine, bool_and(complete) AS all_complete, count(*) FILTER (NOT complete) AS n_incomplete, count(*) AS n FROM full_ GROUP BY machine")
+def q_completeness_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    rows = metrics.completeness(of(m, "STATE"), m, dense_grid(machines(m), SHIFTS), SHIFTS, GAP_S)
+    return rows.groupBy("machine").agg(F.bool_and("complete").alias("all_complete"), F.count_if(~F.col("complete")).alias("n_incomplete"), F.count("*").alias("n"))
+
+
+ISO = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%S')"
+
+
+@query(
+    f"""WITH {FULL} SELECT machine, shift, start_ok, end_ok, gaps_ok, state_ok, max_gap_us / 1e6 AS max_gap_seconds, n_observations, concat_ws(' ',
+  CASE WHEN NOT state_ok THEN 'unknown machine state for ' || machine || ' in part of the ' || shift || ' window - no STATE event at or before the window start, or STATE segments do not cover the whole window; heartbeats prove reporting, not machine state.' END,
+  CASE WHEN NOT start_ok THEN 'no observed telemetry (STATE/COUNT/ALARM/HEARTBEAT) within 7200s of the ' || shift || ' window start for ' || machine || ' - coverage at the start of the window is unproven.' END,
+  CASE WHEN NOT end_ok THEN 'no observed telemetry within 7200s of the ' || shift || ' window end for ' || machine || ' - no terminal observation proves the machine was still reporting through the close of the window (a single early message extrapolated forward is not evidence).' END,
+  CASE WHEN NOT gaps_ok THEN 'an inter-message gap of ' || round(max_gap_us / 1e6)::BIGINT || 's (from ' || {ISO.format('gap_from_us')} || ' to ' || {ISO.format('gap_to_us')} || ') inside the window exceeds the 7200s coverage gap - telemetry coverage is broken here, regardless of what state was last reported.' END) AS reason
+FROM full_ WHERE NOT complete"""
+)
+def q_incomplete_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grid(spark, sf_dir).where(~F.col("complete"))
+    return rows.select("machine", "shift", "start_ok", "end_ok", "gaps_ok", "state_ok", (F.col("max_gap_us") / MICRO).alias("max_gap_seconds"), "n_observations", F.col("completeness_reason").alias("reason"))
+
+
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the plant's shifts: each machine over the span from its first event to its last, with a cycle time."""
+    m = events(spark, sf_dir)
+    return m.groupBy("machine").agg(F.min("ts").alias("start"), F.max("ts").alias("end")).withColumn("ideal_cycle_s", F.lit(977.5))
+
+
+SPAN = "span AS (SELECT machine, min(us) AS a, max(us) AS b FROM m GROUP BY machine)"
+
+
+@query(f"WITH {M}, {SPAN} SELECT machine, make_timestamp(a + k * 977500000) AS ts FROM (SELECT *, unnest(range(1, (b - a - 1) // 977500000 + 1)) AS k FROM span)")
+def q_tick_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.tick_times(planned(spark, sf_dir)).select("machine", "ts")
+
+
+@query(f"WITH {M}, {SPAN} SELECT machine, make_timestamp(a + k * 300000000) AS ts FROM (SELECT *, unnest(range(0, (b - a) // 300000000)) AS k FROM span)")
+def q_heartbeat_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.heartbeat_times(planned(spark, sf_dir)).select("machine", "ts")
+
+
+@query(f"WITH {M} SELECT machine, type, ts, log_id, row_number() OVER (PARTITION BY machine ORDER BY ts, type, log_id) - 1 AS seq_of_machine FROM m")
+def q_event_stream_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = Window.partitionBy("machine").orderBy("ts", "type", "log_id")
+    return events(spark, sf_dir).select("machine", "type", "ts", "log_id", (F.row_number().over(line) - 1).cast("long").alias("seq_of_machine"))
+
+
+@query(f"WITH {M} SELECT machine, ts, log_id, (row_number() OVER (PARTITION BY machine ORDER BY ts, log_id) % 23 = 0)::INTEGER AS reject FROM m WHERE type = 'COUNT'")
+def q_reject_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("machine").orderBy("ts", "log_id"))
+    return of(events(spark, sf_dir), "COUNT").select("machine", "ts", "log_id", (nth % 23 == 0).cast("int").alias("reject"))
+
+
+@query(f"WITH {M} SELECT machine, type, count(*) AS n FROM m WHERE machine IN ('M0', 'M2', 'M4') GROUP BY machine, type")
+def q_tag_registry_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("M0",), ("M2",), ("M4",)], "machine string")
+    return events(spark, sf_dir).join(F.broadcast(known), "machine", "left_semi").groupBy("machine", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {M} SELECT machine, type, count(*) AS n FROM m WHERE machine NOT IN ('M0', 'M2', 'M4') GROUP BY machine, type")
+def q_tag_registry_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("M0",), ("M2",), ("M4",)], "machine string")
+    return events(spark, sf_dir).join(F.broadcast(known), "machine", "left_anti").groupBy("machine", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {M} SELECT coalesce(type, 'all') AS type, count(*) AS n FROM m GROUP BY ROLLUP (type)")
+def q_message_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).rollup("type").agg(F.count("*").alias("n")).select(F.coalesce("type", F.lit("all")).alias("type"), "n")
+
+
+PAIRS = "pairs AS (SELECT machine, alarm_code, us, next FROM (SELECT *, lead(us) OVER (PARTITION BY machine, alarm_code ORDER BY us, log_id) AS next FROM m WHERE type = 'ALARM') WHERE phase = 'RAISE')"
+SUMS = "count(*) AS count, coalesce(sum(next - us), 0)::BIGINT / 1e6 AS seconds, count(*) FILTER (next IS NULL) AS open_count"
+
+
+def with_seconds(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("seconds", F.col("us") / MICRO).drop("us")
+
+
+@query(f"WITH {M}, {PAIRS} SELECT machine, alarm_code, {SUMS} FROM pairs GROUP BY machine, alarm_code")
+def q_alarm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_seconds(alarms.alarm_summary(of(events(spark, sf_dir), "ALARM")))
+
+
+@query(f"WITH {M}, {GRID}, {PAIRS} SELECT machine, k, alarm_code, {SUMS} FROM pairs JOIN shifts ON us >= s AND us < e GROUP BY machine, k, alarm_code")
+def q_alarm_by_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_seconds(alarms.alarms_by_shift(of(events(spark, sf_dir), "ALARM"), SHIFTS))
+
+
+@query(f"WITH {M}, {PAIRS} SELECT machine, alarm_code, {SUMS} FROM pairs GROUP BY ROLLUP (machine, alarm_code)")
+def q_alarm_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = alarms.raised(of(events(spark, sf_dir), "ALARM"))
+    return pairs.rollup("machine", "alarm_code").agg(F.count("*").alias("count"), (F.coalesce(F.sum(F.col("next_us") - F.col("raised_us")), F.lit(0)) / MICRO).alias("seconds"), F.count_if(F.col("next_us").isNull()).alias("open_count"))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(replayed(spark, sf_dir), POLICY)
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arrival_id, category FROM z")
+def q_classify_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select("arrival_id", "category")
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT category, count(*) AS n FROM z GROUP BY category")
+def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, seq, h0 = h AS same FROM b WHERE rn = 1")
+def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).where(F.col("category").isin(*classify.SEEN_CATEGORIES)).select("arrival_id", "seq", F.lit(True).alias("same"))
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arrival_id, seq, tag AS machine, CASE category WHEN 'duplicate' THEN 'seq ' || seq || ' already ingested' ELSE 'seq ' || seq || ' already ingested with different content (content hash mismatch)' END AS reason FROM z WHERE category IN ('duplicate', 'seq_conflict')")
+def q_seq_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).where(F.col("category").isin("duplicate", "seq_conflict")).select("arrival_id", "seq", F.col("tag").alias("machine"), "reason")
+
+
+@query(f"WITH {M} SELECT machine, log_id, max(us) OVER (PARTITION BY machine ORDER BY log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark_us FROM m")
+def q_watermark_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir).select("machine", "log_id", microseconds("ts").alias("us"))
+    return classify.running_max(m, "machine", "log_id", "us", "mark_us", 5000).select("machine", "log_id", "mark_us")
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, cat AS category, CASE WHEN cat <> 'accepted' THEN (mark - us)::BIGINT END AS delay_us FROM d")
+def q_late_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir).where(F.col("seq") % 97 != 5)
+    rows = m.select(F.col("log_id").alias("arrival_id"), "seq", F.col("machine").alias("tag"), microseconds("ts").alias("ts_us"), F.lit("x").alias("content_hash"), F.lit("COUNT").alias("msg_type"), F.lit("").alias("alarm_code"), F.lit("").alias("phase"))
+    late = classify.decided(rows, POLICY)
+    return late.select("arrival_id", "category", F.when(F.col("category") != "accepted", F.col("mark_us") - F.col("ts_us")).alias("delay_us"))
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT tag AS machine, make_timestamp(mark) AS gap_start, make_timestamp(us) AS gap_end, (us - mark) / 1e6 AS gap_seconds FROM z WHERE category = 'accepted' AND us - mark > 600000000")
+def q_clock_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantlens.operators.facts import clock_gaps
+
+    return clock_gaps(ledger(spark, sf_dir)).select("machine", "gap_start", "gap_end", "gap_seconds")
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, ok AS alarm_ok FROM f WHERE i > 0")
+def q_alarm_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger(spark, sf_dir).where((F.col("msg_type") == "ALARM") & F.col("category").isin("accepted", "accepted_late", "alarm_out_of_order_rejected"))
+    return found.select("arrival_id", (F.col("category") != "alarm_out_of_order_rejected").alias("alarm_ok"))
+
+
+@query(f"WITH RECURSIVE {M}, {A}, w AS (SELECT z.tag, g.alarm_code, arg_max(g.phase, z.arrival_id) AS phase, arg_max(z.us, z.arrival_id) AS ts_us FROM z JOIN g ON g.arr = z.arrival_id WHERE z.category IN ('accepted', 'accepted_late') GROUP BY z.tag, g.alarm_code) SELECT * FROM w")
+def q_last_alarm_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.carry_of(ledger(spark, sf_dir)).alarms
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT tag, max(us) AS mark_us FROM z WHERE category NOT IN ('bad_payload', 'unknown_tag', 'duplicate', 'seq_conflict') GROUP BY tag")
+def q_watermark_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.carry_of(ledger(spark, sf_dir)).marks
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, CASE WHEN bad THEN 'invalid JSON' ELSE 'tag ''MX'' not in known machine registry' END AS reason FROM a WHERE bad OR tag = 'MX'")
+def q_grammar_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).where(F.col("category").isin("bad_payload", "unknown_tag")).select("arrival_id", "reason")
+
+
+@query(
+    f"""WITH {M} SELECT log_id AS arrival_id, sha256('{{"seq": ' || seq || ', "tag": "' || machine || '", "ts": "' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00", "type": "HEARTBEAT"}}') AS content_hash FROM m WHERE type = 'HEARTBEAT' AND seq % 97 <> 5"""
+)
+def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(spark, sf_dir).where((F.col("msg_type") == "HEARTBEAT") & F.col("category").isin(*classify.SEEN_CATEGORIES))
+    return rows.select("arrival_id", "content_hash")
+
+
+@query("SELECT event_id, replace(replace(replace(replace(replace(event_type || '<' || props || '>&''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM events")
+def q_html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", html_escape(F.concat("event_type", F.lit("<"), "props", F.lit(">&'"))).alias("escaped"))
+
+
+@query(None)
+def q_demonstration_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed day from generator to effectiveness; tests hold it against the schedule's own sums."""
+    from plantlens.operators.facts import facts, observations
+
+    book = classify.classify(generator.demonstration_day(spark))
+    return metrics.effectiveness(facts(book, "STATE"), facts(book, "COUNT"), observations(book), schedule.machines_df(spark), Shifts(), 600).drop("s_start_us", "s_end_us")
+
+
+@query(None)
+def q_demonstration_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.expected(spark)

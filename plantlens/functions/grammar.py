@@ -123,8 +123,11 @@ def ntz(us) -> object:
 
 
 def microseconds(ts) -> object:
-    """Microseconds since 1970 of a zoneless timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+    """Microseconds since 1970 of a zoneless timestamp; differences of such timestamps know no zone and no summer time."""
+    span = (F.col(ts) if isinstance(ts, str) else ts) - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    part = lambda name: F.extract(F.lit(name), span)
+    whole_seconds = part("DAY").cast("long") * 86_400 + part("HOUR") * 3600 + part("MINUTE") * 60
+    return whole_seconds * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def html_escape(text) -> object:

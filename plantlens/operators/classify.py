@@ -86,8 +86,8 @@ def alarm_verdicts(alarms: DataFrame, carry: DataFrame | None) -> DataFrame:
 
 def iso(us) -> object:
     """UTC ISO text of microseconds, with a fraction only where there is one."""
-    ts = ntz(us)
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(us % MICRO != 0, F.concat(F.lit("."), F.lpad((F.pmod(us, F.lit(MICRO))).cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+    whole = F.replace(F.substring(ntz(us).cast("string"), 1, 19), F.lit(" "), F.lit("T"))
+    return F.concat(whole, F.when(us % MICRO != 0, F.concat(F.lit("."), F.lpad((F.pmod(us, F.lit(MICRO))).cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
 
 
 def decided(rows: DataFrame, policy: Policy, carry: Carry | None = None) -> DataFrame:

@@ -81,11 +81,12 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = lambda tag, note: F.concat(F.lit('{"seq": '), number("seq"), F.lit(', "ts": '), quoted(F.col("at")), F.lit(', "tag": '), quoted(tag), F.lit(', "type": '), quoted(F.col("type")), body, F.lit(note), F.lit("}"))
     own = text(F.when(F.col("seq") % 97 == 5, "MX").otherwise(F.col("machine")), "")
+    copy = lambda arrival, payload: F.struct(arrival.alias("arrival_id"), payload.alias("raw_payload"))
     copies = F.array(
-        F.struct(F.col("log_id").alias("arrival_id"), own.alias("raw_payload")),
-        F.when(F.col("seq") % 50 == 0, F.struct(F.col("log_id") + 303, own)),
-        F.when(F.col("seq") % 75 == 0, F.struct(F.col("log_id") + 505, text(F.col("machine"), ', "note": "changed"'))),
-        F.when(F.col("seq") % 40 == 0, F.struct(F.col("log_id") + 7, F.substring(own, 1, 30))),
+        copy(F.col("log_id"), own),
+        F.when(F.col("seq") % 50 == 0, copy(F.col("log_id") + 303, own)),
+        F.when(F.col("seq") % 75 == 0, copy(F.col("log_id") + 505, text(F.col("machine"), ', "note": "changed"'))),
+        F.when(F.col("seq") % 40 == 0, copy(F.col("log_id") + 7, F.substring(own, 1, 30))),
     )
     return m.select(F.explode(F.array_compact(copies)).alias("c")).select("c.arrival_id", "c.raw_payload")
 

@@ -13,6 +13,7 @@ from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plantlens.schema import MAX_DELTA, PARSED, PHASES, SEQ_MAX, SEQ_MIN, STATES, TYPES
 
@@ -111,7 +112,7 @@ def parsed(raw: pd.Series) -> pd.DataFrame:
     return frame
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted(values: pd.Series) -> pd.Series:
     """A value as it is shown in reasons, in quotes."""
     return values.map(repr, na_action="ignore")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds, ntz, parsed, quoted
 from plantlens.schema import LEDGER, SEEN_CATEGORIES, Policy
+from plantlens.sources.scratch import saved
 
 MICRO = 1_000_000
 
@@ -126,7 +127,8 @@ def reason_of(policy: Policy) -> object:
 
 def classify(messages: DataFrame, policy: Policy = Policy(), carry: Carry | None = None) -> DataFrame:
     """The ledger rows of messages (arrival_id, raw_payload): one row for each, in exactly one category."""
-    rows = messages.select("arrival_id", "raw_payload").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "p.*")
+    # written once: the branches below would each parse the payloads again
+    rows = saved(messages.select("arrival_id", "raw_payload").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "p.*"))
     bad = rows.where("reason is not null").withColumn("category", F.lit("bad_payload"))
     good = rows.where("reason is null").drop("reason")
     strange = good.where(~F.col("tag").isin(*policy.tags)).withColumns({"category": F.lit("unknown_tag"), "reason": F.concat(F.lit("tag "), quoted("tag"), F.lit(" not in known machine registry")), "content_hash": F.lit(None).cast("string")})

@@ -43,7 +43,7 @@ def count_messages(segments: DataFrame, machines: DataFrame) -> DataFrame:
 
 
 def alarm_messages(alarms: DataFrame) -> DataFrame:
-    both = alarms.select("machine", "alarm_code", F.explode(F.array(F.struct(F.lit("RAISE").alias("phase"), F.col("raised").alias("ts")), F.struct(F.lit("CLEAR"), F.col("cleared")))).alias("e"))
+    both = alarms.select("machine", "alarm_code", F.explode(F.array(F.struct(F.lit("RAISE").alias("phase"), F.col("raised").alias("ts")), F.struct(F.lit("CLEAR").alias("phase"), F.col("cleared").alias("ts")))).alias("e"))
     return both.select(F.col("machine").alias("tag"), F.lit("ALARM").alias("type"), "e.ts", "alarm_code", "e.phase")
 
 

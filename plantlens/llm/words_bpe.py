@@ -4,12 +4,14 @@ The vocabulary file says how a text is cut: composed (NFC) text, white space to
 one blank, lower case character by character, then letters, single digits,
 runs of other signs and a few English endings. Strings of special tokens are
 cut out of the raw text first. All of it is read from the file or checked
-against it when the vocabulary is loaded.
+against it when the vocabulary is loaded. Letters that came with Unicode 17 are
+letters here; the library may count them as signs.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -18,8 +20,10 @@ import regex
 
 from plantlens.llm.word_hash import word_hashes, words_of_each
 
-#: Lower case that the library gives and str.lower does not: it looks at no neighbours, and two newer letters.
-LOWER = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
+#: Lower case that the library gives and str.lower does not: it looks at no neighbours, and knows newer letters (two of them by range and distance).
+LOWER = {"\u03a3": "\u03c3", "\u1c89": "\u1c8a", "\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7da": "\ua7db", "\ua7dc": "\u019b"}
+LOWER |= {chr(c): chr(c + far) for begin, end, far in ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)) for c in range(begin, end + 1)}
+HAS_LOWER, TO_LOWER = re.compile(f"[{''.join(LOWER)}]"), str.maketrans(LOWER)
 NONE = np.int32((1 << 31) - 1)
 #: Distinct words remembered by a Python worker; beyond it only those of the present texts stay.
 REMEMBERED = 400_000
@@ -101,8 +105,8 @@ class WordVocab:
     def plain(self, text: str, pattern: regex.Pattern | None = None) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            for upper, lower in LOWER:
-                text = text.replace(upper, lower)
+            if HAS_LOWER.search(text):
+                text = text.translate(TO_LOWER)
         return (pattern or self.words).findall(text.lower())
 
     def merged(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,5 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    # shuffle files of earlier steps go when the driver's JVM finds that no plan can read them any more
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ t or more then share a shingle among the first ``n - ceil(t n) + 1`` of each,
 their prefixes. Documents with the same size and prefix form one group, and
 only groups are joined on prefix shingles.
 
-Links are verified on whole sets, in two rounds. First every group of a shingle
+Links are verified on whole sets (40 bits of each shingle's hash), in two rounds. First every group of a shingle
 is tried against one of them; the links found there put most copies of a text
 into one component, whatever their number. Then all pairs of the same shingle
 that still lie in different components are tried (size and position filters
@@ -147,11 +147,22 @@ def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
         if not len(at):
             return None
         sets = shingle_sets([texts[i] for i in at], k)
-        return {"node": rows.column(0).take(pa.array(at)), "n": [len(s) for s in sets], "shingles": pa.array([s.tobytes() for s in sets], type=pa.binary())}
+        return {"node": rows.column(0).take(pa.array(at)), "n": [len(s) for s in sets], "shingles": pa.array(list(map(packed, sets)), type=pa.binary())}
 
     return by_slice(asked, "text", "node long, n long, shingles binary", work).join(needed, "node", "left_semi").dropDuplicates(["node"])
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes: first the highest byte of each, which changes seldom, then the other four."""
+    short = s >> np.uint64(24)
+    return (short >> np.uint64(32)).astype(np.uint8).tobytes() + short.astype("<u4").tobytes()
+
+
+def unpacked(raw: pa.Buffer) -> np.ndarray:
+    n = raw.size // 5
+    return (np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(raw, dtype="<u4", offset=n)
+
+
 def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of a saved table whose sets are similar enough."""
     sets = saved(needed_sets(own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k))
@@ -163,7 +174,7 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))

@@ -6,11 +6,13 @@ t or more then share a shingle among the first ``n - ceil(t n) + 1`` of each,
 their prefixes. Documents with the same size and prefix form one group, and
 only groups are joined on prefix shingles.
 
-Links are verified on whole sets (40 bits of each shingle's hash), in two rounds. First every group of a shingle
-is tried against one of them; the links found there put most copies of a text
-into one component, whatever their number. Then all pairs of the same shingle
-that still lie in different components are tried (size and position filters
-first), so that no link between components is lost. Links within a component
+Links are verified on whole sets (40 bits of each shingle's hash), in rounds.
+First every group of a shingle is tried against one of them; the links found
+there put most copies of a text into one component, whatever their number. Then
+the same is done twice around other holders of each shingle, drawn by hash, and
+at last all pairs of the same shingle that still lie in different components
+are tried (size, position and sketch filters first, none of which loses a
+link), so that no link between components is lost. Links within a component
 would not change the result.
 
 How frequent a shingle is, is estimated from a sixteenth of its occurrences in
@@ -39,6 +41,10 @@ from plantlens.llm.word_hash import MULTIPLIER, mixed, word_hashes
 
 #: One in so many occurrences is counted; shingles counted SEEN times or more are frequent, LISTED of them at most.
 DRAW, SEEN, LISTED = 16, 4, 1_000_000
+#: Seeds of the rounds in which a drawn holder of each token is tried against the others.
+DRAWS = (1, 2)
+#: Words of 64 bits in the sketch of a set.
+SKETCH = 8
 #: Words of the filter that spares texts which no candidate needs, and bits of the one in front of the list of frequent shingles.
 FILTER_WORDS, LIST_BITS = 1 << 18, 24
 
@@ -105,8 +111,14 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """SKETCH words of bits: whether the hashes that fall on each bit are odd in number. Sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((s & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, and its prefix: 60 bits of hash over 4 bits of level."""
+    """doc_id, n, digest and sketch of the set, and its prefix: 60 bits of hash over 4 bits of level."""
     listed = own.sparkSession.sparkContext.broadcast(frequent(own, k))
 
     def work(rows, texts):
@@ -125,9 +137,9 @@ def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
             if level.any():
                 token = token[np.argsort(level, kind="stable")]
             out.append(token[: prefix_size(len(s), percent)] if len(s) else token)
-        return {"doc_id": rows.column(0), "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "prefix_key": [xxhash.xxh3_128_hexdigest(t.tobytes()) for t in out], "prefix": lists(out)}
+        return {"doc_id": rows.column(0), "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "prefix_key": [xxhash.xxh3_128_hexdigest(t.tobytes()) for t in out], "prefix": lists(out), "sketch": lists([parities(s) for s in sets])}
 
-    return by_slice(own, "text", "doc_id long, n long, digest string, prefix_key string, prefix array<long>", work)
+    return by_slice(own, "text", "doc_id long, n long, digest string, prefix_key string, prefix array<long>, sketch array<long>", work)
 
 
 def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -183,14 +195,39 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
     return joined.mapInArrow(check, "a long, b long")
 
 
+def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """(token, pos, node, n, component, sketch) for the tokens that more than one component holds; a group of several members is a token of its own."""
+    placed = saved(members.join(known, "node", "left").select("node", "gid", "n", "members", F.coalesce("component", "node").alias("component")))
+    own = placed.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.lit(0).alias("pos"), "node", "n", "component")
+    rows = shared.select("token", "gid", "pos").join(placed.select("gid", "node", "n", "component"), "gid").drop("gid").unionByName(own)
+    several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return saved(rows.join(several, "token").join(members.select("node", "sketch"), "node"))
+
+
+def pairs_of(rows: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """Pairs (a < b) of different components that share a token and may be similar enough; with a seed, only those with one drawn holder of each token."""
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH))
+    near = (
+        f"x.token = y.token AND x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" AND (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND (100 + {percent}) * ({differ}) <= (100 - {percent}) * (x.n + y.n)"
+    )
+    others = rows
+    if seed is None:
+        near += " AND x.node < y.node"
+    else:
+        drawn = F.min_by(F.struct("pos", "node", "n", "component", "sketch"), F.xxhash64("token", "node", F.lit(seed)))
+        others = rows.groupBy("token").agg(drawn.alias("y")).select("token", "y.*")
+    return rows.alias("x").join(others.alias("y"), F.expr(near)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     own = id_text(docs, id_col, text_col)
     ready = saved(prefixes(own, k, percent))
     full = ready.where("doc_id is not null and n > 0")
-    classes = saved(full.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("node")))
+    classes = saved(full.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     groups = classes.groupBy("prefix_key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
-    members = saved(classes.join(groups, ["prefix_key", "n"]).select("node", "gid", "n", "members"))
+    members = saved(classes.join(groups, ["prefix_key", "n"]).select("node", "gid", "n", "members", "sketch"))
     reps = full.groupBy("prefix_key", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
     entries = reps.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     level = F.col("token").bitwiseAND(F.lit(15))
@@ -206,22 +243,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     links = saved(verified(tries, own, k, percent))
     known = components(links)
 
-    # second round: what shares a block but no component
-    placed = saved(members.join(known, "node", "left").select("node", "gid", "n", "members", F.coalesce("component", "node").alias("component")))
-    inner = placed.where("members > 1").select("gid", "node", "component")
-    within = inner.alias("x").join(inner.alias("y"), F.expr("x.gid = y.gid AND x.component <> y.component AND x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rows = shared.select("token", "gid", "pos").join(placed.select("gid", "node", "n", "component"), "gid").drop("gid")
-    open_tokens = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rows = saved(rows.join(open_tokens, "token"))
-    near = F.expr(
-        f"x.token = y.token AND x.component <> y.component AND (x.n < y.n OR x.n = y.n AND x.node < y.node) AND 100 * x.n >= {percent} * y.n"
-        f" AND (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
-    )
-    across = rows.alias("x").join(rows.alias("y"), near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    more = across.union(within).distinct().join(tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = saved(verified(saved(more), own, k, percent))
-    if not late.isEmpty():
-        known = components(links.union(late))
+    # further rounds: what shares a token but no component, around a drawn holder of each token and then in all pairs
+    tested = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for seed in (*DRAWS, None):
+        rows = open_rows(shared, members, known)
+        more = saved(pairs_of(rows, percent, seed).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        links, tested = links.union(saved(verified(more, own, k, percent))), tested.union(more)
+        known = components(links)
     of_digest = classes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = ready.join(of_digest, "digest", "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

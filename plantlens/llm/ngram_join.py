@@ -257,9 +257,22 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents without those that a document of lower id in their component stands for, and without repeated rows of one id."""
-    found = ngram_join(docs, id_col=id_col, **how)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.select(docs.columns)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component with a non-empty set: that of the least id (null ids last), then the least by a hash of id and text, then by one of the whole row. Rows with an empty set all stay.
+
+    Rows are told apart by a 64-bit hash of id and text, so rows without id are
+    compared like all others, and unlike texts of one id are documents of their own.
+    """
+    own = id_text(docs, id_col, text_col)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")).alias("key"))
+    found = saved(ngram_join(own.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), **how))
+    copies = saved(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"), F.count("*").alias("many")))
+    ids = whole.groupBy("key").agg(F.min("id").alias("id"))
+    top = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "many")).alias("top")
+    tops = saved(copies.join(ids, "key").groupBy("component").agg(top).select("top.key", "top.many"))
+    repeated = saved(tops.where("many > 1").select("key"))
+    apart = saved(copies.select("key").join(tops, "key", "left_anti").union(repeated))
+    # all rows of a key have the same id and text; partial minima spare a hot key the shuffle
+    least = F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")
+    chosen = whole.join(repeated, "key", "left_semi").groupBy("key").agg(least)
+    return whole.join(apart, "key", "left_anti").select("row.*").union(chosen.select("row.*"))

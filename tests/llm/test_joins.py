@@ -95,6 +95,28 @@ def test_shingle_join_repeats_and_empty(spark):
     assert ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_of_each_with_repeated_rows_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (None, a, "x")]  # id 1 stands for all
+    rows += [(None, b, "x"), (None, b, "x"), (None, b + " tail", "x")]  # no id at all: one of the three
+    rows += [(9, c, "x"), (None, "head " + c, "x"), (None, "head " + c, "x")]  # near copies without id
+    rows += [(7, d, "x"), (7, e, "x")]  # unlike texts of one id
+    rows += [(3, "", "x"), (3, "", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(4)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert [r for r in got if r[0] == 1] in ([(1, a, "x")], [(1, a, "y")])
+    loose = [r for r in got if r[0] is None and r[1]]
+    assert len(loose) == 1 and loose[0][1] in (b, b + " tail")
+    rest = sorted(str(r) for r in got if r[0] in (2, 3, 7, 9) or not r[1])
+    assert rest == sorted(map(str, [(9, c, "x"), (7, d, "x"), (7, e, "x"), (3, "", "x"), (3, "", "x"), (None, None, "x")]))
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in one_of_each(docs.repartition(3)).collect())
+    many = spark.createDataFrame([(5, a)] * 3000 + [(None, a)] * 3000 + [(6, a)], "doc_id long, text string")
+    assert [tuple(r) for r in one_of_each(many).collect()] == [(5, a)]
+
+
 def brute_vectors(rows, t=0.95):
     ids = [i for i, _ in rows]
     ok = {i: np.array(v, dtype=np.float64) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}

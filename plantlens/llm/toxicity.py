@@ -2,7 +2,7 @@
 
 A word enters as the sum of its own vector (for words known from training) and
 the mean of the vectors of its character n-grams (hashed, so that unseen words
-have one too). Two gated recurrent units read a window of words from both
+have one too); a run of over 40 letters is several words, which overlap. Two gated recurrent units read a window of words from both
 ends, attention pools their states, and a logistic unit scores the window. A
 document's score is that of its worst window; windows overlap by half and
 cover the whole text.
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from plantlens.llm.common import by_slice, id_text, rewritten
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: A longer run of letters is read as several words of so many letters, each starting STEP behind the one before.
+LONGEST, STEP = 40, 20
 #: Words of a window, and how far the next one starts behind it.
 WINDOW, STRIDE = 32, 16
 DIM, HID, ATT, GRAMS = 16, 8, 8, 1 << 14
@@ -41,12 +43,16 @@ REMEMBERED = 300_000
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """The runs of letters in lower case; runs over LONGEST letters in overlapping pieces, so that no letter goes unread."""
+    found = LETTERS.findall(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[i : i + LONGEST] for w in found for i in range(0, max(len(w) - LONGEST + STEP, 1), STEP)]
 
 
 def grams(word: str) -> list[int]:
     """Hashed character trigrams, and the beginnings and endings of up to six letters."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     pieces = [w[i : i + 3] for i in range(len(w) - 2)] + [w[:k] for k in (4, 5, 6) if k < len(w)] + [w[-k:] for k in (4, 5) if k < len(w)]
     return [zlib.crc32(p.encode()) & (GRAMS - 1) for p in pieces or [w]]
 

@@ -171,6 +171,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert ((both.predicted == 1) == (both.toxic == 1)).mean() > 0.95
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    run = "".join(chr(0x4E00 + k) for k in range(137))
+    for n in (1, 39, 40, 41, 59, 60, 61, 137):
+        own = toxicity.words_of(f"a {run[:n]} b")
+        assert own[0] == "a" and own[-1] == "b" and max(map(len, own)) <= toxicity.LONGEST
+        assert all(any(run[i : i + 20] in w for w in own) for i in range(max(1, n - 19)) if i + 20 <= n)
+        assert set("".join(own[1:-1])) == set(run[:n]) and (n > 40 or len(own) == 3)
+    score = toxicity.Scorer(toxicity.Net.new({}, 3))
+    plain, ending = score(["x" * 60, "x" * 54 + "insult"])
+    assert plain != ending
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd(spark, [None, "", "x"]), none).collect()

@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 COUNTS = tuple(f"n_{k}" for k in KINDS)
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-#: Whatever has digits and signs of numbers; no ip, card or phone reaches beyond one such stretch.
+#: Whatever has digits and signs of numbers; no ip, card or phone reaches beyond one such stretch, but for the bracket that opens a looser phone.
 STRETCH = re.compile(r"[+0-9][0-9\x20.()-]*")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -104,6 +104,8 @@ def loose_spans(text: str, stretches: list[tuple[int, str]]) -> list[Span]:
     for at, s in stretches:
         if len(s) >= 10:
             out += [(at + m.start(), at + m.end(), 2) for m in LOOSE_CARD.finditer(s)]
+            if at and text[at - 1] == "(" and s[0] != "+":
+                at, s = at - 1, "(" + s
             out += [(at + m.start(), at + m.end(), 3) for m in LOOSE_PHONE.finditer(s)]
     return out
 

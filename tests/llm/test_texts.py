@@ -54,6 +54,17 @@ def test_base_spans(spark, of):
         assert set(filter(None, spelled.split(","))) <= set(r.spans.split(","))
 
 
+def test_added_phones_keep_their_opening_bracket():
+    text = "call (555) 123-4567"
+    found = pii.candidates(text)
+    assert [c[:4] for c in found] == [(5, 19, 3, False)]
+    # the gazetteer's vote comes third
+    assert found[0][4][3] == "y"
+    assert pii.redacted(text, {found[0][4]: True}) == "call [PHONE]"
+    assert [c[:3] for c in pii.candidates("(555) 123-4567")] == [(0, 14, 3)]
+    assert [c[:3] for c in pii.candidates("fax ((555) 123-4567 or (+1 555 123-4567)")] == [(5, 19, 3), (24, 39, 3)]
+
+
 def test_masking_keeps_rows_and_leaves_no_base_span(spark):
     docs = odd(spark).selectExpr("doc_id", "text", "cast(length(text) as int) as n_chars", "'x' as label")
     out = pii.redacted_documents(docs)

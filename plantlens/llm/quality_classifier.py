@@ -7,6 +7,9 @@ strength that the spread of the rates themselves suggests (method of moments).
 A document's posterior adds its own evidence to the prior of its path, from
 which its own part is taken out first.
 
+Documents carry no URL: by default ``source`` stands for the host and ``lang``
+for the path; ``host_col`` and ``path_col`` name others.
+
 Bound: the classifier is fitted on at most ``sample`` labelled rows; evidence,
 sums and posteriors cover all rows. Evidence is summed in whole millionths, so
 that the order of rows does not matter.

@@ -118,6 +118,42 @@ def test_quality_posteriors_follow_from_evidence(spark):
     assert nothing.count() == 0
 
 
+def test_quality_scores_against_a_plain_recomputation(spark):
+    docs = documents(spark, "sf0.001").selectExpr("doc_id", "text", "concat('h', doc_id % 7 * (doc_id % 3)) as host", "if(doc_id % 2 = 0, concat('p', doc_id), if(doc_id % 5 = 0, null, 'index')) as path")
+    lone = spark.createDataFrame([(10**6, "one page of a host", "lone", "p"), (10**6 + 1, None, None, None)], docs.schema)
+    docs = docs.unionByName(lone)
+    got = quality_classifier.quality_classifier(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), host_col="host", path_col="path").collect()
+    of = {r.doc_id: (r.host, (r.host, r.path)) for r in docs.select("doc_id", "host", "path").collect()}
+    own = {r.doc_id: r.evidence for r in got}
+    assert len(got) == len(of) == len(own) and len(set(own.values())) > 2
+
+    def totals(level):
+        sums = {}
+        for i, site in of.items():
+            n, good = sums.get(site[level], (0, 0.0))
+            sums[site[level]] = (n + 1, good + own[i])
+        return sums
+
+    def strength(sums):
+        n, rates = np.array([v[0] for v in sums.values()]), np.array([v[1] / v[0] for v in sums.values()])
+        mean = (n * rates).sum() / n.sum()
+        spread = max(rates.var(ddof=1) - mean * (1 - mean) * (1 / n).mean(), 1e-6)
+        return min(max(mean * (1 - mean) / spread - 1, 1), 10_000)
+
+    hosts, paths = totals(0), totals(1)
+    assert sum(n == 1 for n, _ in paths.values()) > 50 and hosts["lone"][0] == hosts[None][0] == 1
+    overall = (sum(own.values()) + 1) / (len(own) + 2)
+    m_host, m_path = strength(hosts), strength(paths)
+    clip, odds = lambda p: min(max(p, 1e-6), 1 - 1e-6), lambda p: np.log(p / (1 - p))
+    for r in got:
+        (n, good), (path_n, path_good) = hosts[of[r.doc_id][0]], paths[of[r.doc_id][1]]
+        host = (good + m_host * overall) / (n + m_host)
+        prior = clip((path_good - r.evidence + m_path * host) / (path_n - 1 + m_path))
+        score = 1 / (1 + np.exp(odds(overall) - odds(clip(r.evidence)) - odds(prior)))
+        assert (r.host_posterior, r.path_posterior, r.score) == pytest.approx((host, prior, score), abs=1e-6)
+        assert path_n > 1 or r.path_posterior == pytest.approx(host, abs=1e-6)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_with_twins(spark, duck, compared, name):
     compared(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), duck("sf0.01"), queries.ORACLE_SQL[name])

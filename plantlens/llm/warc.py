@@ -12,7 +12,8 @@ Reading. Members (or plain records from their version line on) are read one by
 one; a record counts only if its member decompresses with the right check sum,
 its length fits and its block digest agrees. After a failed check the reader
 looks for the next member or version line with a valid record, goes on there,
-and reports the bytes passed over as a gap with the reason.
+and reports the bytes passed over as a gap with the reason. The content of a
+sound member that is not just one record is searched in the same way.
 
 Edge cases: a null html is an empty payload; a null url is left out; a null
 page_id is written as an empty number and read back as null; repeated rows are
@@ -121,23 +122,47 @@ def number(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isascii() and tail.lstrip("-").isdigit() else None
 
 
+def records_in(raw: bytes) -> Iterator[tuple]:
+    """(begin, end, gap, headers, block) for the records and gaps of a member's content, as ``salvage`` gives them for an archive."""
+    at, lost, why = 0, None, ""
+    while at < len(raw):
+        one = parsed(raw, at)
+        if isinstance(one, str):
+            lost, why = (at, one) if lost is None else (lost, why)
+            place = raw.find(VERSION, at + 1)
+            at = len(raw) if place < 0 else place
+            continue
+        if lost is not None:
+            yield lost, at, why, None, None
+            lost = None
+        yield at, one[2], None, one[0], one[1]
+        at = one[2]
+    if lost is not None:
+        yield lost, len(raw), why, None, None
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
-    """(begin, end, gap, headers, block) for records (gap is None) and gaps (headers and block are None), in order, without holes."""
+    """(begin, end, gap, headers, block) for records (gap is None) and gaps (headers and block are None), in order, without holes.
+
+    Whatever lies in a member with more than one record has the member's begin and end.
+    """
     at, lost, why = 0, None, ""
     while at < len(data):
-        found, reason = None, "no member or version line"
+        found, reason, inner = None, "no member or version line", []
         if data.startswith(MEMBER, at):
             got = inflated(data, at)
             if got is None:
                 reason = "broken member"
             elif not got[0]:
                 found = (None, None, got[1])
-            elif isinstance(one := parsed(got[0]), str):
-                reason = one
-            elif one[2] != len(got[0]):
-                reason = "more than a record in a member"
-            else:
+            elif not isinstance(one := parsed(got[0]), str) and one[2] == len(got[0]):
                 found = (one[0], one[1], got[1])
+            else:
+                inner = list(records_in(got[0]))
+                if any(r[2] is None for r in inner):
+                    found = (None, None, got[1])
+                else:
+                    reason, inner = inner[0][2], []
         elif data.startswith(VERSION, at):
             one = parsed(data, at)
             found, reason = (None, one) if isinstance(one, str) else (one, "")
@@ -151,6 +176,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
             lost = None
         if found[0] is not None:
             yield at, found[2], None, found[0], found[1]
+        for begin, end, gap, headers, block in inner:
+            yield at, found[2], gap and f"{gap} (bytes {begin} to {end} of a member's content)", headers, block
         at = found[2]
     if lost is not None:
         yield lost, len(data), why, None, None

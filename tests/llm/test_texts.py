@@ -194,6 +194,21 @@ def test_salvage_finds_what_is_whole(spark, tmp_path):
     assert [r.page_id for r in read if r.gap is None] == ids and sum(r.end - r.begin for r in read if r.gap) == gaps
 
 
+def test_salvage_of_a_member_with_several_records():
+    parts = [warc.record(i, f"http://h/{i}", b"<p>%d</p>" % i * 40, "", None, False) for i in range(6)]
+    broken = parts[2].replace(b"<p>2</p>", b"<p>X</p>")
+    content = b"noise" + parts[0] + parts[1] + broken + parts[3] + parts[4][:90]
+    data = warc.member(parts[5]) + gzip.compress(content) + warc.member(parts[5]) + gzip.compress(b"no record") + gzip.compress(parts[0] + parts[1])
+    rows = list(warc.salvage(data))
+    assert [warc.number(r[3]["warc-record-id"]) for r in rows if r[2] is None] == [5, 0, 1, 3, 5, 0, 1]
+    assert [r[4] for r in rows if r[2] is None][1:4] == [warc.parsed(parts[i])[1] for i in (0, 1, 3)]
+    assert rows[0][0] == 0 and rows[-1][1] == len(data) and all(a[1] == b[0] or a[:2] == b[:2] for a, b in zip(rows, rows[1:]))
+    b, c = len(parts[0] + parts[1]) + 5, len(content) - 90
+    whole = [r[2] for r in rows if r[2]]
+    assert whole[0].endswith("(bytes 0 to 5 of a member's content)") and f"bytes {b} to {b + len(broken)} " in whole[1] and f"bytes {c} to {len(content)} " in whole[2]
+    assert whole[3] == "no version line" and len(whole) == 4
+
+
 def test_archive_round_trip_of_odd_pages(spark):
     html = [None, "", "short", "é" * 60, "é" * 60, "x" * 200, "x" * 200, "\0\n\r\n\r\n" * 50, "WARC/1.1\r\n" * 30]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}\r\n", h) for i, h in enumerate(html)], "page_id long, url string, html string")

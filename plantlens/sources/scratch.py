@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a statement go when it ends, not when the driver's JVM happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below ``spark.checkpoint.dir``; only a local session without that setting (tests) gets one below its warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
+    return path
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    # shuffle files of earlier steps go when the driver's JVM finds that no plan can read them any more
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Empty the tables saved inside at the end: for callers who have written their result by then.
+
+    Overwriting with no rows works on every store that Spark writes to; an empty folder is left of each.
+    """
+    mark = _tables.set([])
+    try:
+        yield
+    finally:
+        tables = _tables.get()
+        _tables.reset(mark)
+        for path in tables or []:
+            spark.range(0).write.mode("overwrite").parquet(path)

@@ -11,16 +11,23 @@ Training: labels are of documents, not of windows, so it starts on short
 documents and then repeats: score every window of the sample, keep the worst
 ones of each document, fit on those (multiple-instance learning).
 
-Bounds: the sample holds at most ``n_pos`` toxic and ``n_neg`` other labelled
-rows, of at most ``train_chars`` characters each. Scoring has no bound.
+Bounds: ``n_pos`` toxic and ``n_neg`` other labelled rows are drawn by a hash
+of the id; those of more than ``train_chars`` characters are then left out, so
+somewhat fewer may be fitted. The vocabulary holds ``vocab_size`` words. The
+sample is fitted in one task, which saves the network (a few megabytes).
+Scoring has no bound.
 
 Edge cases: a null, empty or wordless text is scored as one empty window; a
 document without id is scored, and is not held out; repeated rows are scored
-one by one; without labels of both kinds every score is 0.
+one by one; without labels of both kinds every score is 0. A training row whose
+id has several labels counts as toxic if one of them says so; of several texts
+of one id the first in order of code points is fitted. An empty table gives no
+rows; other columns do not reach the network.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_slice, id_text, rewritten
+from plantlens.llm.common import by_slice, id_text, rewritten, saved
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A longer run of letters is read as several words of so many letters, each starting STEP behind the one before.
@@ -58,15 +65,19 @@ def grams(word: str) -> list[int]:
 
 
 def windows(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (n x WINDOW) of the words of all windows in the joined words of documents, which are real, and the documents."""
+    """Of all windows: the place of the first word in the joined words of documents, how many words it has, and the document."""
     sizes = np.asarray(counts, dtype=np.int64)
     per = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
-    doc = np.repeat(np.arange(len(sizes)), per)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    inner = nth[:, None] * STRIDE + np.arange(WINDOW)
-    real = inner < sizes[doc][:, None]
-    places = (np.cumsum(sizes) - sizes)[doc][:, None] + inner
-    return np.where(real, places, 0), real, doc
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), per)
+    skipped = STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
+    return (np.cumsum(sizes) - sizes)[doc] + skipped, np.minimum(WINDOW, sizes[doc] - skipped).astype(np.int8), doc
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words (n x WINDOW) of some windows and which of them are real."""
+    inner = np.arange(WINDOW)
+    real = inner < sizes[:, None]
+    return flat[np.where(real, starts[:, None] + inner, 0)], real
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -229,7 +240,7 @@ class Bag:
         return self.rows[at], self.flat[np.repeat(self.begins[at], sizes) + inner], sizes
 
 
-def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128, vocab_size: int = 20_000, seed: int = 7) -> Net | None:
+def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128, vocab_size: int = 20_000, seed: int = 7, effort: int = 15_000) -> Net | None:
     """The network for labelled texts; None unless there are texts of both labels."""
     if len(set(truth)) < 2:
         return None
@@ -243,16 +254,18 @@ def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128,
     net = Net.new({w: i + 1 for i, w in enumerate(known)}, seed)
     bag = Bag(net, names)
     flat = np.concatenate(own)
-    places, real, doc = windows([len(a) for a in own])
-    ids, y = flat[places], np.asarray(truth, dtype=np.float32)
-    del places, own, flat, distinct, names
+    starts, sizes, doc = windows([len(a) for a in own])
+    y = np.asarray(truth, dtype=np.float32)
+    # windows are gathered batch by batch
+    own_words = lambda at: gathered(flat, starts[at], sizes[at])
+    del own, distinct, names
     per_doc = np.bincount(doc)
     trainer = Trainer(net)
 
     def dull() -> None:
         """A batch of windows of one harmless word each: repetition as such is not toxic."""
-        own = rng.choice(np.flatnonzero(y[doc] == 0), size=batch)
-        word = ids[own, rng.integers(WINDOW, size=batch)]
+        ids, _ = own_words(rng.choice(np.flatnonzero(y[doc] == 0), size=batch))
+        word = ids[np.arange(batch), rng.integers(WINDOW, size=batch)]
         trainer.step(bag, np.repeat(word[:, None], WINDOW, axis=1), np.ones((batch, WINDOW), dtype=bool), np.zeros(batch, dtype=np.float32), np.full(batch, 0.5))
 
     def fit(chosen: np.ndarray) -> None:
@@ -262,20 +275,20 @@ def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128,
         for k in range(0, len(chosen), batch):
             at = chosen[k : k + batch]
             t = y[doc[at]]
-            trainer.step(bag, ids[at], real[at], t, np.where(t > 0, 0.5 / max(share, 0.05), 0.5 / max(1 - share, 0.05)))
+            trainer.step(bag, *own_words(at), t, np.where(t > 0, 0.5 / max(share, 0.05), 0.5 / max(1 - share, 0.05)))
 
     short = np.flatnonzero(per_doc[doc] <= 4)
     for _ in range(max(3, min(20, 12_000 // max(len(short), 1)))):
         fit(short if len(set(y[doc[short]])) == 2 else np.arange(len(doc)))
     for k in range(rounds):
         table = net.projected(net.mixed(bag.rows, bag.flat, bag.sizes))
-        score = np.concatenate([net.forward(table, ids[i : i + 4096], real[i : i + 4096]) for i in range(0, len(ids), 4096)])
+        score = np.concatenate([net.forward(table, *own_words(slice(i, i + 1024))) for i in range(0, len(doc), 1024)])
         order = np.lexsort((-score, doc))
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
         worst = order[(nth == 0) | ((nth < 3) & (y[doc[order]] == 0))]
         others = rng.choice(np.flatnonzero(y[doc] == 0), size=min(len(worst) // 4, int((y[doc] == 0).sum())), replace=False)
         trainer.rate = 0.01 * (1 - k / (rounds + 1))
-        for _ in range(max(1, min(30, 15_000 // len(worst)))):
+        for _ in range(max(1, min(30, effort // len(worst)))):
             fit(np.concatenate([worst, others]))
             for _ in range(len(worst) // batch // 8):
                 dull()
@@ -299,8 +312,8 @@ class Scorer:
             self.table = np.concatenate([self.table, self.net.projected(self.net.vectors(new)[0])])
         get = self.seen.__getitem__
         flat = np.fromiter((i for words in split for i in map(get, words or ("",))), dtype=np.int64)
-        places, real, doc = windows([len(w) or 1 for w in split])
-        logit = np.concatenate([self.net.forward(self.table, flat[places[i : i + 2048]], real[i : i + 2048]) for i in range(0, len(places), 2048)])
+        starts, sizes, doc = windows([len(w) or 1 for w in split])
+        logit = np.concatenate([self.net.forward(self.table, *gathered(flat, starts[i : i + 2048], sizes[i : i + 2048])) for i in range(0, len(doc), 2048)])
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, doc, logit)
         return 1 / (1 + np.exp(-worst))
@@ -312,12 +325,23 @@ def held_out(doc_id: str) -> "Column":
 
 
 def trained(docs: DataFrame, labels: DataFrame, n_pos: int = 2500, n_neg: int = 5000, train_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Net | None:
-    """The network fitted on a bounded sample of the labelled rows that are not held out."""
+    """The network fitted on a bounded sample of the labelled rows that are not held out; None unless it has both labels."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("truth")).where(F.col("doc_id").isNotNull() & F.col("truth").isin(0, 1) & ~held_out("doc_id"))
-    known = known.dropDuplicates(["doc_id"]).withColumn("order", F.xxhash64("doc_id"))
+    known = known.groupBy("doc_id").agg(F.max("truth").alias("truth")).withColumn("order", F.xxhash64("doc_id"))
     sample = known.where("truth = 1").orderBy("order").limit(n_pos).unionByName(known.where("truth = 0").orderBy("order").limit(n_neg))
-    rows = id_text(docs, id_col, text_col).where(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("order").select("text", "truth").collect()
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    rows = id_text(docs, id_col, text_col).where(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "order", "truth").agg(F.min("text").alias("text")).select("order", "truth", "text")
+
+    def fit(batches):
+        held = list(batches)
+        drawn = pa.Table.from_batches(held) if held else None
+        if drawn is not None and len(drawn):
+            drawn = drawn.take(np.argsort(drawn["order"].to_numpy(), kind="stable"))
+            net = train(drawn["text"].to_pylist(), drawn["truth"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], type=pa.binary())], names=["net"])
+
+    got = saved(rows.repartition(1).mapInArrow(fit, "net binary")).first()
+    return pickle.loads(got[0]) if got else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:

@@ -6,19 +6,26 @@ page_id is a response, and the others are revisits of it without payload. The
 last byte of a member is the highest byte of its length, 0 below 16 MB (a
 longer record is followed by an empty member); so the members are written by
 the text sink with 0 as line separator, and with it come the sink's commit
-protocol and any file system that Spark knows.
+protocol and any file system that Spark knows. A task begins a new archive when
+it has written ``archive_bytes``.
 
 Reading. Members (or plain records from their version line on) are read one by
 one; a record counts only if its member decompresses with the right check sum,
 its length fits and its block digest agrees. After a failed check the reader
 looks for the next member or version line with a valid record, goes on there,
 and reports the bytes passed over as a gap with the reason. The content of a
-sound member that is not just one record is searched in the same way.
+sound member that is not just one record is searched in the same way. A member
+is inflated in pieces and each search goes on from the last one's answer, so
+reading takes time in proportion to the archive. An archive is read by one task
+and held whole there (Spark's limit is 2 GB). ``read_records`` also writes the
+gaps to a log; the round trip fails if its own archives have any.
 
 Edge cases: a null html is an empty payload; a null url is left out; a null
 page_id is written as an empty number and read back as null; repeated rows are
 records of their own (all rows with the smallest page_id are responses); line
-ends in urls are percent-encoded; an empty table gives no archives and no rows.
+ends in urls are percent-encoded; headers of more than MOST_HEADERS bytes count
+as damaged; other columns of pages are ignored; an empty table gives no archives
+and no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plantlens.llm.common import shared_dir
+from plantlens.llm.common import saved, shared_dir
 
 MEMBER, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+PIECE, MOST_HEADERS = 1 << 16, 1 << 16
+#: Rows and payload bytes of a batch that the reader hands over.
+ROWS, ROWS_BYTES = 500, 16 << 20
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 RECORDS = "archive string, begin long, end long, gap string, record_id string, record_type string, page_id long, refers_to long, uri string, payload binary, payload_bytes long, payload_digest string"
 
@@ -62,8 +72,8 @@ def member(raw: bytes) -> bytes:
     return packed if packed[-1] == 0 else packed + EMPTY_MEMBER
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one record per page below ``path``. Pages are dealt out by id, so a payload that many share is no hot key."""
+def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Write one record per page to archives of about ``archive_bytes`` below ``path``. Pages are dealt out by id, so a payload that many share is no hot key."""
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     slim = own.where(F.octet_length("html") >= least).where("page_id is not null").select("page_id", "digest").distinct()
@@ -72,29 +82,47 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, id_col: str =
     told = own.join(roles, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "first")
 
     def work(batches):
+        written = 0
         for batch in batches:
-            out = []
+            out, archives = [], []
             for row in zip(*(c for c in batch.columns), strict=True):
                 page_id, url, html, digest, first = (v.as_py() for v in row)
+                archives.append(written // archive_bytes)
                 out.append(member(record(page_id, url, html.encode(), digest, first, first is not None))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["member"])
+                written += len(out[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary()), pa.array(archives, type=pa.int64())], names=["member", "archive"])
 
-    told.mapInArrow(work, "member binary").select(F.col("member").cast("string").alias("value")).write.text(path, lineSep="\0")
+    told.mapInArrow(work, "member binary, archive long").select(F.col("member").cast("string").alias("value"), "archive").write.partitionBy("archive").text(path, lineSep="\0")
 
 
 def inflated(data: bytes, at: int) -> tuple[bytes, int] | None:
     """The content of the member at a place and where it ends; None if it is damaged."""
-    z = zlib.decompressobj(31)
+    z, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        raw = z.decompress(memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + PIECE]))
+            at += PIECE
     except zlib.error:
         return None
-    return (raw, len(data) - len(z.unused_data)) if z.eof else None
+    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else None
+
+
+class Places:
+    """The next place of a mark at or behind a place; a search goes on where the last one found something."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.found = data, mark, -1
+
+    def behind(self, at: int) -> int:
+        if self.found < at:
+            place = self.data.find(self.mark, at)
+            self.found = len(self.data) if place < 0 else place
+        return self.found
 
 
 def parsed(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     """Headers, block and end of the record at a place, or why there is none."""
-    stop = raw.find(END, at)
+    stop = raw.find(END, at, at + MOST_HEADERS)
     if not raw.startswith(VERSION, at) or stop < 0:
         return "no version line"
     headers = {}
@@ -147,6 +175,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     Whatever lies in a member with more than one record has the member's begin and end.
     """
     at, lost, why = 0, None, ""
+    members, versions = Places(data, MEMBER), Places(data, VERSION)
     while at < len(data):
         found, reason, inner = None, "no member or version line", []
         if data.startswith(MEMBER, at):
@@ -168,8 +197,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
             found, reason = (None, one) if isinstance(one, str) else (one, "")
         if found is None:
             lost, why = (at, reason) if lost is None else (lost, why)
-            places = [p for p in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+            at = min(members.behind(at + 1), versions.behind(at + 1))
             continue
         if lost is not None:
             yield lost, at, why, None, None
@@ -186,7 +214,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives below ``path``: gap is null for records, and says why for bytes passed over.
 
-    Archives are read whole, one after the other; the writer's are as large as a shuffle partition.
+    Archives are read whole, one after the other in a task.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -205,26 +233,43 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     schema = to_arrow_schema(StructType.fromDDL(RECORDS))
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+
     def work(batches):
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 out: list[tuple] = []
+                size = 0
                 for row in rows(name.as_py(), data.as_py()):
                     out.append(row)
-                    if len(out) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
-                        out = []
+                    size += len(row[9] or b"")
+                    if len(out) == ROWS or size > ROWS_BYTES:
+                        yield batch_of(out)
+                        out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+                    yield batch_of(out)
 
     return files.mapInArrow(work, RECORDS)
 
 
-def warc_round_trip(pages: DataFrame, least: int = 100, **columns) -> DataFrame:
-    """Write all pages, read the archives back, and return a row per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spark, path = pages.sparkSession, shared_dir(pages.sparkSession)
-    write_archives(pages, path, least, **columns)
-    read = read_archives(spark, path, payloads=False).where("gap is null")
+def read_records(spark: SparkSession, path: str, gap_log: str, payloads: bool = True) -> DataFrame:
+    """The valid records of all archives below ``path``; the byte gaps are appended to the Parquet table ``gap_log`` (archive, begin, end, gap)."""
+    found = saved(read_archives(spark, path, payloads))
+    found.where("gap is not null").select("archive", "begin", "end", "gap").write.mode("append").parquet(gap_log)
+    return found.where("gap is null")
+
+
+def warc_round_trip(pages: DataFrame, least: int = 100, **how) -> DataFrame:
+    """Write all pages, read the archives back, and return a row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Raises an error if a byte of the archives could not be read.
+    """
+    spark, path, log = pages.sparkSession, shared_dir(pages.sparkSession), shared_dir(pages.sparkSession)
+    write_archives(pages, path, least, **how)
+    read = read_records(spark, path, log, payloads=False)
+    if lost := spark.read.schema("archive string, begin long, end long, gap string").parquet(log).limit(5).collect():
+        raise ValueError(f"damaged archives, see {log}: {lost}")
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 

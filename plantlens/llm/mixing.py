@@ -9,6 +9,11 @@ line of words, is due. Documents stand in the order of a hash of doc_id.
 A source whose target is more than its size is passed through again; the last
 pass stops at the word that meets the target.
 
+The mix is worked out on ids and sizes alone. ``mixed_documents`` joins the
+documents to it once, by a 128-bit hash of the row, and lays them out in
+stretches of training time of ``part_words`` words each: the words demanded of
+all sources up to a time are a polynomial in it, so no sample is needed.
+
 Edge cases: a null text has size 0, is never taken and has no position; a null
 source is a source of its own, after all others; null ids count as ''; repeated
 rows are documents of their own; an empty table gives no rows; other columns,
@@ -22,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import n_words
+from plantlens.llm.common import n_words, saved
 
 #: Leading hex digits of the order hash that part a source's line into stretches (4096), each summed on its own.
 STRETCH = 3
@@ -51,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), slopes: Sequence[float] = SLOPES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
-    """row (the document, or its columns in ``keep``), size, source_size, target, before (words of its source in front of it), taken and slope."""
+    """row (the document, or its columns in ``keep``), size, source_size, target, before (words of its source in front of it), taken, slope and number of its source."""
     lined = docs.select(
         F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"),
         n_words(f"`{text_col}`").alias("size"),
@@ -69,7 +74,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), slopes: Sequen
     rest = goal - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("nth") % len(slopes) + 1).cast("int"))
-    return placed.select("row", "order", "size", "source_size", "target", "before", taken.cast("long").alias("taken"), slope.alias("slope"))
+    return placed.select("row", "order", "size", "source_size", "target", "before", taken.cast("long").alias("taken"), slope.alias("slope"), "nth")
 
 
 def position(copy) -> "Column":
@@ -85,26 +90,43 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return mix_plan(docs, keep=[id_col], **how).select(F.col(f"row.`{id_col}`").alias("doc_id"), "size", "source_size", "target", "taken", position(F.lit(0)).alias("position")).orderBy("position", "doc_id", "size")
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
+def row_key(docs: DataFrame) -> tuple:
+    """Two hashes of a whole row, which also tell apart where its nulls are."""
+    nulls = F.concat(*(F.when(docs[c].isNull(), "n").otherwise("v") for c in docs.columns))
+    return tuple(F.xxhash64(F.lit(seed), nulls, *(docs[c] for c in docs.columns)) for seed in (1, 2))
+
+
+def mixed_documents(docs: DataFrame, part_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **how) -> DataFrame:
     """The mix itself, in training order, with the columns of ``docs``: a row for each pass that takes a document.
 
     The pass that stops inside a document (one of each source at most) takes its first words, joined by blanks.
     """
-    plan = mix_plan(docs, text_col=text_col, **how).where("taken > 0")
+    k1, k2 = row_key(docs)
+    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"), k1.alias("k1"), k2.alias("k2"))
+    plan = mix_plan(slim, keep=["k1", "k2"], **how).where("taken > 0")
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil((F.col("taken") - F.col("size")) / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    chosen = saved(copies.select("row.k1", "row.k2", "order", "copy", "size", words.alias("words"), position(F.col("copy")).alias("due"), "nth", "target", "slope"))
+    sources = chosen.select("nth", "target", "slope").distinct().agg(F.sum(F.col("target") * (1 - F.col("slope"))).alias("a"), F.sum(F.col("target") * F.col("slope")).alias("b"))
+    total, a, b = (v or 0 for v in (*chosen.agg(F.sum("words")).first(), *sources.first()))
+    parts = int(total // part_words) + 1
+    share = (F.lit(float(a)) * F.col("due") + F.lit(float(b)) * F.col("due") * F.col("due")) / F.lit(float(a + b) or 1.0)
+    dated = chosen.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))).cast("int"))
+    # repeated rows are one row here: each of their places in the plan takes it
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), k1.alias("k1"), k2.alias("k2")).dropDuplicates(["k1", "k2"])
     text = F.col(f"row.`{text_col}`")
-    short = F.array_join(F.slice(F.expr(f"regexp_extract_all(row.`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.lit(1), words.cast("int")), " ")
-    cut = copies.withColumn("cut", F.when(words < F.col("size"), short).otherwise(text)).withColumn("due", position(F.col("copy")))
+    short = F.array_join(F.slice(F.expr(f"regexp_extract_all(row.`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"), F.lit(1), F.col("words").cast("int")), " ")
+    cut = dated.join(whole, ["k1", "k2"]).withColumn("cut", F.when(F.col("words") < F.col("size"), short).otherwise(text))
     fields = []
     for f in docs.schema.fields:
         col = F.col(f"row.`{f.name}`")
         if f.name == text_col:
             col = F.col("cut")
         elif f.name == chars_col:
-            col = F.when(words < F.col("size"), F.length("cut").cast(f.dataType)).otherwise(col)
+            col = F.when(F.col("words") < F.col("size"), F.length("cut").cast(f.dataType)).otherwise(col)
         fields.append(col.alias(f.name))
-    return cut.repartitionByRange("due", "order", "copy").sortWithinPartitions("due", "order", "copy").select(*fields)
+    laid = cut.select("part", "due", "order", "copy", F.struct(*fields).alias("row"))
+    return laid.repartitionById(parts, "part").sortWithinPartitions("due", "order", "copy").select("row.*")
 
 
 #: DuckDB twin of ``mix(documents)`` with the defaults.

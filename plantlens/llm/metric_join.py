@@ -14,10 +14,12 @@ vector and the edges of a spanning forest of its links, so what it returns grows
 with its vectors and not with its pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing; vectors of different lengths do not meet; rows of
-one vec_id are one vector (the least if they differ); rows without id are one
-vector without links, component or a place among the kept; an empty table gives
-no rows; other columns are ignored.
+components link with nothing; all others are scaled before their norm is taken,
+so none is too long or too short; vectors of different lengths do not meet.
+Every row is a vector of its own and has a row in the result, repeated rows and
+unlike vectors of one vec_id too. Rows without id link like others; their
+component is the least id there is in it, or null, and they are not kept. An
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from plantlens.llm.common import saved
 from plantlens.llm.components import components
 
-#: Rows on either side of a block; rows of it that are multiplied at a time.
-BLOCK, STRIP = 8192, 512
+#: Rows on either side of a block, and the most bytes they may have; rows of it that are multiplied at a time.
+BLOCK, BLOCK_BYTES, STRIP = 8192, 64 << 20, 512
 MOST_PIVOTS = 4096
 
 
@@ -46,7 +48,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
             digests, dims, raw = [], [], []
             for v in batch.column(1).to_pylist():
                 a = np.array(v, dtype=np.float64) if v and None not in v else np.zeros(0)
-                ok = len(a) and np.isfinite(a).all() and a.any() and np.isfinite(np.linalg.norm(a)) and np.linalg.norm(a) > 0
+                ok = len(a) and np.isfinite(a).all() and a.any()
                 raw.append((a + 0.0).tobytes() if ok else None)
                 dims.append(len(a))
                 digests.append(hashlib.sha256(raw[-1]).hexdigest() if ok else None)
@@ -62,7 +64,7 @@ def unit(raw: list[bytes]) -> np.ndarray:
 
 
 def dealt(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
-    """node, mult, raw, dim, cell and home: a row for the home cell and one for each cell before it that is within reach."""
+    """digest, mult, raw, dim, cell and home: a row for the home cell and one for each cell before it that is within reach."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def work(batches):
@@ -85,9 +87,9 @@ def dealt(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> Da
                     home += [np.ones(len(some), dtype=bool), np.zeros(len(r), dtype=bool)]
             if at:
                 picked = batch.take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(cells), type=pa.int64()), pa.array(np.concatenate(home))], names=["node", "mult", "raw", "dim", "cell", "home"])
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(cells), type=pa.int64()), pa.array(np.concatenate(home))], names=["digest", "mult", "raw", "dim", "cell", "home"])
 
-    return classes.select("node", "mult", "raw", "dim").mapInArrow(work, "node long, mult long, raw binary, dim long, cell long, home boolean")
+    return classes.select("digest", "mult", "raw", "dim").mapInArrow(work, "digest string, mult long, raw binary, dim long, cell long, home boolean")
 
 
 def hooked(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -104,14 +106,14 @@ def hooked(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def joined_block(block: pa.Table, least: float) -> pa.Table:
     """Of a block: (a, null, n) for the links of each vector, and (a, b, 0) for the edges of a spanning forest."""
-    node, mult = block["node"].to_numpy(), block["mult"].to_numpy().astype(np.float64)
+    digest, mult = block["digest"].combine_chunks(), block["mult"].to_numpy().astype(np.float64)
     side = block["side"].to_numpy()
     x = unit(block["raw"].to_pylist())
     same = bool((side == 2).any())  # a chunk against itself
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     x32 = x.astype(np.float32)
     margin = 1e-6 * math.sqrt(x.shape[1]) + 1e-6
-    links, label = np.zeros(len(node)), np.arange(len(node))
+    links, label = np.zeros(len(digest)), np.arange(len(digest))
     columns = np.ascontiguousarray(x32[right].T)
     for k in range(0, len(left), STRIP):
         rows = left[k : k + STRIP]
@@ -127,28 +129,29 @@ def joined_block(block: pa.Table, least: float) -> pa.Table:
             links[right] += mult[rows] @ linked
         i, j = np.nonzero(linked)
         label = hooked(label, rows[i], right[j])
-    has, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(node)))
-    a = np.concatenate([node[has], node[tied]])
-    b = pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(node[label[tied]], type=pa.int64())])
-    return pa.table({"a": pa.array(a, type=pa.int64()), "b": b, "n": pa.array(np.concatenate([links[has], np.zeros(len(tied))]).astype(np.int64))})
+    has, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(digest)))
+    a = digest.take(pa.array(np.concatenate([has, tied])))
+    b = pa.concat_arrays([pa.nulls(len(has), pa.string()), digest.take(pa.array(label[tied]))])
+    return pa.table({"a": a, "b": b, "n": pa.array(np.concatenate([links[has], np.zeros(len(tied))]).astype(np.int64))})
 
 
 def metric_join(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per vector."""
     spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    ready = saved(classes_of(rows))
-    valid = ready.where("digest is not null and vec_id is not null")
-    classes = saved(valid.groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("raw").alias("raw"), F.first("dim").alias("dim")))
+    ready = saved(classes_of(vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("v"))))
+    valid = ready.where("digest is not null")
+    classes = saved(valid.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("raw").alias("raw"), F.first("dim").alias("dim")))
     pivots = {}
     for dim, n in classes.groupBy("dim").count().collect():
-        some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("node")).limit(min(MOST_PIVOTS, 4 + math.isqrt(n) // 16)).select("raw").collect()
+        some = classes.where(F.col("dim") == dim).orderBy("digest").limit(min(MOST_PIVOTS, 4 + math.isqrt(n) // 16)).select("raw").collect()
         pivots[dim] = unit([bytes(r[0]) for r in some])
     placed = saved(dealt(classes, pivots, math.sqrt(max(0.0, 2 - 2 * least))))
     # at most MOST_PIVOTS rows of a length reach the driver
-    sizes = placed.groupBy("dim", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).withColumns({"h": F.ceil(F.col("homes") / BLOCK).cast("int"), "g": F.ceil(F.col("guests") / BLOCK).cast("int")})
+    sizes = placed.groupBy("dim", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (F.col("dim") * 8))))
+    sizes = sizes.withColumns({"h": F.ceil(F.col("homes") / rows).cast("int"), "g": F.ceil(F.col("guests") / rows).cast("int")})
     chunked = placed.join(F.broadcast(sizes.select("dim", "cell", "h", "g")), ["dim", "cell"])
-    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("home"), F.col("h")).otherwise(F.col("g"))).cast("int"))
+    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(5)), F.when(F.col("home"), F.col("h")).otherwise(F.col("g"))).cast("int"))
     # a home chunk meets itself (side 2), the home chunks before (1) and behind (0) it, and every guest chunk; a guest chunk every home chunk
     block = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     own = F.array(block("h", F.col("chunk"), F.col("chunk"), 2))
@@ -158,12 +161,13 @@ def metric_join(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     guests = span(F.lit(0), F.col("g") - 1, lambda j: block("g", F.col("chunk"), j, 0))
     homes = span(F.lit(0), F.col("h") - 1, lambda i: block("g", i, F.col("chunk"), 1))
     blocks = chunked.withColumn("to", F.explode(F.when(F.col("home"), F.concat(own, before, behind, guests)).otherwise(homes)))
-    blocks = blocks.select("dim", "cell", "to.kind", "to.i", "to.j", "to.side", "node", "mult", "raw")
-    found = saved(blocks.groupBy("dim", "cell", "kind", "i", "j").applyInArrow(lambda t: joined_block(t, least), "a long, b long, n long"))
+    blocks = blocks.select("dim", "cell", "to.kind", "to.i", "to.j", "to.side", "digest", "mult", "raw")
+    found = saved(blocks.groupBy("dim", "cell", "kind", "i", "j").applyInArrow(lambda t: joined_block(t, least), "a string, b string, n long"))
     known = components(found.where("b is not null").select("a", "b"))
-    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    of_digest = classes.select("digest", "node", "mult").join(counts, "node", "left").join(known, "node", "left")
-    of_digest = of_digest.select("digest", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    joined = ready.drop("raw").join(of_digest, "digest", "left")
-    component = F.coalesce("component", "vec_id")
+    counts = found.groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
+    of_digest = classes.select("digest", "least", "mult").join(counts, "digest", "left").join(known.withColumnRenamed("node", "digest"), "digest", "left")
+    of_digest = saved(of_digest.select("digest", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "digest").alias("component")))
+    names = of_digest.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = ready.drop("raw").join(of_digest.join(names, "component").drop("least"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -12,18 +12,30 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def rooted(hook: DataFrame) -> DataFrame:
+    """(node, up) with every node at the root of its tree: pointers are doubled until none moves, so a tree of depth d takes about log2 d steps."""
+    while True:
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("higher"))
+        hook = saved(hook.join(above, "up").select("node", F.col("higher").alias("up"), (F.col("higher") != F.col("up")).alias("moved")))
+        if hook.where("moved").isEmpty():
+            return hook.select("node", "up")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b); a component's number is its least node.
 
-    Each round hooks every node to its least neighbour (or leaves it if it is
-    itself less), and replaces the edges by those between the hooked-to nodes. The
-    nodes left at least halve in each round. All of it are joins and grouped
-    minima over tables in the shared folder; nothing reaches the driver.
+    Each round hooks every node to its least neighbour (or leaves it, if it is
+    itself less), goes up to the roots of the trees this gives, and replaces the
+    edges by those between roots. A root that nobody hooks to is no root in the
+    next round, as its neighbours have gone to lesser nodes; so every other round
+    at least halves the nodes left, and n nodes take O(log n) rounds of O(log n)
+    steps. A chain in order of its numbers is one round. All of it are joins and
+    grouped minima over tables in the shared folder; nothing reaches the driver.
     """
     live = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     hooks: list[DataFrame] = []
     while not live.isEmpty():
-        hook = saved(both_ways(live).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("up")))
+        hook = rooted(both_ways(live).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("up")))
         hooks.append(hook)
         first, second = hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = live.join(first, "a").join(second, "b").where("ua <> ub")
@@ -33,4 +45,4 @@ def components(edges: DataFrame) -> DataFrame:
     found = hooks[0].select("node", F.col("up").alias("component"))
     for hook in hooks[1:]:
         found = found.join(hook.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    return saved(found)
+    return saved(found) if len(hooks) > 1 else found

@@ -6,14 +6,19 @@ t or more then share a shingle among the first ``n - ceil(t n) + 1`` of each,
 their prefixes. Documents with the same size and prefix form one group, and
 only groups are joined on prefix shingles.
 
-Links are verified on whole sets (40 bits of each shingle's hash), in rounds.
+Links are verified on whole sets (all 64 bits of each shingle's hash), in rounds.
 First every group of a shingle is tried against one of them; the links found
 there put most copies of a text into one component, whatever their number. Then
 the same is done twice around other holders of each shingle, drawn by hash, and
 at last all pairs of the same shingle that still lie in different components
 are tried (size, position and sketch filters first, none of which loses a
 link), so that no link between components is lost. Links within a component
-would not change the result.
+would not change the result. In that last join the holders of a shingle meet
+only others of about their size, and a shingle with many is split into blocks
+that meet block by block.
+
+A set travels to each text it is compared with; the text in the middle of a
+star is sent there once, or once for every STAR others if they are many.
 
 How frequent a shingle is, is estimated from a sixteenth of its occurrences in
 all documents (drawn by hash), and the most frequent are kept in a list of
@@ -22,13 +27,15 @@ same links.
 
 Edge cases: a null or wordless text has an empty set and is linked with
 nothing; a text of fewer than five words has one shingle; equal texts are one
-component; rows of one doc_id should be equal (else they count as copies, one
-text standing for all); rows without id are returned without component; an
+component; rows of one doc_id should be equal (else they count as copies, and
+the text with the least digest stands for all); rows without id are returned without component; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,6 +52,8 @@ DRAW, SEEN, LISTED = 16, 4, 1_000_000
 DRAWS = (1, 2)
 #: Words of 64 bits in the sketch of a set.
 SKETCH = 8
+#: Holders of a shingle in a block of the last join; partners of a text that are compared with it in one group.
+BLOCK, STAR = 2048, 4096
 #: Words of the filter that spares texts which no candidate needs, and bits of the one in front of the list of frequent shingles.
 FILTER_WORDS, LIST_BITS = 1 << 18, 24
 
@@ -143,7 +152,7 @@ def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(node, n, shingles as bytes) of the nodes needed; a bit filter of fixed size spares most other texts the work."""
+    """(node, digest, shingles as bytes) of texts whose id may be among the nodes needed; a bit filter of fixed size spares most others the work."""
     place = lambda c: (F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(63)))
     word, bit = place("node")
     bits = needed.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).select("word", F.call_function("shiftleft", F.col("one"), F.col("bit").cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
@@ -158,41 +167,41 @@ def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(hit)
         if not len(at):
             return None
-        sets = shingle_sets([texts[i] for i in at], k)
-        return {"node": rows.column(0).take(pa.array(at)), "n": [len(s) for s in sets], "shingles": pa.array(list(map(packed, sets)), type=pa.binary())}
-
-    return by_slice(asked, "text", "node long, n long, shingles binary", work).join(needed, "node", "left_semi").dropDuplicates(["node"])
-
+        raw = [s.tobytes() for s in shingle_sets([texts[i] for i in at], k)]
+        return {"node": rows.column(0).take(pa.array(at)), "digest": [xxhash.xxh3_128_hexdigest(b) for b in raw], "shingles": pa.array(raw, type=pa.binary())}
 
-def packed(s: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted hashes: first the highest byte of each, which changes seldom, then the other four."""
-    short = s >> np.uint64(24)
-    return (short >> np.uint64(32)).astype(np.uint8).tobytes() + short.astype("<u4").tobytes()
-
-
-def unpacked(raw: pa.Buffer) -> np.ndarray:
-    n = raw.size // 5
-    return (np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(raw, dtype="<u4", offset=n)
+    return by_slice(asked, "text", "node long, digest string, shingles binary", work)
 
 
 def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of a saved table whose sets are similar enough."""
-    sets = saved(needed_sets(own, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k))
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
-    joined = pairs.join(first, "a").join(second, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+    needed = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = needed_sets(own, needed, k).join(needed, "node", "left_semi").groupBy("node").agg(F.min_by("shingles", "digest").alias("shingles"))
+    # b travels to its place at a, and a once to each part of a
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    centres = parts.select(F.col("a").alias("node"), F.col("a").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("other"))
+    others = pairs.join(parts, "a").select(F.col("b").alias("node"), F.col("a").alias("home"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("other"))
+    sent = centres.union(others).join(sets, "node").repartition("home", "part").sortWithinPartitions("home", "part", "other").select("home", "part", "other", "node", "shingles")
 
     def check(batches):
+        now, centre = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-
-    return joined.mapInArrow(check, "a long, b long")
+            a, b = [], []
+            for home, part, other, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                s = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                if not other:
+                    now, centre = (home, part), s.copy()
+                    continue
+                assert now == (home, part)
+                if 100 * min(len(s), len(centre)) >= percent * max(len(s), len(centre)):
+                    at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+                    common = int((centre[at] == s).sum())
+                    if 100 * common >= percent * (len(s) + len(centre) - common):
+                        a.append(home)
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+    return sent.mapInArrow(check, "a long, b long")
 
 
 def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
@@ -204,20 +213,49 @@ def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFr
     return saved(rows.join(several, "token").join(members.select("node", "sketch"), "node"))
 
 
-def pairs_of(rows: DataFrame, percent: int, seed: int | None) -> DataFrame:
-    """Pairs (a < b) of different components that share a token and may be similar enough; with a seed, only those with one drawn holder of each token."""
+def may_link(percent: int) -> str:
+    """What rows x and y that share a token have to meet: unlike components, and sizes, places and sketches that allow for a link."""
     differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH))
-    near = (
-        f"x.token = y.token AND x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    return (
+        f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         f" AND (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND (100 + {percent}) * ({differ}) <= (100 - {percent}) * (x.n + y.n)"
     )
-    others = rows
-    if seed is None:
-        near += " AND x.node < y.node"
-    else:
-        drawn = F.min_by(F.struct("pos", "node", "n", "component", "sketch"), F.xxhash64("token", "node", F.lit(seed)))
-        others = rows.groupBy("token").agg(drawn.alias("y")).select("token", "y.*")
-    return rows.alias("x").join(others.alias("y"), F.expr(near)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+PAIR = ("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b")
+
+
+def pairs_with_drawn(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a < b) that may link, of the rows of each token with one that is drawn among them."""
+    drawn = F.min_by(F.struct("pos", "node", "n", "component", "sketch"), F.xxhash64("token", "node", F.lit(seed)))
+    others = rows.groupBy("token").agg(drawn.alias("y")).select("token", "y.*")
+    return rows.alias("x").join(others.alias("y"), F.expr(f"x.token = y.token AND {may_link(percent)}")).selectExpr(*PAIR).distinct()
+
+
+def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) that may link, of all rows of each token.
+
+    Rows are dealt by size, in steps so long that a link reaches the next step at
+    most; a token's rows of one step are cut into blocks, and each pair of blocks
+    of a step, or of a step and the next one, meets on its own.
+    """
+    step = max(math.log(100 / percent), 0.05) * 1.000001
+    placed = rows.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    counts = placed.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("step", "blocks"))).alias("blocks"))
+    dealt = placed.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("step")]).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    here, mine = F.col("step"), F.col("mine")
+    count = lambda at: F.coalesce(F.try_element_at("blocks", at), F.lit(0))
+    every = lambda n, make: F.transform(F.when(n > 0, upto(n)).otherwise(F.array().cast("array<int>")), make)
+    # as the first of a pair: against all blocks of its own step and of the next; as the second likewise
+    first = F.concat(every(count(here), lambda j: cell(here, here, mine, j)), every(count(here + 1), lambda j: cell(here, here + 1, mine, j)))
+    second = F.concat(every(count(here), lambda i: cell(here, here, i, mine)), every(count(here - 1), lambda i: cell(here - 1, here, i, mine)))
+    own = ("token", "pos", "node", "n", "component", "sketch")
+    x, y = (dealt.select(*own, F.explode(cells).alias("cell")).select(*own, "cell.*") for cells in (first, second))
+    same = " AND ".join(f"x.{c} = y.{c}" for c in ("token", "low", "high", "i", "j"))
+    return x.alias("x").join(y.alias("y"), F.expr(f"{same} AND (x.low < x.high OR x.node < y.node) AND {may_link(percent)}")).selectExpr(*PAIR).distinct()
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +285,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     tested = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for seed in (*DRAWS, None):
         rows = open_rows(shared, members, known)
-        more = saved(pairs_of(rows, percent, seed).join(tested, ["a", "b"], "left_anti"))
+        found = all_pairs(rows, percent) if seed is None else pairs_with_drawn(rows, percent, seed)
+        more = saved(found.join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         links, tested = links.union(saved(verified(more, own, k, percent))), tested.union(more)

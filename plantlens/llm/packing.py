@@ -2,13 +2,19 @@
 
 Every document becomes its token ids and a closing id. Its hashed bag of ids is
 projected to three dimensions, and the place of that point on a Hilbert curve,
-with a hash of doc_id behind it for ties, orders the corpus. The ordered tokens
-form one line that is cut every ``length`` tokens, so that neighbours on the
-curve share sequences and only the last sequence is padded.
+with a hash of doc_id and ids behind it for ties, orders the corpus. The ordered
+tokens form one line that is cut every ``length`` tokens, so that neighbours on
+the curve share sequences and only the last sequence is padded.
+
+The line is cut into cells of about ``cell_tokens`` tokens (a document's place
+counts once for every WEIGHT of its tokens), one for each task, whatever the
+input's size. The driver holds two numbers per cell: 24 GB of text make about a
+thousand cells.
 
 Edge cases: a null or empty text is its closing id alone; repeated rows are
 packed one by one; equal documents follow each other in the order of hash and
-id; an empty table gives no rows; other columns are ignored.
+id; rows without id are told apart by their ids (equal ones lie in one cell);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ from plantlens.llm.common import by_slice, id_text, saved
 from plantlens.llm.words_bpe import encode, vocab
 
 DIMS, BITS, BUCKETS = 3, 10, 1024
-#: A cell is a stretch of the curve that one task lays out; there are at most MOST_CELLS of them.
-CELL_TOKENS, MOST_CELLS = 2_000_000, 20_000
+#: A document weighs one for every so many tokens it begins when cells are cut.
+WEIGHT = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -85,31 +91,32 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int, id_col: str, text_c
         return {"doc_id": rows.column(0), "ids": pa.array(raw, type=pa.binary()), "n": [len(i) for i in ids], "place": place}
 
     found = by_slice(id_text(docs, id_col, text_col), "text", "doc_id long, ids binary, n long, place long", work)
-    return found.select("doc_id", "ids", "n", (F.shiftleft("place", 32) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).alias("at"))
+    return found.select("doc_id", "ids", "n", (F.shiftleft("place", 32) + F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 32))).alias("at"))
 
 
-def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1, cell_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark, v = docs.sparkSession, vocab(vocab_path)
     if max(int(v.width) + len(v.special), end_id + 1) > 1 << 16:
         raise ValueError("ids of this vocabulary need more than two bytes")
     ready = saved(tokenized(docs, vocab_path, end_id, id_col, text_col))
     total = ready.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cells = int(min(MOST_CELLS, total // CELL_TOKENS + 1))
-    shares = [k / cells for k in range(1, cells)]
-    bounds = np.array(sorted(set(ready.agg(F.percentile_approx("at", shares, 10 * max(cells, 1000))).first()[0] or [])) if shares else [], dtype=np.int64)
+    wanted = int(total // cell_tokens + 1)
+    shares = [k / wanted for k in range(1, wanted)]
+    weighed = ready.select(F.explode(F.array_repeat("at", F.ceil(F.col("n") / WEIGHT).cast("int"))).alias("at"))
+    bounds = np.unique(np.array((weighed.agg(F.percentile_approx("at", shares, max(10_000, 4 * wanted))).first()[0] or []) if shares else [], dtype=np.int64))
+    cells = len(bounds) + 1
+    shared_bounds = spark.sparkContext.broadcast(bounds)
 
     @F.pandas_udf("int")
     def cell_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(shared_bounds.value, at.to_numpy(), side="right").astype(np.int32))
 
     dealt = ready.withColumn("cell", cell_of("at"))
-    # at most MOST_CELLS rows reach the driver
-    sums = dict(dealt.groupBy("cell").agg(F.sum("n")).collect())
-    begins, at = {}, 0
-    for cell in sorted(sums):
-        begins[cell], at = at, at + sums[cell]
-    shared = spark.sparkContext.broadcast(begins)
+    sums = dealt.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros(cells, dtype=np.int64)
+    held[sums["cell"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    shared = spark.sparkContext.broadcast(np.cumsum(held) - held)
 
     def lay(batches):
         now, place = None, 0
@@ -117,7 +124,7 @@ def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1,
             out: list[tuple] = []
             for doc, raw, cell in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if cell != now:
-                    now, place = cell, shared.value[cell]
+                    now, place = cell, int(shared.value[cell])
                 ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
                 start = 0
                 while start < len(ids):
@@ -127,6 +134,5 @@ def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    parts = max(cells, 1) if cells < 2000 else 2000
-    ordered = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "at", "doc_id", "n", "ids").select("doc_id", "ids", "cell")
+    ordered = dealt.repartitionById(cells, "cell").sortWithinPartitions("cell", "at", "doc_id", "n", "ids").select("doc_id", "ids", "cell")
     return ordered.mapInArrow(lay, PIECES)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from plantlens.llm import components as c
 from plantlens.llm.metric_join import metric_join
 from plantlens.llm.ngram_join import ngram_join, one_of_each
 
@@ -117,27 +118,83 @@ def test_one_of_each_with_repeated_rows_and_null_ids(spark):
     assert [tuple(r) for r in one_of_each(many).collect()] == [(5, a)]
 
 
+def test_shingle_join_of_texts_that_a_polynomial_confuses(spark):
+    tm = lambda n, o: "".join("ab"[(bin(k).count("1") + o) % 2] for k in range(n))
+    rows = [(2 * k + o, " ".join(tm(n, (j + o) % 2) for j in range(12))) for k, n in enumerate((1024, 2048)) for o in (0, 1)]
+    rows += [(10 + o, " ".join(f"{tm(1024, o)}{j}" for j in range(9))) for o in (0, 1)]
+    assert sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_shingle_join_in_small_blocks_and_stars(spark, monkeypatch):
+    from plantlens.llm import ngram_join as m
+
+    monkeypatch.setattr(m, "BLOCK", 4)
+    monkeypatch.setattr(m, "STAR", 3)
+    monkeypatch.setattr(m, "DRAWS", ())
+    rng = np.random.default_rng(11)
+    common, rows = words(rng, 30), []
+    for k in range(60):  # all share a passage, few are alike, in sizes from 35 to 95 words
+        own = words(rng, 5 + k)
+        rows += [(10 * k, f"{common} {own}"), (10 * k + 1, f"{common} {own} tail")]
+    rows += [(1000 + k, f"{common} same text repeated {k}") for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, token string, n long")
+    assert sorted(map(tuple, ngram_join(docs).collect())) == brute(rows)
+
+
+def test_unlike_texts_of_one_id_give_the_same_on_every_run(spark):
+    rng = np.random.default_rng(12)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, words(rng, 50))]
+    runs = [sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect())) for n in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "mixed"])
+def test_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch, order):
+    n, steps = 1000, []
+    names = {"rising": list(range(n)), "falling": list(range(n))[::-1], "mixed": np.random.default_rng(4).permutation(n).tolist()}[order]
+    links = list(zip(names, names[1:])) + [(2000 + k, 2999) for k in range(50)] + [(5, 5), (3000, 3001), (3001, 3000)]
+    real = c.saved
+    monkeypatch.setattr(c, "saved", lambda df: steps.append(1) or real(df))
+    got = {r.node: r.component for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    linked = [x for x in links if x[0] != x[1]]
+    assert got == least(sorted({i for x in linked for i in x}), linked)
+    # tables written: pointer steps and contractions
+    assert len(steps) <= 30
+
+
+def test_no_links(spark):
+    assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def brute_vectors(rows, t=0.95):
-    ids = [i for i, _ in rows]
-    ok = {i: np.array(v, dtype=np.float64) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
-    links = {i: 0 for i in ids}
-    pairs = []
-    names = list(ok)
-    x = np.stack([ok[i] / np.linalg.norm(ok[i]) for i in names])
-    a, b = np.nonzero(np.triu(x @ x.T >= t, 1))
-    for i, j in zip(a, b):
-        pairs.append((names[i], names[j]))
-        links[names[i]] += 1
-        links[names[j]] += 1
-    of = least(ids, pairs)
-    return sorted((i, links[i], of[i], of[i] == i) for i in ids)
+    """One row per vector, by place; ids may be null or repeated."""
+    ok = [k for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and np.any(v)]
+    scaled = [np.array(rows[k][1], dtype=np.float64) / np.abs(rows[k][1]).max() for k in ok]
+    x = np.stack([v / np.linalg.norm(v) for v in scaled])
+    links, pairs = [0] * len(rows), []
+    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= t, 1))):
+        pairs.append((ok[i], ok[j]))
+        links[ok[i]] += 1
+        links[ok[j]] += 1
+    of = least(range(len(rows)), pairs)
+    names = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            names[of[k]] = min(i, names.get(of[k], i))
+    key = lambda r: (r[0] is None, *map(str, r))
+    return sorted(((i, links[k], names.get(of[k]), i is not None and names[of[k]] == i) for k, (i, _) in enumerate(rows)), key=key)
+
+
+def shown(frame):
+    return sorted(map(tuple, frame.collect()), key=lambda r: (r[0] is None, *map(str, r)))
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_vector_join_on_all_embeddings(spark, sf):
     rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     want = brute_vectors([(r.vec_id, r.embedding) for r in rows.select("vec_id", "embedding").collect()])
-    assert sorted(map(tuple, metric_join(rows).collect())) == want
+    assert shown(metric_join(rows)) == want
 
 
 def test_vector_join_edges_and_blocks(spark, monkeypatch):
@@ -148,9 +205,11 @@ def test_vector_join_edges_and_blocks(spark, monkeypatch):
     centres = rng.standard_normal((40, 16))
     x = centres[rng.integers(40, size=900)] + 0.18 * rng.standard_normal((900, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(150)]
-    rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] * 16), (2005, [1e300] * 16), (2006, [1.0] * 16), (2007, (5 * x[1]).tolist())]
-    got = metric_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    want = brute_vectors([r for r in rows if r[0] != 2005])
-    mine = {r.vec_id: tuple(r) for r in got}
-    assert {k: v for k, v in mine.items() if k not in (2005, 2006)} == {w[0]: w for w in want if w[0] != 2006}
+    rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] * 16), (2005, [1e300] * 16), (2006, [1.0] * 16), (2007, (5 * x[1]).tolist()), (2008, [1e-200] * 16)]
+    rows += [(None, x[2].tolist()), (None, x[2].tolist()), (None, None), (None, rng.standard_normal(16).tolist()), (3, x[40].tolist()), (3, x[3].tolist()), (4000, [1.0, 2.0]), (4001, [2.0, 4.0])]
+    same = [r for r in rows if r[1] is None or len(r[1]) != 2]
+    docs = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, digest string, cell long")
+    got = shown(metric_join(docs))
+    short = [(4000, 1, 4000, True), (4001, 1, 4000, False)]
+    assert [r for r in got if r not in short] == brute_vectors(same) and all(r in got for r in short)
     assert metric_join(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0

@@ -60,7 +60,7 @@ def test_added_phones_keep_their_opening_bracket():
     assert [c[:4] for c in found] == [(5, 19, 3, False)]
     # the gazetteer's vote comes third
     assert found[0][4][3] == "y"
-    assert pii.redacted(text, {found[0][4]: True}) == "call [PHONE]"
+    assert pii.redacted(text, lambda places: True) == "call [PHONE]" and pii.redacted(text, lambda places: False) == text
     assert [c[:3] for c in pii.candidates("(555) 123-4567")] == [(0, 14, 3)]
     assert [c[:3] for c in pii.candidates("fax ((555) 123-4567 or (+1 555 123-4567)")] == [(5, 19, 3), (24, 39, 3)]
 
@@ -77,6 +77,118 @@ def test_masking_keeps_rows_and_leaves_no_base_span(spark):
         assert not base(r.text)
 
 
+TOKEN = re.compile(r'token = "([0-9a-f]{40})"')
+
+
+def test_secrets_are_found_and_masked(spark):
+    docs = documents(spark)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {i: [m.span(1) for m in TOKEN.finditer(t)] for i, t in texts.items() if TOKEN.search(t)}
+    got = {r.doc_id: r for r in pii.pii(docs).collect()}
+    assert len(planted) > 5
+    for i, spans in planted.items():
+        assert {f"secret:{a}:{b}" for a, b in spans} <= set(got[i].spans.split(",")) and got[i].n_secret >= len(spans)
+    masked = {r.doc_id: r.text or "" for r in pii.redacted_documents(docs).collect()}
+    assert not any(TOKEN.search(t) for t in masked.values())
+    # documents without any span are left alone
+    assert all(masked[i] == t for i, t in texts.items() if not got[i].spans)
+
+
+PLANTED = {
+    "email": ["write to {}", "Kontakt: {}", "correo {}", "courriel : {}", "mail {}"],
+    "phone": ["call {}", "Anruf unter {}", "tel. {}", "llame al {}", "appelez {}"],
+    "card": ["card {}", "Kreditkarte {}", "tarjeta {}", "carte {}", "visa {}"],
+    "secret": ['token = "{}"', "passwort: {}", "clave={}", 'mot de passe = "{}"', "api_key: {}"],
+}
+DECOYS = ["order {}", "ISBN {}", "Rechnung {}", "pedido {}", "commande {}", "commit {}", "version {}", "chapitre {}"]
+
+
+def planted_corpus(n=1200, seed=6):
+    """Texts with spans that no base rule finds, and with decoys: (text, {(kind, start, end)})."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    digits = lambda k: "".join(map(str, rng.integers(10, size=k)))
+    filler = lambda: " ".join(pick(["lorem", "und", "de", "la", "the", "of", "dans", "mit", "con", "words"]) for _ in range(12))
+
+    def checked(number):
+        return next(number[:-1] + str(d) for d in range(10) if pii.luhn(number[:-1] + str(d)))
+
+    def value(kind, true):
+        if kind == "email":
+            return f"{pick(['ann', 'bob', 'eva'])}{digits(2)} (at) {pick(['host', 'mail'])}{digits(1)} (dot) {pick(['com', 'de', 'fr'])}"
+        if kind == "phone":
+            return f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{digits(4)}"
+        if kind == "card":
+            return "-".join(re.findall("....", "9" + digits(15)))
+        return "".join(pick("abcdef0123456789") for _ in range(40)) if true else "-".join("".join(pick("abcdef0123456789") for _ in range(k)) for k in (8, 4, 4, 4, 12))
+
+    out = []
+    for k in range(n):
+        text, spans = filler() + " ", set()
+        if k % 3 < 2:
+            kind = ["email", "phone", "secret"][k // 3 % 3]
+            true = k % 3 == 0 or kind == "email"
+            before, after = pick(PLANTED[kind] if true else DECOYS).split("{}")
+            span = value(kind, true) if true or kind == "secret" else value("card", False)
+            text += before
+            if true:
+                spans.add((kind, len(text), len(text) + len(span)))
+            text += span + after + " "
+        # base spans teach what kinds look like
+        text += filler() + pick([f" +1 ({digits(3)}) 555-{digits(4)} ", f" x{digits(2)}@mail{digits(1)}.example.com ", f" card {checked('4' + digits(15))} ", " "]) + filler()
+        out.append((text, spans))
+    return out
+
+
+def test_added_spans_on_planted_texts(spark):
+    """Recall and precision of the added spans; the figures are in the README."""
+    corpus = planted_corpus()
+    rows = pii.pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus)], "doc_id long, text string")).collect()
+    hits = wanted = added = 0
+    for r in rows:
+        text, spans = corpus[r.doc_id]
+        got = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)} - {(kind, a, b) for a, _, b, kind in base(text)}
+        hits, wanted, added = hits + len(got & spans), wanted + len(spans), added + len(got)
+    print("recall", hits / wanted, "precision", hits / added)
+    assert hits / wanted > 0.95 and hits / added > 0.95
+
+
+def test_reliabilities_are_recovered():
+    rng = np.random.default_rng(9)
+    truth = rng.random(20_000) < 0.35
+    right = np.array([0.95, 0.8, 0.7, 0.9, 0.85, 0.75])
+    counts = {}
+    for t in truth:
+        vote = ["-" if rng.random() < 0.1 else "yn"[int((rng.random() < q) != t)] for q in right]
+        name = "3" + "".join(vote)
+        counts[name] = counts.get(name, 0) + 1
+    table, sure = pii.reliabilities(counts)
+    for j, q in enumerate(right):
+        for c, vote in ((1, 0), (0, 1)):
+            own = table[3, c, j]
+            assert own[vote] / (own[0] + own[1]) == pytest.approx(q, abs=0.03)
+    assert sum(counts[n] * p for n, p in sure.items()) / len(truth) == pytest.approx(0.35, abs=0.02)
+    assert pii.reliabilities({})[1] == {}
+
+
+def test_personal_data_in_odd_tables(spark):
+    rows = [(1, "a@b.co", "x", True), (1, "a@b.co", "x", True), (None, "ip 10.0.0.1", None, None), (2, None, "y", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, places string, base boolean")
+    got = pii.pii(docs).collect()
+    assert sorted((r.doc_id or 0, r.spans) for r in got) == [(0, "ip:3:11"), (1, "email:0:6"), (1, "email:0:6"), (2, "")]
+    masked = pii.redacted_documents(docs)
+    assert masked.schema == docs.schema
+    assert sorted((r.doc_id or 0, r.text or "", r.places or "") for r in masked.collect()) == [(0, "ip [IP]", ""), (1, "[EMAIL]", "x"), (1, "[EMAIL]", "x"), (2, "", "y")]
+    assert pii.pii(docs.limit(0)).count() == 0 and pii.redacted_documents(docs.limit(0)).count() == 0
+
+
+def test_looser_emails_of_any_length():
+    name, host = "n" * 300, "h" * 200
+    text = f"mail {name} (at) {host} [dot] org, x(at)y, [at] (at) z.de a [at] b.fr" + " (at)" * 3000
+    found = [text[a:b] for a, b in pii.loose_emails(text)]
+    assert found == [f"{name} (at) {host} [dot] org", "a [at] b.fr"]
+
+
 def test_rules_counts(spark):
     texts = [None, "", " \n", "w " * 60, "a b c a b c a b c", "one\ntwo\none\n\n \none ", "x # y * <z>", "é à\n" * 30] + [r.text for r in documents(spark).limit(300).collect()]
     rows = quality_rules.quality_rules(odd(spark, texts), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()
@@ -166,10 +278,32 @@ def test_mix_meets_its_targets(spark):
     assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
     by = got.groupby(["target", "source_size"]).agg(taken=("taken", "sum")).reset_index()
     assert ((by["taken"] - by["target"]).abs() <= 1).all() and (by["target"] <= 3 * by["source_size"] + 1e-6).all()
+    out = mixing.mixed_documents(docs, part_words=200)
+    assert out.columns == docs.columns and out.rdd.getNumPartitions() > 5
+    mixed = out.collect()
+    assert sum(len(WORD.findall(r.text)) for r in mixed) == got["taken"].sum()
+    # in training order, with as many copies of each row as passes take it
+    due = {r.doc_id: r.position for r in got.itertuples() if r.taken}
+    firsts = list(dict.fromkeys(r.doc_id for r in mixed))
+    assert sorted(firsts) == sorted(due) and all(due[a] <= due[b] + 1e-12 for a, b in zip(firsts, firsts[1:]))
+    copies = {}
+    for r in mixed:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    for r in got.itertuples():
+        if r.taken:
+            assert copies[r.doc_id] == -(-r.taken // r.size)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_nulls_keep_their_places_in_the_mix(spark):
+    rows = [(1, "a b c", None, "s"), (1, "a b c", "s", None), (1, "a b c", None, "s"), (2, "d e f", "s", "x"), (None, "g h", "s", "x"), (None, "g h", "s", "x"), (3, "", "s", "x"), (4, None, "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 string")
+    plan = mixing.mix(docs).collect()
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
-    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == got["taken"].sum()
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert out.schema == docs.schema
+    got = out.collect()
+    assert sum(len(WORD.findall(r.text)) for r in got) == sum(r.taken for r in plan) == 16
+    assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()} | {(i, t[:1], s, k) for i, t, s, k in rows if t} | {(i, t[:3], s, k) for i, t, s, k in rows if t}
 
 
 def damaged(data: bytes) -> bytes:

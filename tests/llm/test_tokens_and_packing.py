@@ -7,9 +7,12 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from plantlens.llm import words_bpe
 from plantlens.llm.packing import hilbert, pack
 from plantlens.llm.queries import VOCAB
 from plantlens.llm.token_counts import token_counts
+from plantlens.llm.word_hash import word_hashes
+from plantlens.llm.words_bpe import encode
 
 ODD = [
     None,
@@ -98,12 +101,61 @@ def test_packing_is_whole(spark, library):
     packed_is_whole(library, pack(odd(spark), VOCAB).collect(), list(enumerate(ODD)))
 
 
-def test_packing_in_many_cells(spark, library, monkeypatch):
-    from plantlens.llm import packing
-
-    monkeypatch.setattr(packing, "CELL_TOKENS", 5_000)
+def test_packing_in_many_cells(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = pack(docs, VOCAB).collect()
+    found = pack(docs, VOCAB, cell_tokens=5_000)
+    rows = found.collect()
+    assert found.rdd.getNumPartitions() > 10
     packed_is_whole(library, rows, [tuple(r) for r in docs.select("doc_id", "text").collect()])
-    again = pack(docs, VOCAB).collect()
+    again = pack(docs, VOCAB, cell_tokens=5_000).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_packing_without_ids_and_with_other_columns(spark):
+    rows = [(None, f"text number {k} " * (k % 9), "x", k) for k in range(300)] + [(None, None, "y", 1), (7, "", "z", 2), (7, "", "z", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string, n long")
+    got = pack(docs, VOCAB, cell_tokens=500).collect()
+    assert sum(r.start == 0 for r in got) == len(rows)
+    spans = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+    assert sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, r)) for r in pack(docs.repartition(3), VOCAB, cell_tokens=500).collect())
+
+
+def thue_morse(n, other=0):
+    return "".join("ab"[(bin(k).count("1") + other) % 2] for k in range(n))
+
+
+LONG = [" ".join(thue_morse(n, o) for o in (0, 1)) for n in (512, 1024, 2048, 4096)] + ["acgt" * 20_000 + "x", "".join(chr(97 + (k * k * 7919 + k) % 26) for k in range(300_000))]
+NEW = ["".join(map(chr, range(0x10940, 0x1095A))) + "abc", "a\u0558b \U0003d000 \U00011de0\U00011de1 \u1c89x"]
+
+
+def test_long_words_and_newer_letters(library):
+    for text in LONG + NEW:
+        assert encode([text], VOCAB)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    hashes, _, _ = word_hashes(" ".join(LONG[:4]).encode())
+    assert len(set(hashes.tolist())) == 8
+
+
+def test_words_of_one_hash_are_told_apart(spark, library, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    few = lambda raw: (word_hashes(raw)[0] % np.uint64(40), *word_hashes(raw)[1:])
+    for name, value in (("word_hashes", few), ("REMEMBERED", 500)):
+        words_bpe.remembered.cache_clear()
+        with monkeypatch.context() as m:
+            m.setattr(words_bpe, name, value)
+            got = [ids.tolist() for k in range(0, len(texts), 20) for ids in encode(texts[k : k + 20], VOCAB)]
+        assert got == want
+    words_bpe.remembered.cache_clear()
+
+
+def test_vocabularies_whose_symbols_are_not_in_order_of_rank(monkeypatch):
+    own = words_bpe.vocab(VOCAB)
+    assert own.ordered
+    words = [b"banana", b"hahahaha", b"aaaaaaa", b"x" * 900, b"abcab" * 200]
+    flat, sizes = np.frombuffer(b"".join(words), dtype=np.uint8), np.array(list(map(len, words)))
+    together = own.merged(flat, sizes)
+    monkeypatch.setattr(own, "ordered", False)
+    one_by_one = own.merged(flat, sizes)
+    assert all((a == b).all() for a, b in zip(together, one_by_one))

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds
 from plantlens.operators.grid import shift_index
+from plantlens.operators.lines import followed
 from plantlens.schema import Shifts
 
 
 def raised(alarms: DataFrame) -> DataFrame:
     """Each RAISE with the time of the next event of its machine and code (null while open)."""
-    line = Window.partitionBy("machine", "alarm_code").orderBy("ts", "log_id")
-    paired = alarms.select("machine", "alarm_code", "phase", microseconds("ts").alias("raised_us"), microseconds(F.lead("ts").over(line)).alias("next_us"))
-    return paired.where("phase = 'RAISE'").drop("phase")
+    rows = alarms.select("machine", "alarm_code", "phase", "log_id", microseconds("ts").alias("raised_us"))
+    return followed(rows, ["machine", "alarm_code"], "raised_us", "next_us", ["log_id"]).where("phase = 'RAISE'").drop("phase", "log_id")
 
 
 def summed(pairs: DataFrame, *keys: str) -> DataFrame:

@@ -16,13 +16,16 @@ rows of a stretch), so that a few busy tags still spread over all tasks.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds, ntz, parsed, quoted
+from plantlens.operators.lines import running_max
 from plantlens.schema import LEDGER, SEEN_CATEGORIES, Policy
 from plantlens.sources.scratch import saved
 
@@ -49,16 +52,6 @@ def carry_of(ledger: DataFrame) -> Carry:
     )
 
 
-def running_max(rows: DataFrame, key: str, order: str, value: str, out: str, stretch: int) -> DataFrame:
-    """``out``: the largest ``value`` of the key's rows before this one in ``order``."""
-    rows = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
-    tops = rows.groupBy(key, "_stretch").agg(F.max(value).alias("_top"))
-    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(key, "_stretch", F.max("_top").over(before).alias("_base"))
-    inside = Window.partitionBy(key, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(tops, [key, "_stretch"]).withColumn(out, F.greatest("_base", F.max(value).over(inside))).drop("_stretch", "_base")
-
-
 def alarm_verdicts(alarms: DataFrame, carry: DataFrame | None) -> DataFrame:
     """(arrival_id, alarm_ok, last_phase, last_us) for rows (arrival_id, tag, alarm_code, phase, ts_us)."""
     rows = alarms.select("tag", "alarm_code", "arrival_id", "phase", "ts_us", F.lit(False).alias("carried"))
@@ -91,12 +84,23 @@ def iso(us) -> object:
     return F.concat(whole, F.when(us % MICRO != 0, F.concat(F.lit("."), F.lpad((F.pmod(us, F.lit(MICRO))).cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
 
 
+def by_registry(rows: DataFrame, column: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose name is in the registry, and all others; the registry is a short list of settings."""
+    known = F.coalesce(F.col(column).isin(*names), F.lit(False))
+    return rows.where(known), rows.where(~known)
+
+
+def with_first(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds is_first and first_hash: the first row of each seq decides it, unless it was ``seen`` (seq, seen_hash) before."""
+    first = rows.groupBy("seq").agg(F.min("arrival_id").alias("first_arrival"), F.min_by("content_hash", "arrival_id").alias("first_hash"))
+    if seen is not None:
+        first = first.join(seen, "seq", "left").select("seq", F.when(F.col("seen_hash").isNull(), F.col("first_arrival")).alias("first_arrival"), F.coalesce("seen_hash", "first_hash").alias("first_hash"))
+    return rows.join(first, "seq").withColumn("is_first", F.coalesce(F.col("arrival_id") == F.col("first_arrival"), F.lit(False))).drop("first_arrival")
+
+
 def decided(rows: DataFrame, policy: Policy, carry: Carry | None = None) -> DataFrame:
     """Adds first_hash, is_first, mark_us, category, alarm_ok, last_phase and last_us to parsed rows of known tags."""
-    first = rows.groupBy("seq").agg(F.min("arrival_id").alias("first_arrival"), F.min_by("content_hash", "arrival_id").alias("first_hash"))
-    if carry is not None:
-        first = first.join(carry.seen, "seq", "left").select("seq", F.when(F.col("seen_hash").isNull(), F.col("first_arrival")).alias("first_arrival"), F.coalesce("seen_hash", "first_hash").alias("first_hash"))
-    rows = rows.join(first, "seq").withColumn("is_first", F.coalesce(F.col("arrival_id") == F.col("first_arrival"), F.lit(False))).drop("first_arrival")
+    rows = with_first(rows, None if carry is None else carry.seen)
     repeats = rows.where(~F.col("is_first")).withColumns({"mark_us": F.lit(None).cast("long"), "category": F.when(F.col("content_hash") == F.col("first_hash"), "duplicate").otherwise("seq_conflict")})
     fresh = running_max(rows.where("is_first"), "tag", "arrival_id", "ts_us", "mark_us", policy.stretch)
     if carry is not None:
@@ -109,30 +113,50 @@ def decided(rows: DataFrame, policy: Policy, carry: Carry | None = None) -> Data
     return fresh.unionByName(repeats, allowMissingColumns=True)
 
 
+# Texts logged with the categories.
+REASONS = {
+    "seq": "seq {seq} already ingested",
+    "conflict": "seq {seq} already ingested with different content (content hash mismatch)",
+    "late": "ts is {late}s older than latest accepted ({grace}s grace window exceeded)",
+    "phase": "alarm {tag}/{alarm_code} phase {phase} out of order (last accepted phase was {last}, expected '{expected}')",
+    "back": "alarm {tag}/{alarm_code} ts {ts} precedes the last accepted event's ts {last_ts} for this (machine, alarm_code) - cannot be paired by timestamp",
+    "unknown_tag": "tag {tag} not in known machine registry",
+}
+
+
+def told(name: str, **values) -> object:
+    """A text of REASONS with columns in its places."""
+    parts = re.split(r"\{(\w+)\}", REASONS[name])
+    return F.concat(*(F.lit(p) if k % 2 == 0 else (values[p] if p in values else F.col(p)).cast("string") for k, p in enumerate(parts)))
+
+
 def reason_of(policy: Policy) -> object:
     """The text logged with each category."""
-    seq = F.concat(F.lit("seq "), F.col("seq").cast("string"), F.lit(" already ingested"))
-    late = F.format_string(f"ts is %.1fs older than latest accepted ({float(policy.grace_s)}s grace window exceeded)", (F.col("mark_us") - F.col("ts_us")) / MICRO)
+    late = F.format_string("%.1f", (F.col("mark_us") - F.col("ts_us")) / MICRO)
     expected = F.when(F.col("last_phase") == "RAISE", "CLEAR").otherwise("RAISE")
-    phase = F.concat(F.lit("phase "), F.col("phase"), F.lit(" out of order (last accepted phase was "), F.coalesce(F.concat(F.lit("'"), F.col("last_phase"), F.lit("'")), F.lit("None")), F.lit(", expected '"), expected, F.lit("')"))
-    back = F.concat(F.lit("ts "), iso(F.col("ts_us")), F.lit(" precedes the last accepted event's ts "), iso(F.col("last_us")), F.lit(" for this (machine, alarm_code) - cannot be paired by timestamp"))
-    alarm = F.concat(F.lit("alarm "), F.col("tag"), F.lit("/"), F.col("alarm_code"), F.lit(" "), F.when(F.col("phase") != expected, phase).otherwise(back))
+    last = F.coalesce(F.concat(F.lit("'"), F.col("last_phase"), F.lit("'")), F.lit("None"))
+    alarm = F.when(F.col("phase") != expected, told("phase", last=last, expected=expected)).otherwise(told("back", ts=iso(F.col("ts_us")), last_ts=iso(F.col("last_us"))))
     return (
-        F.when(F.col("category") == "duplicate", seq)
-        .when(F.col("category") == "seq_conflict", F.concat(seq, F.lit(" with different content (content hash mismatch)")))
-        .when(F.col("category") == "out_of_order_rejected", late)
+        F.when(F.col("category") == "duplicate", told("seq"))
+        .when(F.col("category") == "seq_conflict", told("conflict"))
+        .when(F.col("category") == "out_of_order_rejected", told("late", late=late, grace=F.lit(str(float(policy.grace_s)))))
         .when(F.col("category") == "alarm_out_of_order_rejected", alarm)
     )
 
 
-def classify(messages: DataFrame, policy: Policy = Policy(), carry: Carry | None = None) -> DataFrame:
-    """The ledger rows of messages (arrival_id, raw_payload): one row for each, in exactly one category."""
-    # written once: the branches below would each parse the payloads again
-    rows = saved(messages.select("arrival_id", "raw_payload").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "p.*"))
+def parsed_messages(messages: DataFrame) -> DataFrame:
+    """Messages (arrival_id, raw_payload) with their fields or the reason of refusal, written once for the branches that follow."""
+    return saved(messages.select("arrival_id", "raw_payload").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "p.*"))
+
+
+def classify(messages: DataFrame, policy: Policy = Policy(), carry: Carry | None = None, ready: bool = False) -> DataFrame:
+    """The ledger rows of messages (arrival_id, raw_payload; ``ready``: as parsed_messages gives them): one row for each, in exactly one category."""
+    rows = messages if ready else parsed_messages(messages)
     bad = rows.where("reason is not null").withColumn("category", F.lit("bad_payload"))
     good = rows.where("reason is null").drop("reason")
-    strange = good.where(~F.col("tag").isin(*policy.tags)).withColumns({"category": F.lit("unknown_tag"), "reason": F.concat(F.lit("tag "), quoted("tag"), F.lit(" not in known machine registry")), "content_hash": F.lit(None).cast("string")})
-    known = decided(good.where(F.col("tag").isin(*policy.tags)), policy, carry).withColumn("reason", reason_of(policy))
+    registered, strange = by_registry(good, "tag", policy.tags)
+    strange = strange.withColumns({"category": F.lit("unknown_tag"), "reason": told("unknown_tag", tag=quoted("tag")), "content_hash": F.lit(None).cast("string")})
+    known = decided(registered, policy, carry).withColumn("reason", reason_of(policy))
     every = known.unionByName(bad, allowMissingColumns=True).unionByName(strange, allowMissingColumns=True)
     fact = F.col("category").isin("accepted", "accepted_late")
     gap = (F.col("category") == "accepted") & (F.col("ts_us") - F.col("mark_us") > policy.gap_s * MICRO)

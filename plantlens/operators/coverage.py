@@ -7,11 +7,12 @@ all conditions of a shift are then conditional aggregates of one grouping.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds
 from plantlens.operators.grid import MICRO, shift_index, shifts_between
+from plantlens.operators.lines import followed
 from plantlens.schema import Shifts
 
 
@@ -22,8 +23,7 @@ def coverage(observed: DataFrame, grid: DataFrame, shifts: Shifts, gap_s: int) -
     count if they overlap the shift; observations on both edges are counted.
     """
     gap = gap_s * MICRO
-    line = Window.partitionBy("machine").orderBy("at")
-    seen = observed.select("machine", microseconds("ts").alias("at")).distinct().withColumn("next", F.lead("at").over(line))
+    seen = followed(observed.select("machine", microseconds("ts").alias("at")).distinct(), ["machine"], "at", "next")
     low = shift_index(F.col("at") - gap - 1, shifts)
     high = shift_index(F.greatest(F.col("at") + gap, F.coalesce("next", F.col("at"))), shifts)
     near = seen.withColumn("k", F.explode(shifts_between(low, high, shifts)))

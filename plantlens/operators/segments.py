@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds
 from plantlens.operators.grid import MICRO, base_us, shift_index, shifts_between
+from plantlens.operators.lines import followed
 from plantlens.schema import Shifts
 
 
 def segments(states: DataFrame) -> DataFrame:
     """Each state with the time of the machine's next one (null for the last); equal times follow log_id."""
-    line = Window.partitionBy("machine").orderBy("ts", "log_id")
-    return states.select("machine", "state", "reason_code", "log_id", microseconds("ts").alias("start_us"), microseconds(F.lead("ts").over(line)).alias("next_us"))
+    rows = states.select("machine", "state", "reason_code", "log_id", microseconds("ts").alias("start_us"))
+    return followed(rows, ["machine"], "start_us", "next_us", ["log_id"])
 
 
 def clipped(spans: DataFrame, shifts: Shifts) -> DataFrame:

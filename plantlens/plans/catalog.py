@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import html_escape, microseconds, parsed
 from plantlens.operators import alarms, classify, coverage, metrics, segments
+from plantlens.operators.facts import clock_gaps, facts, observations, totals
 from plantlens.operators.grid import MICRO, dense_grid
-from plantlens.plans.plant import CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, events, replayed
+from plantlens.operators.lines import numbered, running_max
+from plantlens.plans.plant import BROKEN, CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, events, replayed
 from plantlens.schema import Shifts
 from plantlens.sources import generator, schedule, truth
 from plantlens.sources.scratch import saved
@@ -127,7 +129,8 @@ FULL = f"""{M}, {GRID}, {SEG}, {COV}, sec AS (
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = events(spark, sf_dir)
+    # parsed once: the branches of the grid each read the columns they need
+    m = saved(events(spark, sf_dir))
     return metrics.effectiveness(of(m, "STATE"), of(m, "COUNT"), m, machines(m), SHIFTS, GAP_S)
 
 
@@ -146,7 +149,7 @@ def q_oee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FULL} SELECT machine, bool_and(complete) AS all_complete, count(*) FILTER (NOT complete) AS n_incomplete, count(*) AS n FROM full_ GROUP BY machine")
 def q_completeness_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = events(spark, sf_dir)
+    m = saved(events(spark, sf_dir))
     rows = metrics.completeness(of(m, "STATE"), m, dense_grid(machines(m), SHIFTS), SHIFTS, GAP_S)
     return rows.groupBy("machine").agg(F.bool_and("complete").alias("all_complete"), F.count_if(~F.col("complete")).alias("n_incomplete"), F.count("*").alias("n"))
 
@@ -156,10 +159,10 @@ ISO = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%S')"
 
 @query(
     f"""WITH {FULL} SELECT machine, shift, start_ok, end_ok, gaps_ok, state_ok, max_gap_us / 1e6 AS max_gap_seconds, n_observations, concat_ws(' ',
-  CASE WHEN NOT state_ok THEN 'unknown machine state for ' || machine || ' in part of the ' || shift || ' window - no STATE event at or before the window start, or STATE segments do not cover the whole window; heartbeats prove reporting, not machine state.' END,
-  CASE WHEN NOT start_ok THEN 'no observed telemetry (STATE/COUNT/ALARM/HEARTBEAT) within 7200s of the ' || shift || ' window start for ' || machine || ' - coverage at the start of the window is unproven.' END,
-  CASE WHEN NOT end_ok THEN 'no observed telemetry within 7200s of the ' || shift || ' window end for ' || machine || ' - no terminal observation proves the machine was still reporting through the close of the window (a single early message extrapolated forward is not evidence).' END,
-  CASE WHEN NOT gaps_ok THEN 'an inter-message gap of ' || round(max_gap_us / 1e6)::BIGINT || 's (from ' || {ISO.format('gap_from_us')} || ' to ' || {ISO.format('gap_to_us')} || ') inside the window exceeds the 7200s coverage gap - telemetry coverage is broken here, regardless of what state was last reported.' END) AS reason
+  CASE WHEN NOT state_ok THEN 'the state of ' || machine || ' is not known throughout ' || shift || ': it has no STATE message up to the start, or its states leave a part of the shift open.' END,
+  CASE WHEN NOT start_ok THEN 'no observed telemetry of ' || machine || ' lies within 7200s of the ' || shift || ' window start.' END,
+  CASE WHEN NOT end_ok THEN 'no observed telemetry of ' || machine || ' lies within 7200s of the ' || shift || ' window end.' END,
+  CASE WHEN NOT gaps_ok THEN 'a gap of ' || round(max_gap_us / 1e6)::BIGINT || 's without messages, ' || {ISO.format('gap_from_us')} || ' to ' || {ISO.format('gap_to_us')} || ', is longer than the 7200s allowed.' END) AS reason
 FROM full_ WHERE NOT complete"""
 )
 def q_incomplete_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,31 +191,31 @@ def q_heartbeat_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {M} SELECT machine, type, ts, log_id, row_number() OVER (PARTITION BY machine ORDER BY ts, type, log_id) - 1 AS seq_of_machine FROM m")
 def q_event_stream_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = Window.partitionBy("machine").orderBy("ts", "type", "log_id")
-    return events(spark, sf_dir).select("machine", "type", "ts", "log_id", (F.row_number().over(line) - 1).cast("long").alias("seq_of_machine"))
+    m = events(spark, sf_dir).select("machine", "type", "ts", "log_id", microseconds("ts").alias("us"))
+    return numbered(m, ["machine"], "us", "seq_of_machine", ["type", "log_id"]).drop("us")
 
 
 @query(f"WITH {M} SELECT machine, ts, log_id, (row_number() OVER (PARTITION BY machine ORDER BY ts, log_id) % 23 = 0)::INTEGER AS reject FROM m WHERE type = 'COUNT'")
 def q_reject_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("machine").orderBy("ts", "log_id"))
-    return of(events(spark, sf_dir), "COUNT").select("machine", "ts", "log_id", (nth % 23 == 0).cast("int").alias("reject"))
+    m = of(events(spark, sf_dir), "COUNT").select("machine", "ts", "log_id", F.lit(23).alias("reject_every_n"))
+    return generator.with_rejects(m, ["log_id"]).select("machine", "ts", "log_id", "reject")
 
 
 @query(f"WITH {M} SELECT machine, type, count(*) AS n FROM m WHERE machine IN ('M0', 'M2', 'M4') GROUP BY machine, type")
 def q_tag_registry_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("M0",), ("M2",), ("M4",)], "machine string")
-    return events(spark, sf_dir).join(F.broadcast(known), "machine", "left_semi").groupBy("machine", "type").agg(F.count("*").alias("n"))
+    known, _ = classify.by_registry(events(spark, sf_dir), "machine", ("M0", "M2", "M4"))
+    return known.groupBy("machine", "type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {M} SELECT machine, type, count(*) AS n FROM m WHERE machine NOT IN ('M0', 'M2', 'M4') GROUP BY machine, type")
 def q_tag_registry_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("M0",), ("M2",), ("M4",)], "machine string")
-    return events(spark, sf_dir).join(F.broadcast(known), "machine", "left_anti").groupBy("machine", "type").agg(F.count("*").alias("n"))
+    _, strange = classify.by_registry(events(spark, sf_dir), "machine", ("M0", "M2", "M4"))
+    return strange.groupBy("machine", "type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {M} SELECT coalesce(type, 'all') AS type, count(*) AS n FROM m GROUP BY ROLLUP (type)")
 def q_message_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).rollup("type").agg(F.count("*").alias("n")).select(F.coalesce("type", F.lit("all")).alias("type"), "n")
+    return truth.message_totals(events(spark, sf_dir)).select(F.coalesce("type", F.lit("all")).alias("type"), "n")
 
 
 PAIRS = "pairs AS (SELECT machine, alarm_code, us, next FROM (SELECT *, lead(us) OVER (PARTITION BY machine, alarm_code ORDER BY us, log_id) AS next FROM m WHERE type = 'ALARM') WHERE phase = 'RAISE')"
@@ -253,9 +256,11 @@ def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, seq, h0 = h AS same FROM b WHERE rn = 1")
+@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, seq, rn = 1 AS is_first, h0 = h AS same FROM b")
 def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(spark, sf_dir).where(F.col("category").isin(*classify.SEEN_CATEGORIES)).select("arrival_id", "seq", F.lit(True).alias("same"))
+    rows = replayed(spark, sf_dir).select("arrival_id", parsed("raw_payload").alias("p")).select("arrival_id", "p.*")
+    known, _ = classify.by_registry(rows.where("reason is null"), "tag", POLICY.tags)
+    return classify.with_first(known.select("arrival_id", "seq", "content_hash")).select("arrival_id", "seq", "is_first", (F.col("content_hash") == F.col("first_hash")).alias("same"))
 
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arrival_id, seq, tag AS machine, CASE category WHEN 'duplicate' THEN 'seq ' || seq || ' already ingested' ELSE 'seq ' || seq || ' already ingested with different content (content hash mismatch)' END AS reason FROM z WHERE category IN ('duplicate', 'seq_conflict')")
@@ -266,7 +271,7 @@ def q_seq_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {M} SELECT machine, log_id, max(us) OVER (PARTITION BY machine ORDER BY log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark_us FROM m")
 def q_watermark_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = events(spark, sf_dir).select("machine", "log_id", microseconds("ts").alias("us"))
-    return classify.running_max(m, "machine", "log_id", "us", "mark_us", 5000).select("machine", "log_id", "mark_us")
+    return running_max(m, "machine", "log_id", "us", "mark_us", 5000).select("machine", "log_id", "mark_us")
 
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, cat AS category, CASE WHEN cat <> 'accepted' THEN (mark - us)::BIGINT END AS delay_us FROM d")
@@ -280,8 +285,6 @@ def q_late_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT tag AS machine, make_timestamp(mark) AS gap_start, make_timestamp(us) AS gap_end, (us - mark) / 1e6 AS gap_seconds FROM z WHERE category = 'accepted' AND us - mark > 600000000")
 def q_clock_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plantlens.operators.facts import clock_gaps
-
     return clock_gaps(ledger(spark, sf_dir)).select("machine", "gap_start", "gap_end", "gap_seconds")
 
 
@@ -301,7 +304,14 @@ def q_watermark_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.carry_of(ledger(spark, sf_dir)).marks
 
 
-@query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, CASE WHEN bad THEN 'invalid JSON' ELSE 'tag ''MX'' not in known machine registry' END AS reason FROM a WHERE bad OR tag = 'MX'")
+#: Why a planted broken text is refused, by its place in the list; the ids of planted ones end in 9.
+REASON_LIST = "[" + ", ".join("'" + reason.replace("'", "''") + "'" for _, reason in BROKEN) + "]"
+
+
+@query(
+    f"""WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, CASE WHEN bad AND arr % 10 = 9 THEN ({REASON_LIST})[(arr // 110) % {len(BROKEN)} + 1] WHEN bad THEN 'invalid JSON'
+  ELSE 'tag ''MX'' not in known machine registry' END AS reason FROM a WHERE bad OR tag = 'MX'"""
+)
 def q_grammar_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).where(F.col("category").isin("bad_payload", "unknown_tag")).select("arrival_id", "reason")
 
@@ -323,15 +333,99 @@ def q_html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", html_escape(F.concat("event_type", F.lit("<"), "props", F.lit(">&'"))).alias("escaped"))
 
 
-@query(None)
-def q_demonstration_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed day from generator to effectiveness; tests hold it against the schedule's own sums."""
-    from plantlens.operators.facts import facts, observations
+def values(rows: list[tuple]) -> str:
+    shown = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + ")"
+
 
-    book = saved(classify.classify(generator.demonstration_day(spark)))
-    return metrics.effectiveness(facts(book, "STATE"), facts(book, "COUNT"), observations(book), schedule.machines_df(spark), Shifts(), 600).drop("s_start_us", "s_end_us")
+def of_day(at) -> int:
+    """Seconds since the day's midnight."""
+    return int((at - schedule.DAY).total_seconds())
+
+
+#: DuckDB: the fixed day's states, alarms, machines, shifts, ticks and what they come to.
+DAY = f"""st(machine, state, a, b, reason_code) AS {values([(m, s, of_day(a), of_day(b), r) for m, s, a, b, r in schedule.state_rows()])},
+al(machine, alarm_code, a, b) AS {values([(m, c, of_day(a), of_day(b)) for m, c, a, b in schedule.alarm_rows()])},
+mc(machine, cycle, n) AS {values([(m, int(c), n) for m, c, n in schedule.MACHINES])},
+sh AS (SELECT k::INTEGER AS k, k * 28800 AS s, (k + 1) * 28800 AS e FROM range(3) r(k)),
+part AS (SELECT machine, k, state, reason_code, least(b, e) - greatest(a, s) AS sec, a >= s AS begins FROM st JOIN sh ON a < e AND b > s),
+sec AS (
+  SELECT machine, k, sum(CASE WHEN state = 'RUN' THEN sec ELSE 0 END)::DOUBLE AS run_seconds, sum(CASE WHEN state = 'DOWN' THEN sec ELSE 0 END)::DOUBLE AS down_seconds,
+         sum(CASE WHEN state = 'IDLE' THEN sec ELSE 0 END)::DOUBLE AS idle_seconds FROM part GROUP BY machine, k
+), tick AS (
+  SELECT machine, n, a + cycle * i AS t FROM (SELECT machine, n, cycle, a, unnest(range(1, (b - a - 1) // cycle + 1)) AS i FROM st JOIN mc USING (machine) WHERE state = 'RUN')
+), cnt AS (
+  SELECT machine, (t // 28800)::INTEGER AS k, sum(1 - r)::BIGINT AS good, sum(r)::BIGINT AS reject
+  FROM (SELECT machine, t, (row_number() OVER (PARTITION BY machine ORDER BY t) % n = 0)::INTEGER AS r FROM tick) GROUP BY ALL
+), day AS (
+  SELECT machine, k, run_seconds, down_seconds, idle_seconds, good, reject, run_seconds / 28800 AS availability, (good + reject) * cycle::DOUBLE / run_seconds AS performance, good::DOUBLE / (good + reject) AS quality
+  FROM sec JOIN cnt USING (machine, k) JOIN mc USING (machine)
+)"""
+
+
+def day_ledger(spark: SparkSession) -> DataFrame:
+    return saved(classify.classify(generator.demonstration_day(spark)))
+
+
+@query(f"WITH {DAY} SELECT *, availability * performance * quality AS oee, true AS complete FROM day")
+def q_demonstration_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed day from generator to effectiveness."""
+    book = day_ledger(spark)
+    rows = metrics.effectiveness(facts(book, "STATE"), facts(book, "COUNT"), observations(book), schedule.machines_df(spark), Shifts(), 600)
+    return rows.select("machine", "k", "run_seconds", "down_seconds", "idle_seconds", "good", "reject", "availability", "performance", "quality", "oee", "complete")
 
 
-@query(None)
+@query(f"WITH {DAY} SELECT *, availability * performance * quality AS oee, down_seconds + idle_seconds AS downtime_seconds FROM day")
 def q_demonstration_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed day comes to by its schedule alone."""
     return truth.expected(spark)
+
+
+DOWN = f"WITH {DAY} SELECT machine, k, reason_code, sum(sec)::DOUBLE AS seconds, count(*) FILTER (begins) AS events FROM part WHERE state = 'DOWN' GROUP BY machine, k, reason_code"
+
+
+@query(DOWN)
+def q_demonstration_downtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downtime by reason of the fixed day, from its messages."""
+    states = facts(day_ledger(spark), "STATE")
+    seconds = segments.downtime_pareto(segments.segments(states), Shifts())
+    events_ = segments.downtime_events(states, Shifts())
+    return seconds.join(events_, ["machine", "k", "reason_code"], "left").select("machine", "k", "reason_code", (F.col("us") / MICRO).alias("seconds"), F.coalesce("n", F.lit(0)).alias("events"))
+
+
+@query(DOWN)
+def q_demonstration_downtime_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.expected_downtime(spark)
+
+
+@query(f"WITH {DAY} SELECT machine, (a // 28800)::INTEGER AS k, alarm_code, count(*) AS count, sum(b - a)::DOUBLE AS seconds, 0::BIGINT AS open_count FROM al GROUP BY ALL")
+def q_demonstration_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms of the fixed day by shift, from its messages."""
+    return with_seconds(alarms.alarms_by_shift(facts(day_ledger(spark), "ALARM"), Shifts()))
+
+
+@query(f"WITH {DAY} SELECT machine, alarm_code, (a // 28800)::INTEGER AS k, count(*) AS count, sum(b - a)::DOUBLE AS seconds FROM al GROUP BY GROUPING SETS ((machine, alarm_code, (a // 28800)::INTEGER), (machine, alarm_code))")
+def q_demonstration_alarm_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.expected_alarms(spark)
+
+
+@query(f"WITH {DAY} SELECT DISTINCT machine, alarm_code, true AS reported, true AS planned FROM al")
+def q_demonstration_alarm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of alarms in the report and in the schedule; both sides hold the same."""
+    reported = alarms.alarm_summary(facts(day_ledger(spark), "ALARM")).select("machine", "alarm_code", F.lit(True).alias("reported"))
+    return truth.same_keys(reported, schedule.alarms_df(spark))
+
+
+@query(
+    f"""WITH {DAY}, n(type, n) AS (
+  SELECT 'STATE', count(*) FROM st UNION ALL SELECT 'ALARM', 2 * count(*) FROM al UNION ALL SELECT 'COUNT', count(*) FROM tick UNION ALL SELECT 'HEARTBEAT', 288 * count(*) FROM mc
+) SELECT type, n::BIGINT AS n FROM n UNION ALL SELECT NULL, sum(n)::BIGINT FROM n"""
+)
+def q_demonstration_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.expected_messages(spark)
+
+
+@query("SELECT 'accepted' AS category, (SELECT n FROM (WITH " + DAY + " SELECT (SELECT count(*) FROM st) + 2 * (SELECT count(*) FROM al) + (SELECT count(*) FROM tick) + 288 * (SELECT count(*) FROM mc) AS n))::BIGINT AS n")
+def q_demonstration_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of the fixed day are accepted."""
+    return totals(day_ledger(spark))

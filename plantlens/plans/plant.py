@@ -68,8 +68,35 @@ GRID = """shifts AS (
 )"""
 
 
+#: Payloads that the grammar refuses, one for each rule, and why; <seq>, <at> and <tag> stand for an event's own.
+BROKEN = [
+    ("", "invalid JSON"),
+    ("[1, 2]", "payload is not a JSON object"),
+    ('{"ts": "<at>", "tag": "<tag>", "type": "HEARTBEAT"}', "missing field seq"),
+    ('{"seq": "<seq>", "ts": "<at>", "tag": "<tag>", "type": "HEARTBEAT"}', "field seq must be an integer"),
+    ('{"seq": 1.5, "ts": "<at>", "tag": "<tag>", "type": "HEARTBEAT"}', "field seq must be an integer"),
+    ('{"seq": 9223372036854775808, "ts": "<at>", "tag": "<tag>", "type": "HEARTBEAT"}', "field seq is out of BIGINT range"),
+    ('{"seq": <seq>, "ts": "<at>", "type": "HEARTBEAT"}', "missing field tag"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": 7, "type": "HEARTBEAT"}', "field tag must be a string"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>"}', "missing field type"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": null}', "field type must be a string"),
+    ('{"seq": <seq>, "tag": "<tag>", "type": "HEARTBEAT"}', "missing field ts"),
+    ('{"seq": <seq>, "ts": "soon", "tag": "<tag>", "type": "HEARTBEAT"}', "field ts is not a valid timezone-aware ISO8601 timestamp"),
+    ('{"seq": <seq>, "ts": "2024-01-01T00:00:00", "tag": "<tag>", "type": "HEARTBEAT"}', "field ts is not a valid timezone-aware ISO8601 timestamp"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "X"}', "unknown type 'X'"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "STATE", "state": "SPINNING", "reason_code": null}', "STATE.state must be one of RUN/IDLE/DOWN"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "STATE", "state": "DOWN", "reason_code": null}', "DOWN state requires a non-empty reason_code"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "STATE", "state": "RUN", "reason_code": "R1"}', "reason_code must be null unless state is DOWN"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "COUNT", "good_delta": -1, "reject_delta": 0}', "COUNT.good_delta must be an integer in [0, 2147483647]"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "COUNT", "good_delta": 1, "reject_delta": 2147483648}', "COUNT.reject_delta must be an integer in [0, 2147483647]"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "COUNT", "good_delta": 0, "reject_delta": 0}', "COUNT must have a nonzero good_delta or reject_delta"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "ALARM", "alarm_code": "", "phase": "RAISE"}', "ALARM.alarm_code must be a non-empty string"),
+    ('{"seq": <seq>, "ts": "<at>", "tag": "<tag>", "type": "ALARM", "alarm_code": "A1", "phase": "MAYBE"}', "ALARM.phase must be RAISE or CLEAR"),
+]
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """arrival_id and raw_payload of all events, with replays, conflicts, cut-off texts and unknown tags put in."""
+    """arrival_id and raw_payload of all events, with replays, conflicts, cut-off and otherwise broken texts and unknown tags put in."""
     m = events(spark, sf_dir).withColumn("at", iso(microseconds("ts")))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     number = lambda c: F.col(c).cast("string")
@@ -82,11 +109,15 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda tag, note: F.concat(F.lit('{"seq": '), number("seq"), F.lit(', "ts": '), quoted(F.col("at")), F.lit(', "tag": '), quoted(tag), F.lit(', "type": '), quoted(F.col("type")), body, F.lit(note), F.lit("}"))
     own = text(F.when(F.col("seq") % 97 == 5, "MX").otherwise(F.col("machine")), "")
     copy = lambda arrival, payload: F.struct(arrival.alias("arrival_id"), payload.alias("raw_payload"))
+    broken = F.element_at(F.array(*(F.lit(text) for text, _ in BROKEN)), (F.floor(F.col("seq") / 11) % len(BROKEN) + 1).cast("int"))
+    for sign, value in (("<seq>", number("seq")), ("<at>", F.col("at")), ("<tag>", F.col("machine"))):
+        broken = F.replace(broken, F.lit(sign), value)
     copies = F.array(
         copy(F.col("log_id"), own),
         F.when(F.col("seq") % 50 == 0, copy(F.col("log_id") + 303, own)),
         F.when(F.col("seq") % 75 == 0, copy(F.col("log_id") + 505, text(F.col("machine"), ', "note": "changed"'))),
         F.when(F.col("seq") % 40 == 0, copy(F.col("log_id") + 7, F.substring(own, 1, 30))),
+        F.when(F.col("seq") % 11 == 5, copy(F.col("log_id") + 9, broken)),
     )
     return m.select(F.explode(F.array_compact(copies)).alias("c")).select("c.arrival_id", "c.raw_payload")
 
@@ -97,6 +128,7 @@ A = """a AS (
   UNION ALL SELECT log_id + 303, seq, us, type, alarm_code, phase, CASE WHEN seq % 97 = 5 THEN 'MX' ELSE machine END, false, CASE WHEN seq % 97 = 5 THEN 'mx' ELSE 'own' END FROM m WHERE seq % 50 = 0
   UNION ALL SELECT log_id + 505, seq, us, type, alarm_code, phase, machine, false, 'changed' FROM m WHERE seq % 75 = 0
   UNION ALL SELECT log_id + 7, NULL, NULL, NULL, NULL, NULL, NULL, true, NULL FROM m WHERE seq % 40 = 0
+  UNION ALL SELECT log_id + 9, NULL, NULL, NULL, NULL, NULL, NULL, true, NULL FROM m WHERE seq % 11 = 5
 ), b AS (
   SELECT *, row_number() OVER (PARTITION BY seq ORDER BY arr) AS rn, first_value(h) OVER (PARTITION BY seq ORDER BY arr) AS h0 FROM a WHERE NOT bad AND tag <> 'MX'
 ), c AS (

@@ -18,13 +18,13 @@ from plantlens.operators.metrics import FORMULAS, effectiveness
 from plantlens.operators.segments import downtime_pareto, segments
 from plantlens.schema import GAP_S, Shifts
 
-ROLE = "Synthetic demonstration data. No client data or client work."
+ROLE = "Synthetic demonstration data: every message on this page was generated."
 NOTE = "Effectiveness is computed by the formulas below on planted data; it shows how the engine works and is no benchmark of a real line."
 RATIOS = ("availability", "performance", "quality", "oee")
 
 
 def build_report(ledger: DataFrame, machines: DataFrame, shifts: Shifts = Shifts(), gap_s: int = GAP_S) -> dict:
-    """All of the report's data from one snapshot of the ledger."""
+    """All of the report's data from one snapshot of the ledger. The keys are fixed values: readers of the JSON rely on them."""
     spark = ledger.sparkSession
     states = facts(ledger, "STATE")
     grid = effectiveness(states, facts(ledger, "COUNT"), observations(ledger), machines, shifts, gap_s)

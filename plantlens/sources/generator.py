@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds, ntz
 from plantlens.operators.classify import iso
+from plantlens.operators.lines import numbered
 from plantlens.schema import HEARTBEAT_S
 
 MICRO = 1_000_000
@@ -34,12 +37,16 @@ def state_messages(segments: DataFrame) -> DataFrame:
     return segments.select(F.col("machine").alias("tag"), F.lit("STATE").alias("type"), F.col("start").alias("ts"), "state", "reason_code")
 
 
+def with_rejects(ticks: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Adds reject: 1 for every ``reject_every_n``-th tick of a machine in order of time, 0 for the others."""
+    rows = numbered(ticks.withColumn("_us", microseconds("ts")), ["machine"], "_us", "_nth", ties)
+    return rows.withColumn("reject", ((F.col("_nth") + 1) % F.col("reject_every_n") == 0).cast("int")).drop("_us", "_nth")
+
+
 def count_messages(segments: DataFrame, machines: DataFrame) -> DataFrame:
     """A unit per tick of RUN segments; every n-th of a machine's day is a reject."""
     ticks = tick_times(segments.where("state = 'RUN'").join(F.broadcast(machines), "machine"))
-    nth = F.row_number().over(Window.partitionBy("machine").orderBy("ts"))
-    reject = (nth % F.col("reject_every_n") == 0).cast("int")
-    return ticks.select(F.col("machine").alias("tag"), F.lit("COUNT").alias("type"), "ts", (1 - reject).alias("good_delta"), reject.alias("reject_delta"))
+    return with_rejects(ticks).select(F.col("machine").alias("tag"), F.lit("COUNT").alias("type"), "ts", (1 - F.col("reject")).alias("good_delta"), F.col("reject").alias("reject_delta"))
 
 
 def alarm_messages(alarms: DataFrame) -> DataFrame:
@@ -53,13 +60,12 @@ def heartbeat_messages(segments: DataFrame) -> DataFrame:
 
 
 def messages(segments: DataFrame, alarms: DataFrame, machines: DataFrame) -> DataFrame:
-    """All messages with seq, numbered by time, tag and type. One ordered line, so for the days of a demonstration."""
+    """All messages with seq, numbered by time, tag and type."""
     parts = [state_messages(segments), count_messages(segments, machines), alarm_messages(alarms), heartbeat_messages(segments)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part, allowMissingColumns=True)
-    line = Window.orderBy("ts", "tag", "type", "alarm_code", "phase")
-    return every.withColumn("seq", (F.row_number().over(line) - 1).cast("long"))
+    return numbered(every.withColumn("_us", microseconds("ts")), [], "_us", "seq", ["tag", "type", "alarm_code", "phase"]).drop("_us")
 
 
 def payloads(rows: DataFrame) -> DataFrame:

@@ -11,19 +11,72 @@ DAY = datetime(2024, 1, 1)
 # Results are reconciled against this day. Machine, nameplate seconds per unit, every n-th unit a reject.
 MACHINES = [("LINE_A.FILLER", 30.0, 23), ("LINE_A.CAPPER", 27.0, 31), ("LINE_A.LABELLER", 22.0, 17)]
 
-# State changes of the day. Each state lasts until the next one of its machine, the last until midnight.
-STATES = """
-LINE_A.FILLER: 00:00 RUN, 02:30 DOWN JAM, 02:45 RUN, 05:00 IDLE, 05:10 RUN, 08:00 RUN, 10:00 DOWN CHANGEOVER, 10:30 RUN, 13:45 DOWN NO_MATERIAL, 13:55 RUN, 16:00 RUN, 19:00 IDLE, 19:20 RUN, 22:00 DOWN JAM, 22:15 RUN
-LINE_A.CAPPER: 00:00 RUN, 01:45 DOWN TOOL_WEAR, 02:05 RUN, 06:00 IDLE, 06:15 RUN, 08:00 RUN, 11:30 DOWN JAM, 11:40 RUN, 14:00 DOWN NO_MATERIAL, 14:25 RUN, 16:00 RUN, 18:30 DOWN TOOL_WEAR, 18:45 RUN, 21:50 IDLE, 22:05 RUN
-LINE_A.LABELLER: 00:00 RUN, 03:00 DOWN LABEL_OUT, 03:20 RUN, 08:00 RUN, 09:30 DOWN CHANGEOVER, 09:45 RUN, 12:50 IDLE, 13:00 RUN, 16:00 RUN, 20:00 DOWN LABEL_OUT, 20:30 RUN, 23:15 DOWN JAM, 23:25 RUN
-"""
+# States of the day, from start to end, with the reason of a DOWN.
+STATES = [
+    ("LINE_A.FILLER", "RUN", "00:00", "02:30", None),
+    ("LINE_A.FILLER", "DOWN", "02:30", "02:45", "JAM"),
+    ("LINE_A.FILLER", "RUN", "02:45", "05:00", None),
+    ("LINE_A.FILLER", "IDLE", "05:00", "05:10", None),
+    ("LINE_A.FILLER", "RUN", "05:10", "08:00", None),
+    ("LINE_A.FILLER", "RUN", "08:00", "10:00", None),
+    ("LINE_A.FILLER", "DOWN", "10:00", "10:30", "CHANGEOVER"),
+    ("LINE_A.FILLER", "RUN", "10:30", "13:45", None),
+    ("LINE_A.FILLER", "DOWN", "13:45", "13:55", "NO_MATERIAL"),
+    ("LINE_A.FILLER", "RUN", "13:55", "16:00", None),
+    ("LINE_A.FILLER", "RUN", "16:00", "19:00", None),
+    ("LINE_A.FILLER", "IDLE", "19:00", "19:20", None),
+    ("LINE_A.FILLER", "RUN", "19:20", "22:00", None),
+    ("LINE_A.FILLER", "DOWN", "22:00", "22:15", "JAM"),
+    ("LINE_A.FILLER", "RUN", "22:15", "24:00", None),
+    ("LINE_A.CAPPER", "RUN", "00:00", "01:45", None),
+    ("LINE_A.CAPPER", "DOWN", "01:45", "02:05", "TOOL_WEAR"),
+    ("LINE_A.CAPPER", "RUN", "02:05", "06:00", None),
+    ("LINE_A.CAPPER", "IDLE", "06:00", "06:15", None),
+    ("LINE_A.CAPPER", "RUN", "06:15", "08:00", None),
+    ("LINE_A.CAPPER", "RUN", "08:00", "11:30", None),
+    ("LINE_A.CAPPER", "DOWN", "11:30", "11:40", "JAM"),
+    ("LINE_A.CAPPER", "RUN", "11:40", "14:00", None),
+    ("LINE_A.CAPPER", "DOWN", "14:00", "14:25", "NO_MATERIAL"),
+    ("LINE_A.CAPPER", "RUN", "14:25", "16:00", None),
+    ("LINE_A.CAPPER", "RUN", "16:00", "18:30", None),
+    ("LINE_A.CAPPER", "DOWN", "18:30", "18:45", "TOOL_WEAR"),
+    ("LINE_A.CAPPER", "RUN", "18:45", "21:50", None),
+    ("LINE_A.CAPPER", "IDLE", "21:50", "22:05", None),
+    ("LINE_A.CAPPER", "RUN", "22:05", "24:00", None),
+    ("LINE_A.LABELLER", "RUN", "00:00", "03:00", None),
+    ("LINE_A.LABELLER", "DOWN", "03:00", "03:20", "LABEL_OUT"),
+    ("LINE_A.LABELLER", "RUN", "03:20", "08:00", None),
+    ("LINE_A.LABELLER", "RUN", "08:00", "09:30", None),
+    ("LINE_A.LABELLER", "DOWN", "09:30", "09:45", "CHANGEOVER"),
+    ("LINE_A.LABELLER", "RUN", "09:45", "12:50", None),
+    ("LINE_A.LABELLER", "IDLE", "12:50", "13:00", None),
+    ("LINE_A.LABELLER", "RUN", "13:00", "16:00", None),
+    ("LINE_A.LABELLER", "RUN", "16:00", "20:00", None),
+    ("LINE_A.LABELLER", "DOWN", "20:00", "20:30", "LABEL_OUT"),
+    ("LINE_A.LABELLER", "RUN", "20:30", "23:15", None),
+    ("LINE_A.LABELLER", "DOWN", "23:15", "23:25", "JAM"),
+    ("LINE_A.LABELLER", "RUN", "23:25", "24:00", None),
+]
 
 # Alarms of the day, from raise to clear.
-ALARMS = """
-LINE_A.FILLER: TEMP_HIGH 01:05-01:12, JAM 02:30-02:45, CHANGEOVER 10:00-10:30, NO_MATERIAL 13:45-13:55, JAM 22:00-22:15, VIBRATION 20:40-20:44
-LINE_A.CAPPER: TOOL_WEAR 01:45-02:05, JAM 11:30-11:40, NO_MATERIAL 14:00-14:25, TOOL_WEAR 18:30-18:45, PRESSURE_LOW 09:10-09:14
-LINE_A.LABELLER: LABEL_OUT 03:00-03:20, CHANGEOVER 09:30-09:45, LABEL_OUT 20:00-20:30, JAM 23:15-23:25, MISALIGN 05:40-05:43
-"""
+ALARMS = [
+    ("LINE_A.FILLER", "TEMP_HIGH", "01:05", "01:12"),
+    ("LINE_A.FILLER", "JAM", "02:30", "02:45"),
+    ("LINE_A.FILLER", "CHANGEOVER", "10:00", "10:30"),
+    ("LINE_A.FILLER", "NO_MATERIAL", "13:45", "13:55"),
+    ("LINE_A.FILLER", "JAM", "22:00", "22:15"),
+    ("LINE_A.FILLER", "VIBRATION", "20:40", "20:44"),
+    ("LINE_A.CAPPER", "TOOL_WEAR", "01:45", "02:05"),
+    ("LINE_A.CAPPER", "JAM", "11:30", "11:40"),
+    ("LINE_A.CAPPER", "NO_MATERIAL", "14:00", "14:25"),
+    ("LINE_A.CAPPER", "TOOL_WEAR", "18:30", "18:45"),
+    ("LINE_A.CAPPER", "PRESSURE_LOW", "09:10", "09:14"),
+    ("LINE_A.LABELLER", "LABEL_OUT", "03:00", "03:20"),
+    ("LINE_A.LABELLER", "CHANGEOVER", "09:30", "09:45"),
+    ("LINE_A.LABELLER", "LABEL_OUT", "20:00", "20:30"),
+    ("LINE_A.LABELLER", "JAM", "23:15", "23:25"),
+    ("LINE_A.LABELLER", "MISALIGN", "05:40", "05:43"),
+]
 
 
 def clock(text: str) -> datetime:
@@ -33,24 +86,12 @@ def clock(text: str) -> datetime:
 
 def state_rows() -> list[tuple]:
     """(machine, state, start, end, reason_code) of all segments."""
-    rows = []
-    for line in STATES.split("\n")[1:-1]:
-        machine, _, changes = line.partition(": ")
-        own = [c.split() for c in changes.split(", ")]
-        ends = [clock(c[0]) for c in own[1:]] + [DAY + timedelta(days=1)]
-        rows += [(machine, c[1], clock(c[0]), end, c[2] if len(c) > 2 else None) for c, end in zip(own, ends, strict=True)]
-    return rows
+    return [(machine, state, clock(start), clock(end), reason) for machine, state, start, end, reason in STATES]
 
 
 def alarm_rows() -> list[tuple]:
     """(machine, alarm_code, raised, cleared) of all alarms."""
-    rows = []
-    for line in ALARMS.split("\n")[1:-1]:
-        machine, _, alarms = line.partition(": ")
-        for alarm in alarms.split(", "):
-            code, span = alarm.split()
-            rows.append((machine, code, *map(clock, span.split("-"))))
-    return rows
+    return [(machine, code, clock(raised), clock(cleared)) for machine, code, raised, cleared in ALARMS]
 
 
 def machines_df(spark: SparkSession) -> DataFrame:

@@ -48,4 +48,16 @@ def expected_alarms(spark: SparkSession, shifts: Shifts = Shifts()) -> DataFrame
 def expected_messages(spark: SparkSession) -> DataFrame:
     """Messages by type, and all of them (type null)."""
     rows = generator.messages(schedule.segments_df(spark), schedule.alarms_df(spark), schedule.machines_df(spark))
+    return message_totals(rows)
+
+
+def message_totals(rows: DataFrame) -> DataFrame:
+    """Rows by type, and all of them (type null)."""
     return rows.rollup("type").agg(F.count("*").alias("n"))
+
+
+def same_keys(reported: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Every (machine, alarm_code) of a report (with ``reported``) or of a schedule, and whether it is in either."""
+    planned = alarms.select("machine", "alarm_code", F.lit(True).alias("planned")).distinct()
+    rows = reported.join(planned, ["machine", "alarm_code"], "full")
+    return rows.select("machine", "alarm_code", F.coalesce("reported", F.lit(False)).alias("reported"), F.coalesce("planned", F.lit(False)).alias("planned"))

@@ -4,17 +4,30 @@ A batch is a folder ``batch_id=n``. It counts once Spark has put its ``_SUCCESS`
 mark there, so a crash leaves nothing that is read, and a retry of a batch
 overwrites the same folder. Facts are views of the ledger and need no second
 write. A folder without our owner's mark is never written to.
+
+What a batch has to know of earlier ones is kept in an index beside the ledger,
+brought up to date when the next batch begins: the seqs seen, in runs sorted by
+seq, of which a batch reads what lies between its least and its greatest, and
+one small table of watermarks and alarm states per batch. The work of a batch
+so depends on its own size, not on the ledger's; after every RUNS batches their
+runs are merged into one.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plantlens.operators.classify import carry_of, classify
+from plantlens.operators.classify import Carry, carry_of, classify, parsed_messages
 from plantlens.schema import LEDGER, Policy
 from plantlens.streaming.files import children, exists, touch
 
-OWNER = "_plantlens_ledger"
+OWNER, INDEX = "_plantlens_ledger", "_index"
+RUNS = 32
+SEEN = "seq long, seen_hash string"
+STATES = "tag string, alarm_code string, phase string, us long"
 
 
 class Ledger:
@@ -25,21 +38,83 @@ class Ledger:
                 raise ValueError(f"{path} is not empty and no ledger of ours")
             touch(spark, f"{self.path}/{OWNER}")
 
+    def committed(self, folder: str, pattern: str) -> list[tuple[int, ...]]:
+        """Numbers in the names of a folder's tables that were written whole."""
+        found = [re.fullmatch(pattern, n) for n in children(self.spark, f"{self.path}/{folder}")]
+        return sorted(tuple(map(int, m.groups())) for m in found if m and exists(self.spark, f"{self.path}/{folder}/{m[0]}/_SUCCESS"))
+
     def batches(self, before: int | None = None) -> list[int]:
         """Numbers of the committed batches."""
-        numbers = [int(n.partition("=")[2]) for n in children(self.spark, self.path) if n.startswith("batch_id=")]
-        return sorted(n for n in numbers if (before is None or n < before) and exists(self.spark, f"{self.path}/batch_id={n}/_SUCCESS"))
+        return [n for (n,) in self.committed("", r"batch_id=(\d+)") if before is None or n < before]
 
     def read(self, before: int | None = None) -> DataFrame:
         """All rows of committed batches: a fixed list of folders, whatever is written meanwhile."""
-        paths = [f"{self.path}/batch_id={n}" for n in self.batches(before)]
+        return self.read_batches(self.batches(before))
+
+    def read_batches(self, numbers: list[int]) -> DataFrame:
+        paths = [f"{self.path}/batch_id={n}" for n in numbers]
         return self.spark.read.schema(LEDGER).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER)
 
+    def runs(self, upto: int) -> list[tuple[int, int]]:
+        """The widest runs of seqs, which together hold all batches indexed up to a number once."""
+        out: list[tuple[int, int]] = []
+        for low, high in sorted(self.committed(f"{INDEX}/seen", r"from=(\d+)_to=(\d+)"), key=lambda r: (r[0], -r[1])):
+            if high <= upto and (not out or low > out[-1][1]):
+                out.append((low, high))
+        return out
+
+    def seen(self, runs: list[tuple[int, int]]) -> DataFrame:
+        paths = [f"{self.path}/{INDEX}/seen/from={a}_to={b}" for a, b in runs]
+        return self.spark.read.schema(SEEN).parquet(*paths)
+
+    def put_run(self, rows: DataFrame, low: int, high: int) -> None:
+        rows.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{self.path}/{INDEX}/seen/from={low}_to={high}")
+
+    def state(self, number: int) -> tuple[DataFrame, DataFrame]:
+        """Watermarks by tag and the last accepted alarm by tag and code, up to a batch."""
+        rows = self.spark.read.schema(STATES).parquet(f"{self.path}/{INDEX}/state/batch_id={number}")
+        return rows.where("alarm_code is null").select("tag", F.col("us").alias("mark_us")), rows.where("alarm_code is not null").select("tag", "alarm_code", "phase", F.col("us").alias("ts_us"))
+
+    def index(self, numbers: list[int]) -> None:
+        """Bring the index up to date with the committed batches."""
+        done = {n for (n,) in self.committed(f"{INDEX}/state", r"batch_id=(\d+)")}
+        for k, n in enumerate(numbers):
+            if n in done:
+                continue
+            own = carry_of(self.read_batches([n]))
+            self.put_run(own.seen, n, n)
+            marks, alarms = own.marks, own.alarms
+            if k:
+                # later batches decide alarms; watermarks only rise
+                old_marks, old_alarms = self.state(numbers[k - 1])
+                marks = marks.union(old_marks).groupBy("tag").agg(F.max("mark_us").alias("mark_us"))
+                alarms = alarms.union(old_alarms.join(alarms, ["tag", "alarm_code"], "left_anti"))
+            none = F.lit(None).cast("string")
+            rows = marks.select("tag", none.alias("alarm_code"), none.alias("phase"), F.col("mark_us").alias("us")).union(alarms.select("tag", "alarm_code", "phase", "ts_us"))
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{INDEX}/state/batch_id={n}")
+            single = [r for r in self.runs(n) if r[0] == r[1]]
+            if len(single) >= RUNS:
+                self.put_run(self.seen(single), single[0][0], single[-1][1])
+
+    def carry(self, before: int, low: int | None, high: int | None) -> Carry | None:
+        """What the batches before a number have decided, of the seqs from ``low`` to ``high``."""
+        numbers = self.batches(before)
+        if not numbers:
+            return None
+        self.index(numbers)
+        seen = self.seen(self.runs(numbers[-1]))
+        return Carry(seen.where(F.col("seq").between(low, high) if low is not None else F.lit(False)), *self.state(numbers[-1]))
+
     def append(self, messages: DataFrame, batch_id: int) -> None:
-        """Classify messages (arrival_id, raw_payload) against all earlier batches and commit them as one."""
-        earlier = self.batches(batch_id)
-        carry = carry_of(self.read(batch_id)) if earlier else None
-        classify(messages, self.policy, carry).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        """Classify messages (arrival_id, raw_payload) against all earlier batches and commit them as one.
+
+        A batch may be written again until a later one has begun.
+        """
+        if (batch_id,) in self.committed(f"{INDEX}/state", r"batch_id=(\d+)"):
+            raise ValueError(f"later batches rest on batch {batch_id}")
+        rows = parsed_messages(messages)
+        carry = self.carry(batch_id, *rows.where("reason is null").agg(F.min("seq"), F.max("seq")).first())
+        classify(rows, self.policy, carry, ready=True).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def totals(self) -> dict[str, int]:
         """Messages by category."""

@@ -27,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder (or a path got from it before) and read it back."""
+    spark = df.sparkSession
+    path = path or shared_dir(spark)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:

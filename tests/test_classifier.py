@@ -138,3 +138,72 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     line(2)
     assert sum(ingest_all(spark, *args).values()) == 120
     assert sorted(categories(Ledger(spark, args[1]).read())) == sorted(model(raws))
+
+
+def test_an_index_of_many_batches_gives_the_same_ledger(spark, tmp_path, monkeypatch):
+    from plantlens.streaming import ledger
+
+    monkeypatch.setattr(ledger, "RUNS", 3)
+    raws = stream(11, 80)
+    book = Ledger(spark, str(tmp_path / "ledger"))
+    for k in range(8):
+        book.append(frame(spark, raws[10 * k : 10 * k + 10], 10 * k), k)
+    assert categories(book.read()) == model(raws)
+    assert book.runs(7) == [(0, 2), (3, 5), (6, 6)]
+    with pytest.raises(ValueError):
+        book.append(frame(spark, raws[:10]), 3)
+
+
+def test_a_crash_leaves_nothing_that_counts(spark, tmp_path):
+    raws = stream(13, 60)
+    book = Ledger(spark, str(tmp_path / "ledger"))
+    book.append(frame(spark, raws[:30]), 0)
+    book.append(frame(spark, raws[30:], 30), 1)
+    whole = categories(book.read())
+    # as a writer leaves it that dies before its commit
+    (tmp_path / "ledger" / "batch_id=1" / "_SUCCESS").unlink()
+    again = Ledger(spark, str(tmp_path / "ledger"))
+    assert again.batches() == [0] and categories(again.read()) == whole[:30]
+    again.append(frame(spark, raws[30:], 30), 1)
+    assert categories(again.read()) == whole == model(raws)
+
+
+def test_a_write_that_fails_is_made_up_for(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plantlens.streaming import ledger
+
+    raws = stream(17, 40)
+    book = Ledger(spark, str(tmp_path / "ledger"))
+    book.append(frame(spark, raws[:20]), 0)
+    real = ledger.classify
+    with monkeypatch.context() as m:
+        # the last rows of the batch fail while it is written
+        m.setattr(ledger, "classify", lambda *a, **k: real(*a, **k).withColumn("seq", F.when(F.col("arrival_id") > 35, F.raise_error(F.lit("disk full")).cast("long")).otherwise(F.col("seq"))))
+        with pytest.raises(Exception, match="disk full"):
+            book.append(frame(spark, raws[20:], 20), 1)
+    assert categories(book.read()) == model(raws[:20])
+    book.append(frame(spark, raws[20:], 20), 1)
+    assert categories(book.read()) == model(raws)
+
+
+def test_a_file_delivered_twice_and_broken_lines(spark, tmp_path):
+    drop, args = tmp_path / "drop", (str(tmp_path / "drop"), str(tmp_path / "ledger"), str(tmp_path / "check"))
+    drop.mkdir()
+    raws = [message(k, 60 * k) for k in range(10)]
+    lines = "".join(f"{i}\t{r}\n" for i, r in enumerate(raws))
+    (drop / "a.txt").write_text(lines)
+    ingest_all(spark, *args)
+    (drop / "b.txt").write_text("".join(f"{100 + i}\t{r}\n" for i, r in enumerate(raws)))
+    (drop / "c.txt").write_text(f"no tab here\nabc\t{raws[0]}\n{raws[1]}\n\n")
+    assert ingest_all(spark, *args) == {"accepted": 10, "duplicate": 10, "bad_payload": 4}
+    bad = Ledger(spark, args[1]).read().where("category = 'bad_payload'").collect()
+    assert all(r.arrival_id < 0 and r.reason == "invalid JSON" for r in bad) and any("no tab here" in r.raw_payload for r in bad)
+
+
+def test_state_restored_after_a_restart(spark, tmp_path):
+    book = Ledger(spark, str(tmp_path / "ledger"))
+    book.append(frame(spark, [message(1, 1200), alarm(2, 1250, "RAISE")]), 0)
+    later = [message(3, 800), message(1, 1200), alarm(4, 1260, "RAISE"), alarm(5, 1240, "CLEAR"), alarm(6, 1270, "CLEAR"), message(7, 1100)]
+    Ledger(spark, str(tmp_path / "ledger")).append(frame(spark, later, 10), 1)
+    assert categories(book.read())[2:] == ["out_of_order_rejected", "duplicate", "alarm_out_of_order_rejected", "alarm_out_of_order_rejected", "accepted", "accepted_late"]

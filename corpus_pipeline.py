@@ -14,12 +14,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm.common import saved, table
+from plantlens.llm.common import saved, shared_dir, table
 from plantlens.llm.mixing import mixed_documents
 from plantlens.llm.ngram_join import one_of_each
 from plantlens.llm.packing import pack
 from plantlens.llm.pii import redacted_documents
 from plantlens.llm.toxicity import without_toxic
+from plantlens.sources.scratch import scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        kept = shared_dir(spark)
+        # a stage's own intermediate tables go once its result is written
+        with scratch(spark):
+            docs = saved(stage(spark, docs, sf_dir), kept)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,7 +17,8 @@ that the order of rows does not matter.
 Edge cases: a null host or path is a site of its own; a null or empty text has
 the evidence of an empty one; sites with one document fall back on the level
 above; repeated rows are documents of their own; without labels of both kinds
-all evidence is the prior 0.5.
+all evidence is the prior 0.5; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from plantlens.llm.doc_stats import statistics_of
 from plantlens.llm.quality_rules import labelled_features
 
 ONE = 1_000_000
+#: Sites are broadcast up to so many; beyond, rows and sites are dealt over SALTS parts of each site, so that no site is one task's.
+MOST_BROADCAST, SALTS = 200_000, 32
 
 
 class Logistic:
@@ -76,7 +79,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000,
     site = lambda c: F.coalesce(F.concat(F.lit("s"), docs[c].cast("string")), F.lit("n"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), site(host_col).alias("host"), site(path_col).alias("path"))
     evidence = saved(by_slice(rows, "text", "doc_id long, host string, path string, good long", work))
-    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    paths = saved(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     overall = (good + ONE) / (n + 2) / ONE if n else 0.5
@@ -89,5 +92,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000,
     sure = F.least(F.lit(0.999999), F.greatest(F.lit(0.000001), own))
     odds = lambda p: F.log(p / (1 - p))
     logit = odds(sure) - odds(F.lit(overall)) + odds(prior)
-    joined = evidence.join(sites, ["host", "path"]).select("doc_id", own.alias("evidence"), "host_posterior", prior.alias("path_posterior"), (1 / (1 + F.exp(-logit))).alias("score"))
+    if paths.count() <= MOST_BROADCAST:
+        met = evidence.join(F.broadcast(sites), ["host", "path"])
+    else:
+        salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = evidence.withColumn("salt", F.pmod(F.xxhash64("doc_id", "good"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+    joined = met.select("doc_id", own.alias("evidence"), "host_posterior", prior.alias("path_posterior"), (1 / (1 + F.exp(-logit))).alias("score"))
     return joined.withColumn("kept", F.col("score") >= threshold)

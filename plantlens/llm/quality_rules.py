@@ -9,7 +9,9 @@ order of a hash of doc_id; statistics and verdicts cover all rows.
 
 Edge cases: a null, empty or wordless text has zero counts and fails the base
 rule; repeated rows are judged one by one; without labels of both kinds the
-base rule alone decides.
+base rule alone decides. A labelled row whose id has several labels is good if
+one of them says so; of several texts of one id the first in order of code
+points is fitted. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,10 +107,10 @@ def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
 def labelled_features(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``sample`` labelled rows."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("truth")).where(F.col("doc_id").isNotNull() & F.col("truth").isin(0, 1))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(sample)
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "truth")
+    known = known.groupBy("doc_id").agg(F.max("truth").alias("truth")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(known), "doc_id").groupBy("doc_id", "truth").agg(F.min("text").alias("text")).select("doc_id", "text", "truth")
     found = by_slice(rows, "text", "doc_id long, truth int, x array<double>", lambda r, texts: {"doc_id": r.column(0), "truth": r.column(2), "x": statistics_of(texts)[1].tolist()})
-    got = found.orderBy("doc_id").collect()
+    got = sorted(found.collect(), key=lambda r: r[0])
     return np.array([r[2] for r in got], dtype=np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], dtype=np.float64)
 
 

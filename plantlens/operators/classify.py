@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.functions.grammar import microseconds, ntz, parsed, quoted
+from plantlens.functions.grammar import microseconds, ntz, quoted, with_fields
 from plantlens.operators.lines import running_max
 from plantlens.schema import LEDGER, SEEN_CATEGORIES, Policy
 from plantlens.sources.scratch import saved
@@ -146,7 +146,7 @@ def reason_of(policy: Policy) -> object:
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
     """Messages (arrival_id, raw_payload) with their fields or the reason of refusal, written once for the branches that follow."""
-    return saved(messages.select("arrival_id", "raw_payload").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "p.*"))
+    return saved(with_fields(messages.select("arrival_id", "raw_payload")).select("arrival_id", "raw_payload", "p.*"))
 
 
 def classify(messages: DataFrame, policy: Policy = Policy(), carry: Carry | None = None, ready: bool = False) -> DataFrame:

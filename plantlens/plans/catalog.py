@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.functions.grammar import html_escape, microseconds, parsed
+from plantlens.functions.grammar import html_escape, microseconds
 from plantlens.operators import alarms, classify, coverage, metrics, segments
 from plantlens.operators.facts import clock_gaps, facts, observations, totals
 from plantlens.operators.grid import MICRO, dense_grid
@@ -258,7 +258,7 @@ def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, seq, rn = 1 AS is_first, h0 = h AS same FROM b")
 def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replayed(spark, sf_dir).select("arrival_id", parsed("raw_payload").alias("p")).select("arrival_id", "p.*")
+    rows = classify.parsed_messages(replayed(spark, sf_dir)).drop("raw_payload")
     known, _ = classify.by_registry(rows.where("reason is null"), "tag", POLICY.tags)
     return classify.with_first(known.select("arrival_id", "seq", "content_hash")).select("arrival_id", "seq", "is_first", (F.col("content_hash") == F.col("first_hash")).alias("same"))
 
@@ -276,7 +276,7 @@ def q_watermark_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, cat AS category, CASE WHEN cat <> 'accepted' THEN (mark - us)::BIGINT END AS delay_us FROM d")
 def q_late_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replayed(spark, sf_dir).select("arrival_id", parsed("raw_payload").alias("p")).select("arrival_id", "p.*")
+    rows = classify.parsed_messages(replayed(spark, sf_dir)).drop("raw_payload")
     # as counts, so that the order of alarms plays no part
     rows = rows.where(F.col("reason").isNull() & F.col("tag").isin(*POLICY.tags)).drop("reason").withColumn("msg_type", F.lit("COUNT"))
     late = classify.decided(rows, POLICY).where("is_first")

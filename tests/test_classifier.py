@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from plantlens.functions.grammar import parse
+from plantlens.functions.grammar import parse, plain_fields, with_fields
 from plantlens.operators.classify import classify
 from plantlens.streaming.ledger import Ledger
 from plantlens.streaming.stream import ingest_all
@@ -55,6 +55,26 @@ def test_grammar(raw, reason):
     assert parse(raw)[0] == reason
 
 
+PLAINISH = [
+    {"seq": 0}, {"seq": -7}, {"seq": 10**17}, {"seq": 10**18 + 1}, {"seq": 1.0}, {"note": "a, b: {c}"}, {"note": 'say "x"'}, {"note": "back\\slash"}, {"note": "é"}, {"note": None}, {"note": True}, {"z": {"a": 1}}, {"z": []}, {"": 1}, {"a-b": 1},
+    {"tag": ""}, {"tag": " "}, {"ts": "2024-01-01T00:00:00.123456+00:00"}, {"ts": "2024-01-01T00:00:00.5+00:00"}, {"ts": "2024-01-01T00:00:00Z"}, {"ts": "2024-02-30T00:00:00+00:00"}, {"ts": "2024-01-01T24:00:00+00:00"}, {"ts": "2024-01-01T00:00:60+00:00"}, {"ts": "0000-01-01T00:00:00+00:00"}, {"ts": "0001-01-01T00:00:00+00:00"}, {"ts": "9999-12-31T23:59:59.999999+00:00"}, {"ts": "1969-12-31T23:59:59.000001+00:00"},
+    {"good_delta": 2147483647}, {"good_delta": 2147483648}, {"good_delta": 0}, {"good_delta": "1"}, {"good_delta": None}, {"type": "HEARTBEAT"}, {"type": "STATE", "state": "RUN"}, {"type": "STATE", "state": "DOWN", "reason_code": "JAM"}, {"type": "STATE", "state": "DOWN", "reason_code": ""}, {"type": "STATE", "state": "IDLE", "reason_code": "x"}, {"type": "STATE", "state": None},
+    {"type": "ALARM", "alarm_code": "A", "phase": "RAISE"}, {"type": "ALARM", "alarm_code": "A"}, {f"k{i}": i for i in range(30)}, {"note": "x" * 3000},
+]
+
+
+def test_plain_messages_are_parsed_alike_in_the_jvm(spark):
+    raws = [json.dumps(OK | own) for own in PLAINISH] + [json.dumps(OK | own, separators=(",", ":")) for own in PLAINISH[:4]]
+    raws += [json.dumps(OK)[:-1] + ', "seq": 2}', json.dumps(OK) + " ", " " + json.dumps(OK), json.dumps(OK)[:-1] + ', "n": -0}', json.dumps(OK)[:-1] + ', "n": 01}', json.dumps(OK) + "\n"] + [r for r, _ in CASES] + [r for r in stream(3, 200)]
+    rows = frame(spark, raws)
+    got = {r.arrival_id: tuple(r.p) for r in with_fields(rows).collect()}
+    assert len(got) == len(raws)
+    for i, raw in enumerate(raws):
+        assert got[i] == parse(raw), raw
+    plain, _ = plain_fields("raw_payload")
+    assert rows.where(plain).count() > 150
+
+
 def model(raws):
     """The categories one by one, in order of arrival."""
     seen, mark, last, out = {}, {}, {}, []

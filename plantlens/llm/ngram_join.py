@@ -39,6 +39,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def frequent(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     names = top["s"].to_numpy(dtype=np.uint64)
     maybe = np.zeros(1 << LIST_BITS, dtype=bool)
     maybe[names >> np.uint64(60 - LIST_BITS)] = True
-    return names, level.astype(np.uint64), maybe
+    return names, level.astype(np.uint8), np.packbits(maybe, bitorder="little")
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -137,10 +138,11 @@ def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
         for s in sets:
             short = s >> np.uint64(4)
             level = np.zeros(len(s), dtype=np.uint64)
-            asked = np.flatnonzero(maybe[short >> np.uint64(60 - LIST_BITS)])
+            bit = short >> np.uint64(60 - LIST_BITS)
+            asked = np.flatnonzero((maybe[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
             if len(asked):
                 at = np.minimum(np.searchsorted(names, short[asked]), len(names) - 1)
-                level[asked] = np.where(names[at] == short[asked], levels[at], np.uint64(0))
+                level[asked] = np.where(names[at] == short[asked], levels[at].astype(np.uint64), np.uint64(0))
             token = (short << np.uint64(4)) | level
             # rare ones first; the hashes of one level are in order already
             if level.any():
@@ -148,11 +150,13 @@ def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
             out.append(token[: prefix_size(len(s), percent)] if len(s) else token)
         return {"doc_id": rows.column(0), "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "prefix_key": [xxhash.xxh3_128_hexdigest(t.tobytes()) for t in out], "prefix": lists(out), "sketch": lists([parities(s) for s in sets])}
 
-    return by_slice(own, "text", "doc_id long, n long, digest string, prefix_key string, prefix array<long>, sketch array<long>", work)
+    found = saved(by_slice(own, "text", "doc_id long, n long, digest string, prefix_key string, prefix array<long>, sketch array<long>", work))
+    listed.destroy()
+    return found
 
 
-def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(node, digest, shingles as bytes) of texts whose id may be among the nodes needed; a bit filter of fixed size spares most others the work."""
+def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The filter, and (node, digest, shingles as bytes) of texts whose id may be among the nodes needed; a bit filter of fixed size spares most others the work."""
     place = lambda c: (F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(63)))
     word, bit = place("node")
     bits = needed.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).select("word", F.call_function("shiftleft", F.col("one"), F.col("bit").cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
@@ -170,13 +174,14 @@ def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> DataFrame:
         raw = [s.tobytes() for s in shingle_sets([texts[i] for i in at], k)]
         return {"node": rows.column(0).take(pa.array(at)), "digest": [xxhash.xxh3_128_hexdigest(b) for b in raw], "shingles": pa.array(raw, type=pa.binary())}
 
-    return by_slice(asked, "text", "node long, digest string, shingles binary", work)
+    return by_slice(asked, "text", "node long, digest string, shingles binary", work), shared
 
 
 def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a saved table whose sets are similar enough."""
+    """The pairs (a, b) of a saved table whose sets are similar enough, saved."""
     needed = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = needed_sets(own, needed, k).join(needed, "node", "left_semi").groupBy("node").agg(F.min_by("shingles", "digest").alias("shingles"))
+    sets, shared = needed_sets(own, needed, k)
+    sets = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.min_by("shingles", "digest").alias("shingles"))
     # b travels to its place at a, and a once to each part of a
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     centres = parts.select(F.col("a").alias("node"), F.col("a").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("other"))
@@ -201,7 +206,9 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
                         b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    return sent.mapInArrow(check, "a long, b long")
+    found = saved(sent.mapInArrow(check, "a long, b long"))
+    shared.destroy()
+    return found
 
 
 def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
@@ -261,7 +268,7 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     own = id_text(docs, id_col, text_col)
-    ready = saved(prefixes(own, k, percent))
+    ready = prefixes(own, k, percent)
     full = ready.where("doc_id is not null and n > 0")
     classes = saved(full.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     groups = classes.groupBy("prefix_key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
@@ -278,7 +285,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     able = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n) AND (100 + {percent}) * least(n - pos, c.n - c.pos) >= {percent} * (n + c.n)"
     tries = shared.where("gid <> c.gid").where(able).select(F.col("c.gid").alias("centre"), "gid").distinct().join(members.select("gid", "node"), "gid").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     tries = saved(tries.union(members.where("node <> gid").select("gid", "node")).distinct())
-    links = saved(verified(tries, own, k, percent))
+    links = verified(tries, own, k, percent)
     known = components(links)
 
     # further rounds: what shares a token but no component, around a drawn holder of each token and then in all pairs
@@ -289,7 +296,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         more = saved(found.join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
-        links, tested = links.union(saved(verified(more, own, k, percent))), tested.union(more)
+        links, tested = links.union(verified(more, own, k, percent)), tested.union(more)
         known = components(links)
     of_digest = classes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = ready.join(of_digest, "digest", "left")

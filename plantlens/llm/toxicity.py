@@ -45,8 +45,8 @@ LONGEST, STEP = 40, 20
 #: Words of a window, and how far the next one starts behind it.
 WINDOW, STRIDE = 32, 16
 DIM, HID, ATT, GRAMS = 16, 8, 8, 1 << 14
-#: Distinct words remembered by a Python worker while scoring.
-REMEMBERED = 300_000
+#: Distinct words remembered by a Python worker while scoring, and how many new ones are worked out at a time.
+REMEMBERED, PORTION = 150_000, 4096
 
 
 def words_of(text: str) -> list[str]:
@@ -240,7 +240,7 @@ class Bag:
         return self.rows[at], self.flat[np.repeat(self.begins[at], sizes) + inner], sizes
 
 
-def train(texts: list[str], truth: list[int], rounds: int = 6, batch: int = 128, vocab_size: int = 20_000, seed: int = 7, effort: int = 15_000) -> Net | None:
+def train(texts: list[str], truth: list[int], rounds: int = 4, batch: int = 128, vocab_size: int = 20_000, seed: int = 7, effort: int = 10_000) -> Net | None:
     """The network for labelled texts; None unless there are texts of both labels."""
     if len(set(truth)) < 2:
         return None
@@ -302,14 +302,15 @@ class Scorer:
         self.net, self.seen, self.table = net, {}, np.zeros((0, 6 * HID), dtype=np.float32)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        split = [words_of(t) for t in texts]
-        wanted = set().union(*split) | {""}
+        pool: dict[str, str] = {}
+        split = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
+        wanted = {*pool, ""}
         new = [w for w in wanted if w not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen, new, self.table = {}, sorted(wanted), self.table[:0]
         if new:
             self.seen |= {w: len(self.table) + i for i, w in enumerate(new)}
-            self.table = np.concatenate([self.table, self.net.projected(self.net.vectors(new)[0])])
+            self.table = np.concatenate([self.table, *(self.net.projected(self.net.vectors(new[i : i + PORTION])[0]) for i in range(0, len(new), PORTION))])
         get = self.seen.__getitem__
         flat = np.fromiter((i for words in split for i in map(get, words or ("",))), dtype=np.int64)
         starts, sizes, doc = windows([len(w) or 1 for w in split])

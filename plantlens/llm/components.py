@@ -46,3 +46,12 @@ def components(edges: DataFrame) -> DataFrame:
     for hook in hooks[1:]:
         found = found.join(hook.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
     return saved(found) if len(hooks) > 1 else found
+
+
+def with_links(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) when edges (a, b) come to known ones; only the components that these edges touch are worked on."""
+    name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    between = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    above = components(between).select(F.col("node").alias("component"), F.col("component").alias("up"))
+    new = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return saved(known.select("node", "component").union(new).join(above, "component", "left").select("node", F.coalesce("up", "component").alias("component")))

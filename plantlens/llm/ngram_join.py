@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import by_slice, id_text, saved
-from plantlens.llm.components import components
+from plantlens.llm.components import components, with_links
 from plantlens.llm.word_hash import MULTIPLIER, mixed, word_hashes
 
 #: One in so many occurrences is counted; shingles counted SEEN times or more are frequent, LISTED of them at most.
@@ -216,8 +216,17 @@ def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFr
     placed = saved(members.join(known, "node", "left").select("node", "gid", "n", "members", F.coalesce("component", "node").alias("component")))
     own = placed.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.lit(0).alias("pos"), "node", "n", "component")
     rows = shared.select("token", "gid", "pos").join(placed.select("gid", "node", "n", "component"), "gid").drop("gid").unionByName(own)
+    return saved(still_open(rows).join(members.select("node", "sketch"), "node"))
+
+
+def reopened(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """What is left of open rows when more is known: components only grow together, so a token once closed stays so."""
+    return saved(still_open(rows.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+
+
+def still_open(rows: DataFrame) -> DataFrame:
     several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return saved(rows.join(several, "token").join(members.select("node", "sketch"), "node"))
+    return rows.join(several, "token", "left_semi")
 
 
 def may_link(percent: int) -> str:
@@ -285,19 +294,18 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     able = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n) AND (100 + {percent}) * least(n - pos, c.n - c.pos) >= {percent} * (n + c.n)"
     tries = shared.where("gid <> c.gid").where(able).select(F.col("c.gid").alias("centre"), "gid").distinct().join(members.select("gid", "node"), "gid").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     tries = saved(tries.union(members.where("node <> gid").select("gid", "node")).distinct())
-    links = verified(tries, own, k, percent)
-    known = components(links)
+    known = components(verified(tries, own, k, percent))
 
     # further rounds: what shares a token but no component, around a drawn holder of each token and then in all pairs
     tested = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = None
     for seed in (*DRAWS, None):
-        rows = open_rows(shared, members, known)
+        rows = open_rows(shared, members, known) if rows is None else reopened(rows, known)
         found = all_pairs(rows, percent) if seed is None else pairs_with_drawn(rows, percent, seed)
         more = saved(found.join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
-        links, tested = links.union(verified(more, own, k, percent)), tested.union(more)
-        known = components(links)
+        known, tested = with_links(known, verified(more, own, k, percent)), tested.union(more)
     of_digest = classes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = ready.join(of_digest, "digest", "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

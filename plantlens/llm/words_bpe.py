@@ -122,14 +122,13 @@ class WordVocab:
         return self.plain(text)
 
     def plain(self, text: str, blanks: bool = False) -> list[str]:
-        newer = False
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if HAS_LOWER.search(text):
-                text = text.translate(TO_LOWER)
-            text = text.lower()
-            newer = bool(HAS_NEWER.search(text))
-        return self.patterns[blanks, newer].findall(text.lower())
+        if text.isascii():
+            return self.patterns[blanks, False].findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if HAS_LOWER.search(text):
+            text = text.translate(TO_LOWER)
+        text = text.lower()
+        return self.patterns[blanks, bool(HAS_NEWER.search(text))].findall(text)
 
     def first_apart(self, hit: np.ndarray) -> np.ndarray:
         """Which places of one pair, in order, are merged at once: in a run of touching ones, every other from the first on."""

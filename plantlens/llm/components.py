@@ -13,12 +13,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def rooted(hook: DataFrame) -> DataFrame:
-    """(node, up) with every node at the root of its tree: pointers are doubled until none moves, so a tree of depth d takes about log2 d steps."""
+    """(node, up) with every node at the root of its tree: pointers are doubled until none moves, so a tree of depth d takes about log2 d steps.
+
+    Only the pointers of distinct parents are looked up, so a root of very many nodes is one row there.
+    """
+    hook = saved(hook)
     while True:
-        above = hook.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-        hook = saved(hook.join(above, "up").select("node", F.col("higher").alias("up"), (F.col("higher") != F.col("up")).alias("moved")))
-        if hook.where("moved").isEmpty():
-            return hook.select("node", "up")
+        parents = hook.select(F.col("up").alias("node")).distinct().join(hook, "node").where("up <> node")
+        above = saved(parents.select(F.col("node").alias("up"), F.col("up").alias("higher")))
+        if above.isEmpty():
+            return hook
+        hook = saved(hook.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up")))
 
 
 def components(edges: DataFrame) -> DataFrame:

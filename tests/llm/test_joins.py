@@ -158,8 +158,8 @@ def test_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch, order):
     got = {r.node: r.component for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
     linked = [x for x in links if x[0] != x[1]]
     assert got == least(sorted({i for x in linked for i in x}), linked)
-    # tables written: pointer steps and contractions
-    assert len(steps) <= 30
+    # tables written, two for a pointer step: the chain takes ten steps in one round, or few steps in each of a few rounds
+    assert len(steps) <= 50, len(steps)
 
 
 def test_links_that_come_later(spark):

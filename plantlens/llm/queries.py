@@ -14,6 +14,7 @@ from plantlens.llm.pii import pii
 from plantlens.llm.quality_classifier import quality_classifier
 from plantlens.llm.quality_rules import quality_rules
 from plantlens.llm.token_counts import token_counts
+from plantlens.llm.top_search import TOP_SQL, top_search
 from plantlens.llm.toxicity import toxicity
 from plantlens.llm.warc import WARC_SQL, warc_round_trip
 
@@ -60,7 +61,11 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_quality_bayes, op4_pii, op5_hilbert_packing, op6_warc, op7_quality_rules, op8_curriculum_mix, op9_toxicity, op10_metric_join)}
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_quality_bayes, op4_pii, op5_hilbert_packing, op6_warc, op7_quality_rules, op8_curriculum_mix, op9_toxicity, op10_metric_join, op13_topk_search)}
 
 #: What plain SQL can say over whole tables; tests/llm holds the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op8_curriculum_mix": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op8_curriculum_mix": MIX_SQL, "op13_topk_search": TOP_SQL}

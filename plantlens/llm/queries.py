@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plantlens.llm.collocations import COLLOCATION_SQL, collocations
 from plantlens.llm.common import table
+from plantlens.llm.fill_in_middle import FIM_SQL, digests
 from plantlens.llm.metric_join import metric_join
 from plantlens.llm.mixing import MIX_SQL, mix
 from plantlens.llm.ngram_join import ngram_join
@@ -62,6 +63,10 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_quality_bayes, op4_pii, op5_hilbert_packing, op6_warc, op7_quality_rules, op8_curriculum_mix, op9_toxicity, op10_metric_join, op12_collocations, op13_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_quality_bayes, op4_pii, op5_hilbert_packing, op6_warc, op7_quality_rules, op8_curriculum_mix, op9_toxicity, op10_metric_join, op11_fill_in_middle, op12_collocations, op13_topk_search)}
 
 #: What plain SQL can say over whole tables; tests/llm holds the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op8_curriculum_mix": MIX_SQL, "op12_collocations": COLLOCATION_SQL, "op13_topk_search": TOP_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_warc": WARC_SQL, "op8_curriculum_mix": MIX_SQL, "op11_fill_in_middle": FIM_SQL, "op12_collocations": COLLOCATION_SQL, "op13_topk_search": TOP_SQL}

@@ -1,15 +1,17 @@
-"""Classification of messages: eight categories as joins, windows and one ordered fold.
+"""Classification of messages: eight categories as joins, windows and an automaton.
 
+* Arrivals have a total order: by arrival_id, file and line. A line delivered
+  again, under the same arrival_id too, is a row of its own in every step.
 * A seq is decided by its first well-formed message of a known tag, whatever
   became of that one; later ones are duplicates or, with other content, conflicts.
 * A tag's watermark is the largest timestamp so far. A row older than it is
   late within the grace period and rejected beyond it. No row is dropped.
 * Alarms of a (tag, code) must alternate, beginning with RAISE, and not go back
-  in time. That is a fold over the key's rows in order of arrival; it runs over
-  sorted partitions and holds one state, however long the key.
+  in time; see :mod:`automaton`.
 
 The watermark is a running maximum in two levels (stretches of arrivals, then
-rows of a stretch), so that a few busy tags still spread over all tasks.
+rows of a stretch), and so is the automaton, so that a busy key still spreads
+over all tasks. All steps work on narrow rows; payloads are joined at the end.
 
 ``carry`` holds what earlier batches have decided; see :func:`carry_of`.
 """
@@ -20,16 +22,19 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds, ntz, parsed, quoted
+from plantlens.operators.automaton import alarm_verdicts
 from plantlens.operators.lines import running_max
+from plantlens.operators.skew import joined
 from plantlens.schema import LEDGER, SEEN_CATEGORIES, Policy
 from plantlens.sources.scratch import saved
 
 MICRO = 1_000_000
+#: The order of arrivals: a line delivered again has the arrival_id of the first, but a place of its own.
+ORDER = ["arrival_id", "file", "block", "line"]
 
 
 @dataclass
@@ -48,36 +53,10 @@ def carry_of(ledger: DataFrame) -> Carry:
     return Carry(
         seen.select("seq", F.col("content_hash").alias("seen_hash")),
         seen.groupBy("tag").agg(microseconds(F.max("ts")).alias("mark_us")),
-        alarms.groupBy("tag", "alarm_code").agg(F.max_by("phase", "arrival_id").alias("phase"), microseconds(F.max_by("ts", "arrival_id")).alias("ts_us")),
+        alarms.groupBy("tag", "alarm_code").agg(F.max_by(F.struct("phase", "ts"), F.struct("ts", *ORDER)).alias("last")).select("tag", "alarm_code", "last.phase", microseconds(F.col("last.ts")).alias("ts_us")),
     )
 
 
-def alarm_verdicts(alarms: DataFrame, carry: DataFrame | None) -> DataFrame:
-    """(arrival_id, alarm_ok, last_phase, last_us) for rows (arrival_id, tag, alarm_code, phase, ts_us)."""
-    rows = alarms.select("tag", "alarm_code", "arrival_id", "phase", "ts_us", F.lit(False).alias("carried"))
-    if carry is not None:
-        rows = rows.union(carry.select("tag", "alarm_code", F.lit(-(2**63)).alias("arrival_id"), "phase", "ts_us", F.lit(True)))
-
-    def fold(batches):
-        key, phase, at = None, None, None
-        for batch in batches:
-            out = []
-            for tag, code, arrival, new, ts, carried in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (tag, code) != key:
-                    key, phase, at = (tag, code), None, None
-                ok = carried or (new == ("CLEAR" if phase == "RAISE" else "RAISE") and (at is None or ts >= at))
-                if not carried:
-                    out.append((arrival, ok, phase, at))
-                if ok:
-                    phase, at = new, ts
-            if out:
-                ids, oks, phases, ats = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(oks, pa.bool_()), pa.array(phases, pa.string()), pa.array(ats, pa.int64())], names=["arrival_id", "alarm_ok", "last_phase", "last_us"])
-
-    ordered = rows.repartition("tag", "alarm_code").sortWithinPartitions("tag", "alarm_code", "arrival_id")
-    return ordered.mapInArrow(fold, "arrival_id long, alarm_ok boolean, last_phase string, last_us long")
-
-
 def iso(us) -> object:
     """UTC ISO text of microseconds, with a fraction only where there is one."""
     whole = F.replace(F.substring(ntz(us).cast("string"), 1, 19), F.lit(" "), F.lit("T"))
@@ -91,26 +70,36 @@ def by_registry(rows: DataFrame, column: str, names: Sequence[str]) -> tuple[Dat
 
 
 def with_first(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Adds is_first and first_hash: the first row of each seq decides it, unless it was ``seen`` (seq, seen_hash) before."""
-    first = rows.groupBy("seq").agg(F.min("arrival_id").alias("first_arrival"), F.min_by("content_hash", "arrival_id").alias("first_hash"))
+    """Adds is_first and first_hash: the first row of each seq decides it, unless it was ``seen`` (seq, seen_hash) before.
+
+    A seq that is delivered again and again is summed up before anything is shuffled, and its rows are not brought together.
+    """
+    first = F.min(F.struct(*ORDER, "content_hash"))
+    found = rows.groupBy("seq").agg(first.alias("first"), F.count("*").alias("n"))
+    found = found.select("seq", F.col("first.line").alias("first_line"), F.col("first.content_hash").alias("first_hash"), "n")
     if seen is not None:
-        first = first.join(seen, "seq", "left").select("seq", F.when(F.col("seen_hash").isNull(), F.col("first_arrival")).alias("first_arrival"), F.coalesce("seen_hash", "first_hash").alias("first_hash"))
-    return rows.join(first, "seq").withColumn("is_first", F.coalesce(F.col("arrival_id") == F.col("first_arrival"), F.lit(False))).drop("first_arrival")
+        found = found.join(seen, "seq", "left").select("seq", F.when(F.col("seen_hash").isNull(), F.col("first_line")).alias("first_line"), F.coalesce("seen_hash", "first_hash").alias("first_hash"), "n")
+    return joined(rows, saved(found), ["seq"], "n").withColumn("is_first", F.coalesce(F.col("line") == F.col("first_line"), F.lit(False))).drop("first_line")
 
 
 def decided(rows: DataFrame, policy: Policy, carry: Carry | None = None) -> DataFrame:
-    """Adds first_hash, is_first, mark_us, category, alarm_ok, last_phase and last_us to parsed rows of known tags."""
+    """What becomes of parsed rows of known tags, without their payloads: line, is_first, first_hash, mark_us, category, alarm_ok, last_phase and last_us."""
+    rows = rows.select(*ORDER, "seq", "tag", "msg_type", "ts_us", "content_hash", "alarm_code", "phase")
     rows = with_first(rows, None if carry is None else carry.seen)
-    repeats = rows.where(~F.col("is_first")).withColumns({"mark_us": F.lit(None).cast("long"), "category": F.when(F.col("content_hash") == F.col("first_hash"), "duplicate").otherwise("seq_conflict")})
-    fresh = running_max(rows.where("is_first"), "tag", "arrival_id", "ts_us", "mark_us", policy.stretch)
+    repeats = rows.where(~F.col("is_first")).select("line", "is_first", "first_hash", F.when(F.col("content_hash") == F.col("first_hash"), "duplicate").otherwise("seq_conflict").alias("category"))
+    fresh = running_max(rows.where("is_first"), "tag", ORDER[0], "ts_us", "mark_us", policy.stretch, ORDER[1:])
     if carry is not None:
         fresh = fresh.join(F.broadcast(carry.marks.withColumnRenamed("mark_us", "_carried")), "tag", "left").withColumn("mark_us", F.greatest("mark_us", "_carried")).drop("_carried")
     delay = F.col("mark_us") - F.col("ts_us")
     fresh = fresh.withColumn("category", F.when(F.col("mark_us").isNull() | (delay <= 0), "accepted").when(delay <= policy.grace_s * MICRO, "accepted_late").otherwise("out_of_order_rejected"))
-    alarms = fresh.where((F.col("msg_type") == "ALARM") & (F.col("category") != "out_of_order_rejected"))
-    fresh = fresh.join(alarm_verdicts(alarms, None if carry is None else carry.alarms), "arrival_id", "left")
-    fresh = fresh.withColumn("category", F.when(~F.coalesce("alarm_ok", F.lit(True)), "alarm_out_of_order_rejected").otherwise(F.col("category")))
-    return fresh.unionByName(repeats, allowMissingColumns=True)
+    # three ways lead from here, so what has been found is written
+    fresh = saved(fresh.select(*ORDER, "first_hash", "is_first", "tag", "msg_type", "ts_us", "alarm_code", "phase", "mark_us", "category"))
+    is_alarm = (F.col("msg_type") == "ALARM") & (F.col("category") != "out_of_order_rejected")
+    verdicts = alarm_verdicts(fresh.where(is_alarm), None if carry is None else carry.alarms, ORDER, policy.stretch)
+    out = ["line", "is_first", "first_hash", "mark_us", "category"]
+    alarms = fresh.where(is_alarm).select(*out).join(verdicts, "line")
+    alarms = alarms.withColumn("category", F.when(~F.col("alarm_ok"), "alarm_out_of_order_rejected").otherwise(F.col("category")))
+    return fresh.where(~is_alarm).select(*out).unionByName(repeats, allowMissingColumns=True).unionByName(alarms, allowMissingColumns=True)
 
 
 # Texts logged with the categories.
@@ -144,19 +133,26 @@ def reason_of(policy: Policy) -> object:
     )
 
 
+def placed(messages: DataFrame) -> DataFrame:
+    """Messages with what orders those of one arrival_id: file and block, where there are any, and line, which is a row's own and rises along a file."""
+    kept = {name: F.col(name) if name in messages.columns else F.lit(none) for name, none in (("file", ""), ("block", 0))}
+    return messages.select("arrival_id", "raw_payload", kept["file"].cast("string").alias("file"), kept["block"].cast("long").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """Messages (arrival_id, raw_payload) with their fields or the reason of refusal, written once for the branches that follow."""
-    return saved(messages.select("arrival_id", "raw_payload").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "p.*"))
+    """Messages (arrival_id, raw_payload, maybe file and block) with their fields or the reason of refusal, written once for the branches that follow."""
+    return saved(placed(messages).withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "file", "block", "line", "p.*"))
 
 
 def classify(messages: DataFrame, policy: Policy = Policy(), carry: Carry | None = None, ready: bool = False) -> DataFrame:
-    """The ledger rows of messages (arrival_id, raw_payload; ``ready``: as parsed_messages gives them): one row for each, in exactly one category."""
+    """The ledger rows of messages (as for parsed_messages; ``ready``: as that gives them): one row for each, in exactly one category."""
     rows = messages if ready else parsed_messages(messages)
     bad = rows.where("reason is not null").withColumn("category", F.lit("bad_payload"))
     good = rows.where("reason is null").drop("reason")
     registered, strange = by_registry(good, "tag", policy.tags)
     strange = strange.withColumns({"category": F.lit("unknown_tag"), "reason": told("unknown_tag", tag=quoted("tag")), "content_hash": F.lit(None).cast("string")})
-    known = decided(registered, policy, carry).withColumn("reason", reason_of(policy))
+    # payloads meet what was decided by the row's own number, and are moved only here
+    known = registered.join(decided(registered, policy, carry), "line").withColumn("reason", reason_of(policy))
     every = known.unionByName(bad, allowMissingColumns=True).unionByName(strange, allowMissingColumns=True)
     fact = F.col("category").isin("accepted", "accepted_late")
     gap = (F.col("category") == "accepted") & (F.col("ts_us") - F.col("mark_us") > policy.gap_s * MICRO)

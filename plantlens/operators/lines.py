@@ -24,13 +24,13 @@ def followed(rows: DataFrame, keys: Sequence[str], at: str, out: str, ties: Sequ
     return rows.withColumn("_inside", inside).join(behind, [*keys, "_stretch"], "left").withColumn(out, F.coalesce("_inside", "_behind")).drop("_stretch", "_inside", "_behind")
 
 
-def running_max(rows: DataFrame, key: str, order: str, value: str, out: str, stretch: int) -> DataFrame:
-    """``out``: the largest ``value`` of the key's rows before this one in ``order``."""
+def running_max(rows: DataFrame, key: str, order: str, value: str, out: str, stretch: int, ties: Sequence[str] = ()) -> DataFrame:
+    """``out``: the largest ``value`` of the key's rows before this one in ``order`` and ``ties``."""
     rows = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
     tops = rows.groupBy(key, "_stretch").agg(F.max(value).alias("_top"))
     before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(key, "_stretch", F.max("_top").over(before).alias("_base"))
-    inside = Window.partitionBy(key, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_stretch").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(tops, [key, "_stretch"]).withColumn(out, F.greatest("_base", F.max(value).over(inside))).drop("_stretch", "_base")
 
 

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.functions.grammar import html_escape, microseconds, parsed
+from plantlens.functions.grammar import html_escape, microseconds
 from plantlens.operators import alarms, classify, coverage, metrics, segments
+from plantlens.operators.automaton import alarm_verdicts
 from plantlens.operators.facts import clock_gaps, facts, observations, totals
 from plantlens.operators.grid import MICRO, dense_grid
 from plantlens.operators.lines import numbered, running_max
@@ -251,6 +252,39 @@ def q_classify_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("arrival_id", "category")
 
 
+#: DuckDB: messages of which whole blocks were delivered twice or three times under the same arrival_id; every copy but the first of a seq is a duplicate.
+TWICE = """t AS (
+  SELECT z.arrival_id, seq, CASE WHEN copy > 0 AND category NOT IN ('bad_payload', 'unknown_tag', 'seq_conflict') THEN 'duplicate' ELSE category END AS category
+  FROM (SELECT *, unnest(range(CASE arrival_id // 1000 % 7 WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE 1 END)) AS copy FROM z) z
+)"""
+
+
+def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of messages of which whole blocks were delivered again, under the same arrival_ids."""
+    block = F.floor(F.col("arrival_id") / 1000) % 7
+    times = F.when(block == 3, 2).when(block == 5, 3).otherwise(1)
+    again = replayed(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    return classify.classify(again.select("arrival_id", "raw_payload", F.concat(F.lit("delivery "), F.col("copy").cast("string")).alias("file")), POLICY)
+
+
+@query(f"WITH RECURSIVE {M}, {A}, {TWICE} SELECT arrival_id, seq, category, count(*) AS n FROM t GROUP BY ALL")
+def q_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delivered line has one row, whatever came twice; n counts the lines of an arrival_id in a category."""
+    # a refused text shows the seq it claims, which the twin does not know
+    seq = F.when(F.col("category") != "bad_payload", F.col("seq")).alias("seq")
+    return redelivered(spark, sf_dir).select("arrival_id", seq, "category").groupBy("arrival_id", "seq", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {M}, {A} SELECT z.tag AS machine, sum(good_delta)::BIGINT AS good, sum(reject_delta)::BIGINT AS reject, count(*) AS n_messages
+  FROM z JOIN m USING (seq) WHERE category IN ('accepted', 'accepted_late') AND type = 'COUNT' GROUP BY z.tag"""
+)
+def q_redelivered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of accepted messages: the same whether or not blocks were delivered again."""
+    ticks = facts(redelivered(spark, sf_dir), "COUNT")
+    return ticks.groupBy("machine").agg(F.sum(F.col("good_delta").cast("long")).alias("good"), F.sum(F.col("reject_delta").cast("long")).alias("reject"), F.count("*").alias("n_messages"))
+
+
 @query(f"WITH RECURSIVE {M}, {A} SELECT category, count(*) AS n FROM z GROUP BY category")
 def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
@@ -258,9 +292,9 @@ def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, seq, rn = 1 AS is_first, h0 = h AS same FROM b")
 def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replayed(spark, sf_dir).select("arrival_id", parsed("raw_payload").alias("p")).select("arrival_id", "p.*")
+    rows = classify.parsed_messages(replayed(spark, sf_dir))
     known, _ = classify.by_registry(rows.where("reason is null"), "tag", POLICY.tags)
-    return classify.with_first(known.select("arrival_id", "seq", "content_hash")).select("arrival_id", "seq", "is_first", (F.col("content_hash") == F.col("first_hash")).alias("same"))
+    return classify.with_first(known.select(*classify.ORDER, "seq", "content_hash")).select("arrival_id", "seq", "is_first", (F.col("content_hash") == F.col("first_hash")).alias("same"))
 
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arrival_id, seq, tag AS machine, CASE category WHEN 'duplicate' THEN 'seq ' || seq || ' already ingested' ELSE 'seq ' || seq || ' already ingested with different content (content hash mismatch)' END AS reason FROM z WHERE category IN ('duplicate', 'seq_conflict')")
@@ -276,10 +310,10 @@ def q_watermark_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {M}, {A} SELECT arr AS arrival_id, cat AS category, CASE WHEN cat <> 'accepted' THEN (mark - us)::BIGINT END AS delay_us FROM d")
 def q_late_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replayed(spark, sf_dir).select("arrival_id", parsed("raw_payload").alias("p")).select("arrival_id", "p.*")
+    rows = classify.parsed_messages(replayed(spark, sf_dir))
     # as counts, so that the order of alarms plays no part
     rows = rows.where(F.col("reason").isNull() & F.col("tag").isin(*POLICY.tags)).drop("reason").withColumn("msg_type", F.lit("COUNT"))
-    late = classify.decided(rows, POLICY).where("is_first")
+    late = classify.decided(rows, POLICY).where("is_first").join(rows.select("line", "arrival_id", "ts_us"), "line")
     return late.select("arrival_id", "category", F.when(F.col("category") != "accepted", F.col("mark_us") - F.col("ts_us")).alias("delay_us"))
 
 
@@ -294,6 +328,28 @@ def q_alarm_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("arrival_id", (F.col("category") != "alarm_out_of_order_rejected").alias("alarm_ok"))
 
 
+#: Arrivals of one stretch of the single line; far fewer than in production, so that a small table has many.
+LINE_STRETCH = 2_000
+
+
+@query(
+    f"""WITH RECURSIVE {M}, e AS (
+  SELECT log_id, us, raises, row_number() OVER (ORDER BY log_id) AS i FROM (SELECT log_id, us, (seq * 7919 // 13) % 5 < 3 AS raises FROM m)
+), f AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS log_id, false AS ok, false AS up, -9223372036854775807::BIGINT AS at
+  UNION ALL
+  SELECT e.i, e.log_id, e.raises <> f.up AND e.us >= f.at, CASE WHEN e.us >= f.at THEN e.raises ELSE f.up END, CASE WHEN e.raises <> f.up AND e.us >= f.at THEN e.us ELSE f.at END
+  FROM f JOIN e ON e.i = f.i + 1
+) SELECT log_id, ok AS alarm_ok FROM f WHERE i > 0"""
+)
+def q_alarm_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as alarms of a single line: one key, which is followed in stretches side by side."""
+    e = events(spark, sf_dir)
+    raises = F.floor(F.col("seq") * 7919 / 13) % 5 < 3
+    rows = e.select(F.lit("LINE").alias("tag"), F.lit("ANY").alias("alarm_code"), F.when(raises, "RAISE").otherwise("CLEAR").alias("phase"), microseconds("ts").alias("ts_us"), F.col("log_id").alias("line"))
+    return alarm_verdicts(rows, None, ["line"], LINE_STRETCH).select(F.col("line").alias("log_id"), "alarm_ok")
+
+
 @query(f"WITH RECURSIVE {M}, {A}, w AS (SELECT z.tag, g.alarm_code, arg_max(g.phase, z.arrival_id) AS phase, arg_max(z.us, z.arrival_id) AS ts_us FROM z JOIN g ON g.arr = z.arrival_id WHERE z.category IN ('accepted', 'accepted_late') GROUP BY z.tag, g.alarm_code) SELECT * FROM w")
 def q_last_alarm_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.carry_of(ledger(spark, sf_dir)).alarms

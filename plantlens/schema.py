@@ -61,6 +61,9 @@ LEDGER = T.StructType(
         T.StructField("is_late", T.BooleanType()),
         T.StructField("gap_start", T.TimestampNTZType()),
         T.StructField("gap_seconds", T.DoubleType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("line", T.LongType()),
     ]
 )
 

@@ -11,7 +11,7 @@ from plantlens.streaming.ledger import Ledger
 
 
 def messages_of(lines: DataFrame) -> DataFrame:
-    """arrival_id and raw_payload of lines (arrival_id, a tab, the payload).
+    """arrival_id, raw_payload, file and block of lines (arrival_id, a tab, the payload); file and block order lines of one arrival_id.
 
     A line of another form is a message too, refused as a bad payload: its payload
     is the line behind a mark that no JSON text begins with, and a negative number,
@@ -21,7 +21,7 @@ def messages_of(lines: DataFrame) -> DataFrame:
     number = F.expr("try_cast(substring_index(value, '\t', 1) AS long)")
     proper = (tab > 0) & number.isNotNull()
     stand_in = -1 - F.xxhash64("value", "file_path").bitwiseAND(F.lit(2**63 - 1))
-    return lines.select(F.when(proper, number).otherwise(stand_in).alias("arrival_id"), F.when(proper, F.substr("value", tab + 1)).otherwise(F.concat(F.lit("?\t"), "value")).alias("raw_payload"))
+    return lines.select(F.when(proper, number).otherwise(stand_in).alias("arrival_id"), F.when(proper, F.substr("value", tab + 1)).otherwise(F.concat(F.lit("?\t"), "value")).alias("raw_payload"), F.col("file_path").alias("file"), F.col("file_block_start").alias("block"))
 
 
 def ingest(spark: SparkSession, source: str, ledger: str, checkpoint: str, policy: Policy = Policy(), files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
@@ -33,7 +33,7 @@ def ingest(spark: SparkSession, source: str, ledger: str, checkpoint: str, polic
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = messages_of(reader.text(source).select("value", "_metadata.file_path")).writeStream.option("checkpointLocation", checkpoint).foreachBatch(book.append)
+    stream = messages_of(reader.text(source).select("value", "_metadata.file_path", "_metadata.file_block_start")).writeStream.option("checkpointLocation", checkpoint).foreachBatch(book.append)
     return (stream.trigger(availableNow=True) if available_now else stream).start()
 
 

@@ -16,21 +16,16 @@ from plantlens.operators.lines import followed
 from plantlens.schema import Shifts
 
 
-def coverage(observed: DataFrame, grid: DataFrame, shifts: Shifts, gap_s: int) -> DataFrame:
-    """machine, k, start_ok, end_ok, gaps_ok, max_gap_us, gap_from_us, gap_to_us, n_observations for every row of the grid.
+def silences(observed: DataFrame) -> DataFrame:
+    """machine, at and next: every time a machine was heard of, and the time it was heard of next."""
+    return followed(observed.select("machine", microseconds("ts").alias("at")).distinct(), ["machine"], "at", "next")
 
-    A shift's edge is covered by an observation at most ``gap_s`` away; silences
-    count if they overlap the shift; observations on both edges are counted.
-    """
-    gap = gap_s * MICRO
-    seen = followed(observed.select("machine", microseconds("ts").alias("at")).distinct(), ["machine"], "at", "next")
-    low = shift_index(F.col("at") - gap - 1, shifts)
-    high = shift_index(F.greatest(F.col("at") + gap, F.coalesce("next", F.col("at"))), shifts)
-    near = seen.withColumn("k", F.explode(shifts_between(low, high, shifts)))
-    joined = grid.select("machine", "k", "s_start_us", "s_end_us").join(near, ["machine", "k"], "left")
+
+def edges_and_gaps(joined: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """What the observations (at, next; null where there are none) joined to windows (s_start_us, s_end_us) prove of each."""
     silence = F.when((F.col("next") > F.col("s_start_us")) & (F.col("at") < F.col("s_end_us")), F.col("next") - F.col("at"))
     longest = F.max_by(F.struct("at", "next"), F.struct(silence.alias("us"), (-F.col("at")).alias("first")))
-    found = joined.groupBy("machine", "k", "s_start_us").agg(
+    found = joined.groupBy(*keys, "s_start_us").agg(
         F.coalesce(F.min(F.abs(F.col("at") - F.col("s_start_us"))) <= gap, F.lit(False)).alias("start_ok"),
         F.coalesce(F.min(F.abs(F.col("at") - F.col("s_end_us"))) <= gap, F.lit(False)).alias("end_ok"),
         F.coalesce(F.max(silence), F.lit(0)).alias("max_gap_us"),
@@ -38,8 +33,8 @@ def coverage(observed: DataFrame, grid: DataFrame, shifts: Shifts, gap_s: int) -
         F.count_if(F.col("at").between(F.col("s_start_us"), F.col("s_end_us"))).alias("n_observations"),
     )
     return found.select(
-        "machine",
-        "k",
+        *keys,
+        "s_start_us",
         "start_ok",
         "end_ok",
         (F.col("max_gap_us") <= gap).alias("gaps_ok"),
@@ -50,6 +45,21 @@ def coverage(observed: DataFrame, grid: DataFrame, shifts: Shifts, gap_s: int) -
     )
 
 
+def coverage(observed: DataFrame, grid: DataFrame, shifts: Shifts, gap_s: int) -> DataFrame:
+    """machine, k, start_ok, end_ok, gaps_ok, max_gap_us, gap_from_us, gap_to_us, n_observations for every row of the grid.
+
+    A shift's edge is covered by an observation at most ``gap_s`` away; silences
+    count if they overlap the shift; observations on both edges are counted.
+    """
+    gap = gap_s * MICRO
+    seen = silences(observed)
+    low = shift_index(F.col("at") - gap - 1, shifts)
+    high = shift_index(F.greatest(F.col("at") + gap, F.coalesce("next", F.col("at"))), shifts)
+    near = seen.withColumn("k", F.explode(shifts_between(low, high, shifts)))
+    joined = grid.select("machine", "k", "s_start_us", "s_end_us").join(near, ["machine", "k"], "left")
+    return edges_and_gaps(joined, ["machine", "k"], gap).drop("s_start_us")
+
+
 def state_evidence(states: DataFrame, grid: DataFrame) -> DataFrame:
     """machine, k and whether a state is known at the shift's start: some state at or before it."""
     first = states.groupBy("machine").agg(microseconds(F.min("ts")).alias("first_us"))

@@ -28,10 +28,15 @@ def clipped(spans: DataFrame, shifts: Shifts) -> DataFrame:
     return cut.select("machine", "k", "state", "reason_code", us.alias("us"))
 
 
+def by_state(parts: DataFrame, *keys: str) -> DataFrame:
+    """The keys with run_us, down_us and idle_us."""
+    part = lambda state: F.sum(F.when(F.col("state") == state, F.col("us")).otherwise(0))
+    return parts.groupBy(*keys).agg(part("RUN").alias("run_us"), part("DOWN").alias("down_us"), part("IDLE").alias("idle_us"))
+
+
 def state_seconds(spans: DataFrame, shifts: Shifts) -> DataFrame:
     """machine, k, run_us, down_us, idle_us in one pass over the segments."""
-    part = lambda state: F.sum(F.when(F.col("state") == state, F.col("us")).otherwise(0))
-    return clipped(spans, shifts).groupBy("machine", "k").agg(part("RUN").alias("run_us"), part("DOWN").alias("down_us"), part("IDLE").alias("idle_us"))
+    return by_state(clipped(spans, shifts), "machine", "k")
 
 
 def downtime_pareto(spans: DataFrame, shifts: Shifts) -> DataFrame:

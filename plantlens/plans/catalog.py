@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import html_escape, microseconds
 from plantlens.operators import alarms, classify, coverage, metrics, segments
+from plantlens.operators import calendar as calendars
 from plantlens.operators.automaton import alarm_verdicts
 from plantlens.operators.facts import clock_gaps, facts, observations, totals
 from plantlens.operators.grid import MICRO, dense_grid
 from plantlens.operators.lines import numbered, running_max
-from plantlens.plans.plant import BROKEN, CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, events, replayed
+from plantlens.plans.plant import BROKEN, CALENDAR, CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, calendar, cycles, events, replayed
 from plantlens.schema import Shifts
 from plantlens.sources import generator, schedule, truth
 from plantlens.sources.scratch import saved
@@ -243,6 +244,81 @@ def q_alarm_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.rollup("machine", "alarm_code").agg(F.count("*").alias("count"), (F.coalesce(F.sum(F.col("next_us") - F.col("raised_us")), F.lit(0)) / MICRO).alias("seconds"), F.count_if(F.col("next_us").isNull()).alias("open_count"))
 
 
+#: DuckDB: segments, cut to the windows of the calendar, and what was observed of each window.
+CUTS = """seg AS (
+  SELECT machine, state, reason_code, us, lead(us) OVER (PARTITION BY machine ORDER BY us, log_id) AS next FROM m WHERE type = 'STATE'
+), cut AS (
+  SELECT c.machine, shift, state, reason_code, least(coalesce(next, e), e) - greatest(us, s) AS us
+  FROM seg JOIN cal c ON c.machine = seg.machine AND us < e AND coalesce(next, e) > s WHERE least(coalesce(next, e), e) > greatest(us, s)
+)"""
+WINDOWS_COVERED = f"""obs AS (
+  SELECT machine, us, lead(us) OVER (PARTITION BY machine ORDER BY us) AS next FROM (SELECT DISTINCT machine, us FROM m)
+), win AS (
+  SELECT c.*, o.us, o.next, max(CASE WHEN o.next > s AND o.us < e THEN o.next - o.us END) OVER (PARTITION BY c.machine, shift, part) AS top FROM cal c LEFT JOIN obs o ON o.machine = c.machine
+), cov AS (
+  SELECT machine, shift, part, s, e, coalesce(min(abs(us - s)) <= {GAP_S * MICRO}, false) AS start_ok, coalesce(min(abs(us - e)) <= {GAP_S * MICRO}, false) AS end_ok,
+         coalesce(max(top), 0) AS max_gap_us, coalesce(min(CASE WHEN next > s AND us < e AND next - us = top THEN us END), s) AS gap_from_us,
+         coalesce(min(CASE WHEN next > s AND us < e AND next - us = top THEN next END), s) AS gap_to_us, count(*) FILTER (us BETWEEN s AND e) AS n_observations
+  FROM win GROUP BY machine, shift, part, s, e
+)"""
+
+
+@query(f"WITH {M}, {CALENDAR}, {CUTS} SELECT machine, shift, {STATE_US.format('RUN')} / 1e6 AS run_seconds, {STATE_US.format('DOWN')} / 1e6 AS down_seconds, {STATE_US.format('IDLE')} / 1e6 AS idle_seconds FROM cut GROUP BY machine, shift")
+def q_state_seconds_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    found = calendars.state_seconds(segments.segments(of(m, "STATE")), calendar(m))
+    return found.select("machine", "shift", *((F.col(f"{s}_us") / MICRO).alias(f"{s}_seconds") for s in ("run", "down", "idle")))
+
+
+@query(f"WITH {M}, {CALENDAR}, {CUTS} SELECT machine, shift, reason_code, sum(us)::BIGINT / 1e6 AS seconds FROM cut WHERE state = 'DOWN' GROUP BY machine, shift, reason_code")
+def q_downtime_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return with_seconds(calendars.downtime(segments.segments(of(m, "STATE")), calendar(m)))
+
+
+@query(f"WITH {M}, {CALENDAR} SELECT c.machine, shift, sum(good_delta)::BIGINT AS good, sum(reject_delta)::BIGINT AS reject FROM m JOIN cal c ON c.machine = m.machine AND us >= s AND us < e WHERE type = 'COUNT' GROUP BY c.machine, shift")
+def q_counts_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return calendars.counts(of(m, "COUNT"), calendar(m))
+
+
+@query(f"WITH {M}, {CALENDAR}, {WINDOWS_COVERED} SELECT machine, shift, part, s AS s_us, e AS e_us, start_ok, end_ok, max_gap_us <= {GAP_S * MICRO} AS gaps_ok, max_gap_us, gap_from_us, gap_to_us, n_observations FROM cov")
+def q_coverage_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return calendars.coverage(m, calendar(m), GAP_S)
+
+
+@query(f"WITH {M}, {CALENDAR}, {PAIRS} SELECT p.machine, shift, alarm_code, {SUMS} FROM pairs p JOIN cal c ON c.machine = p.machine AND us >= s AND us < e GROUP BY p.machine, shift, alarm_code")
+def q_alarms_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    return with_seconds(calendars.alarms_by_shift(of(m, "ALARM"), calendar(m)))
+
+
+@query(
+    f"""WITH {M}, {CALENDAR}, {CUTS}, {WINDOWS_COVERED}, sec AS (
+  SELECT machine, shift, {STATE_US.format('RUN')} AS run, {STATE_US.format('DOWN')} AS down, {STATE_US.format('IDLE')} AS idle FROM cut GROUP BY machine, shift
+), cnt AS (
+  SELECT c.machine, shift, sum(good_delta)::BIGINT AS good, sum(reject_delta)::BIGINT AS reject FROM m JOIN cal c ON c.machine = m.machine AND us >= s AND us < e WHERE type = 'COUNT' GROUP BY c.machine, shift
+), sh AS (
+  SELECT machine, shift, min(s) AS s, sum(e - s)::BIGINT AS planned, bool_and(start_ok AND end_ok AND max_gap_us <= {GAP_S * MICRO}) AS covered FROM cov GROUP BY machine, shift
+), r AS (
+  SELECT sh.machine, sh.shift, planned / 1e6 AS planned_seconds, coalesce(run, 0) AS run, coalesce(down, 0) AS down, coalesce(idle, 0) AS idle, coalesce(good, 0) AS good, coalesce(reject, 0) AS reject, cycle,
+         covered AND coalesce((SELECT min(us) FROM m WHERE m.machine = sh.machine AND type = 'STATE') <= sh.s, false) AND abs(coalesce(run, 0) + coalesce(down, 0) + coalesce(idle, 0) - planned) < 1000000 AS complete
+  FROM sh LEFT JOIN sec USING (machine, shift) LEFT JOIN cnt USING (machine, shift) JOIN cyc USING (machine)
+), x AS (
+  SELECT machine, shift, planned_seconds, complete, run / 1e6 AS run_seconds, down / 1e6 AS down_seconds, idle / 1e6 AS idle_seconds, good, reject,
+         CASE WHEN complete THEN run / 1e6 / planned_seconds END AS availability,
+         CASE WHEN complete THEN CASE WHEN run > 0 THEN (good + reject) * cycle / (run / 1e6) ELSE 0 END END AS performance,
+         CASE WHEN complete THEN CASE WHEN good + reject > 0 THEN good::DOUBLE / (good + reject) ELSE 0 END END AS quality
+  FROM r
+) SELECT *, availability * performance * quality AS oee FROM x"""
+)
+def q_oee_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = events(spark, sf_dir)
+    rows = calendars.effectiveness(of(m, "STATE"), segments.segments(of(m, "STATE")), of(m, "COUNT"), m, cycles(m), calendar(m), GAP_S)
+    return rows.select("machine", "shift", "planned_seconds", "complete", "run_seconds", "down_seconds", "idle_seconds", "good", "reject", "availability", "performance", "quality", "oee")
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(replayed(spark, sf_dir), POLICY)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds
 from plantlens.operators.classify import iso
+from plantlens.operators.grid import base_us
 from plantlens.schema import Policy, Shifts
 
 SHIFTS = Shifts(base=datetime(2024, 1, 1), hours=8, count=90)
@@ -68,6 +69,45 @@ GRID = """shifts AS (
 )"""
 
 
+HOUR, MINUTE = 3_600_000_000, 60_000_000
+
+
+def calendar(m: DataFrame) -> DataFrame:
+    """Windows for each day on which a machine was heard of: an early shift with a break, a late one that overlaps it on some days, and one over midnight, of lengths that differ by machine and day."""
+    days = m.select("machine", F.floor((microseconds("ts") - base_us(SHIFTS)) / (24 * HOUR)).alias("d")).distinct()
+    number, o = F.substring("machine", 2, 9).cast("long"), base_us(SHIFTS) + F.col("d") * 24 * HOUR
+    early = o + 5 * HOUR + number * 17 * MINUTE
+    window = lambda shift, part, s, e: F.struct(F.lit(shift).alias("name"), F.lit(part).alias("part"), s.alias("s_us"), e.alias("e_us"))
+    windows = F.array(
+        window("EARLY", 0, early, early + 225 * MINUTE),
+        window("EARLY", 1, early + 255 * MINUTE, o + 13 * HOUR + F.col("d") % 4 * 20 * MINUTE),
+        window("LATE", 0, o + 13 * HOUR, o + 1350 * MINUTE + number * 10 * MINUTE),
+        window("NIGHT", 0, o + 23 * HOUR, o + 28 * HOUR + F.col("d") % 3 * 30 * MINUTE),
+    )
+    rows = days.select("machine", "d", F.explode(windows).alias("w")).where((F.col("w.name") != "LATE") | (F.col("d") % 7 != 6))
+    return rows.select("machine", F.concat(F.lit("D"), F.col("d").cast("string"), F.lit(" "), F.col("w.name")).alias("shift"), "w.part", "w.s_us", "w.e_us")
+
+
+def cycles(m: DataFrame) -> DataFrame:
+    """Machines with ideal cycles of their own."""
+    return m.select("machine").distinct().withColumn("ideal_cycle_s", 260.0 + 35.5 * F.substring("machine", 2, 9).cast("long"))
+
+
+#: DuckDB: the calendar and the cycles.
+CALENDAR = """days AS (
+  SELECT DISTINCT machine, (us - epoch_us(TIMESTAMP '2024-01-01')) // 86400000000 AS d, substr(machine, 2)::BIGINT AS i FROM m
+), o AS (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + d * 86400000000 AS o FROM days),
+cal AS (
+  SELECT machine, 'D' || d || ' ' || w.name AS shift, w.part::INTEGER AS part, w.s AS s, w.e AS e FROM (
+    SELECT machine, d, unnest([
+      {'name': 'EARLY', 'part': 0, 's': o + 18000000000 + i * 1020000000, 'e': o + 18000000000 + i * 1020000000 + 13500000000},
+      {'name': 'EARLY', 'part': 1, 's': o + 18000000000 + i * 1020000000 + 15300000000, 'e': o + 46800000000 + d % 4 * 1200000000},
+      {'name': 'LATE', 'part': 0, 's': o + 46800000000, 'e': o + 81000000000 + i * 600000000},
+      {'name': 'NIGHT', 'part': 0, 's': o + 82800000000, 'e': o + 100800000000 + d % 3 * 1800000000}]) AS w FROM o)
+  WHERE w.name <> 'LATE' OR d % 7 <> 6
+), cyc AS (SELECT machine, 260.0::DOUBLE + 35.5 * i AS cycle FROM (SELECT DISTINCT machine, i FROM days))"""
+
+
 #: Payloads that the grammar refuses, one for each rule, and why; <seq>, <at> and <tag> stand for an event's own.
 BROKEN = [
     ("", "invalid JSON"),

@@ -21,7 +21,8 @@ from plantlens.operators.lines import numbered, running_max
 from plantlens.plans.plant import BROKEN, CALENDAR, CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, calendar, cycles, events, replayed
 from plantlens.schema import Shifts
 from plantlens.sources import generator, schedule, truth
-from plantlens.sources.scratch import saved
+from plantlens.sources.scratch import saved, shared_dir
+from plantlens.streaming.cells import Cells
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,17 +137,36 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.effectiveness(of(m, "STATE"), of(m, "COUNT"), m, machines(m), SHIFTS, GAP_S)
 
 
-@query(
-    f"""WITH {FULL}, r AS (
+OEE = f"""WITH {FULL}, r AS (
   SELECT machine, k, complete, run / 1e6 AS run_seconds, down / 1e6 AS down_seconds, idle / 1e6 AS idle_seconds, good, reject,
          CASE WHEN complete THEN run / 1e6 / 28800.0::DOUBLE END AS availability,
          CASE WHEN complete THEN CASE WHEN run > 0 THEN (good + reject) * {CYCLE_S}::DOUBLE / (run / 1e6) ELSE 0 END END AS performance,
          CASE WHEN complete THEN CASE WHEN good + reject > 0 THEN good::DOUBLE / (good + reject) ELSE 0 END END AS quality
   FROM full_
 ) SELECT *, availability * performance * quality AS oee FROM r"""
-)
+OEE_COLUMNS = ["machine", "k", "complete", "run_seconds", "down_seconds", "idle_seconds", "good", "reject", "availability", "performance", "quality", "oee"]
+
+
+@query(OEE)
 def q_oee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid(spark, sf_dir).select("machine", "k", "complete", "run_seconds", "down_seconds", "idle_seconds", "good", "reject", "availability", "performance", "quality", "oee")
+    return grid(spark, sf_dir).select(*OEE_COLUMNS)
+
+
+#: Batches that the events are cut into, and the events that come a batch or two late.
+BATCHES, LATE = 3, 13
+
+
+@query(OEE)
+def q_oee_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grid, kept up to date cell by cell while the events come in batches, some of them late."""
+    m = saved(events(spark, sf_dir))
+    first, last = m.agg(F.min("log_id"), F.max("log_id")).first()
+    due = F.floor((F.col("log_id") - first) * BATCHES / (last - first + 1))
+    batch = F.least(F.lit(BATCHES - 1), due + F.when(F.col("seq") % LATE == 0, 1 + F.col("seq") % 2).otherwise(0))
+    cells = Cells(spark, shared_dir(spark), SHIFTS, GAP_S)
+    for n in range(BATCHES):
+        cells.update(m.where(batch == n), n)
+    return cells.grid(machines(m)).select(*OEE_COLUMNS)
 
 
 @query(f"WITH {FULL} SELECT machine, bool_and(complete) AS all_complete, count(*) FILTER (NOT complete) AS n_incomplete, count(*) AS n FROM full_ GROUP BY machine")

@@ -33,3 +33,10 @@ def observations(ledger: DataFrame) -> DataFrame:
 def totals(ledger: DataFrame) -> DataFrame:
     """Messages by category; they sum to the messages received."""
     return ledger.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def difference(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """Rows, repeats counted, of which either side has more: the row, only_in (a side's name) and n, by how many. No rows if both are equal as multisets."""
+    columns = left.columns
+    more = lambda a, b, name: a.exceptAll(b).groupBy(*columns).agg(F.count("*").alias("n")).select(*columns, F.lit(name).alias("only_in"), "n")
+    return more(left, right.select(*columns), left_name).union(more(right.select(*columns), left, right_name))

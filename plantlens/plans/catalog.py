@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import html_escape, microseconds
 from plantlens.operators import alarms, classify, coverage, metrics, segments
 from plantlens.operators import calendar as calendars
 from plantlens.operators.automaton import alarm_verdicts
-from plantlens.operators.facts import clock_gaps, facts, observations, totals
+from plantlens.operators.facts import clock_gaps, difference, facts, observations, totals
 from plantlens.operators.grid import MICRO, dense_grid
 from plantlens.operators.lines import numbered, running_max
 from plantlens.plans.plant import BROKEN, CALENDAR, CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, calendar, cycles, events, replayed
@@ -27,20 +27,26 @@ from plantlens.streaming.cells import Cells
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The fixed day's; they read no table, so they are run by tests only.
+DAY_QUERIES: dict[str, Query] = {}
+DAY_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
+def query(sql: str, queries: dict[str, Query] = QUERIES, twins: dict[str, str] = ORACLE_SQL) -> Callable[[Query], Query]:
     """Register a query with its twin."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        queries[f.__name__] = f
+        twins[f.__name__] = sql
         return f
 
     return register
 
 
+def of_day(sql: str) -> Callable[[Query], Query]:
+    return query(sql, DAY_QUERIES, DAY_SQL)
+
+
 def of(m: DataFrame, kind: str) -> DataFrame:
     return m.where(F.col("type") == kind)
 
@@ -485,19 +491,57 @@ def q_html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", html_escape(F.concat("event_type", F.lit("<"), "props", F.lit(">&'"))).alias("escaped"))
 
 
+PLANTED = "p AS (SELECT machine, alarm_code, phase FROM m WHERE type = 'ALARM')"
+
+
+@query(
+    f"""WITH RECURSIVE {M}, {A}, {PLANTED}, t AS (
+  SELECT tag AS machine, g.alarm_code, g.phase FROM (SELECT arrival_id FROM z WHERE category IN ('accepted', 'accepted_late')) z JOIN g ON g.arr = z.arrival_id
+) SELECT machine, alarm_code, phase, 'planted' AS only_in, count(*) AS n FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM t) GROUP BY ALL
+UNION ALL SELECT machine, alarm_code, phase, 'accepted', count(*) FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM p) GROUP BY ALL"""
+)
+def q_alarm_key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of alarms that were planted but not accepted so often, or accepted more often than planted."""
+    keys = ["machine", "alarm_code", "phase"]
+    return difference(of(events(spark, sf_dir), "ALARM").select(*keys), facts(ledger(spark, sf_dir), "ALARM").select(*keys), "planted", "accepted")
+
+
+@query(f"WITH {M} SELECT machine, ts, row_number() OVER (PARTITION BY machine ORDER BY ts) AS place FROM (SELECT DISTINCT machine, ts FROM m)")
+def q_observed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A machine's observed times in their order."""
+    seen = events(spark, sf_dir).select("machine", "ts").distinct().withColumn("us", microseconds("ts"))
+    return numbered(seen, ["machine"], "us", "nth").select("machine", "ts", (F.col("nth") + 1).alias("place"))
+
+
+@query(f"WITH {M}, {GRID}, {SEG} SELECT machine, k, reason_code, us AS down_us, row_number() OVER (PARTITION BY machine, k ORDER BY us DESC, reason_code) AS place FROM (SELECT machine, k, reason_code, sum(us)::BIGINT AS us FROM cut WHERE state = 'DOWN' GROUP BY machine, k, reason_code)")
+def q_pareto_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of a shift's downtime in order of their time, longest first; a shift has as many rows as reasons."""
+    found = segments.downtime_pareto(segments.segments(of(events(spark, sf_dir), "STATE")), SHIFTS)
+    place = F.row_number().over(Window.partitionBy("machine", "k").orderBy(F.desc("us"), "reason_code"))
+    return found.select("machine", "k", "reason_code", F.col("us").alias("down_us"), place.cast("long").alias("place"))
+
+
+@query(f"WITH RECURSIVE {M}, {A}, {PAIRS} SELECT 'alarm' AS list, machine || ' ' || alarm_code AS name, row_number() OVER (ORDER BY machine, alarm_code) AS place FROM (SELECT DISTINCT machine, alarm_code FROM pairs) UNION ALL SELECT 'category', category, row_number() OVER (ORDER BY category) FROM (SELECT DISTINCT category FROM z)")
+def q_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lists of alarms and of categories in their order; both are as short as the report."""
+    summary = alarms.alarm_summary(of(events(spark, sf_dir), "ALARM")).select(F.lit("alarm").alias("list"), F.concat_ws(" ", "machine", "alarm_code").alias("name"), F.struct("machine", "alarm_code").alias("key"))
+    named = totals(ledger(spark, sf_dir)).select(F.lit("category").alias("list"), F.col("category").alias("name"), F.struct(F.col("category").alias("machine"), F.lit("").alias("alarm_code")).alias("key"))
+    return summary.union(named).select("list", "name", F.row_number().over(Window.partitionBy("list").orderBy("key")).cast("long").alias("place"))
+
+
 def values(rows: list[tuple]) -> str:
     shown = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
     return "(VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + ")"
 
 
-def of_day(at) -> int:
+def second(at) -> int:
     """Seconds since the day's midnight."""
     return int((at - schedule.DAY).total_seconds())
 
 
 #: DuckDB: the fixed day's states, alarms, machines, shifts, ticks and what they come to.
-DAY = f"""st(machine, state, a, b, reason_code) AS {values([(m, s, of_day(a), of_day(b), r) for m, s, a, b, r in schedule.state_rows()])},
-al(machine, alarm_code, a, b) AS {values([(m, c, of_day(a), of_day(b)) for m, c, a, b in schedule.alarm_rows()])},
+DAY = f"""st(machine, state, a, b, reason_code) AS {values([(m, s, second(a), second(b), r) for m, s, a, b, r in schedule.state_rows()])},
+al(machine, alarm_code, a, b) AS {values([(m, c, second(a), second(b)) for m, c, a, b in schedule.alarm_rows()])},
 mc(machine, cycle, n) AS {values([(m, int(c), n) for m, c, n in schedule.MACHINES])},
 sh AS (SELECT k::INTEGER AS k, k * 28800 AS s, (k + 1) * 28800 AS e FROM range(3) r(k)),
 part AS (SELECT machine, k, state, reason_code, least(b, e) - greatest(a, s) AS sec, a >= s AS begins FROM st JOIN sh ON a < e AND b > s),
@@ -519,7 +563,7 @@ def day_ledger(spark: SparkSession) -> DataFrame:
     return saved(classify.classify(generator.demonstration_day(spark)))
 
 
-@query(f"WITH {DAY} SELECT *, availability * performance * quality AS oee, true AS complete FROM day")
+@of_day(f"WITH {DAY} SELECT *, availability * performance * quality AS oee, true AS complete FROM day")
 def q_demonstration_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed day from generator to effectiveness."""
     book = day_ledger(spark)
@@ -527,7 +571,7 @@ def q_demonstration_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("machine", "k", "run_seconds", "down_seconds", "idle_seconds", "good", "reject", "availability", "performance", "quality", "oee", "complete")
 
 
-@query(f"WITH {DAY} SELECT *, availability * performance * quality AS oee, down_seconds + idle_seconds AS downtime_seconds FROM day")
+@of_day(f"WITH {DAY} SELECT *, availability * performance * quality AS oee, down_seconds + idle_seconds AS downtime_seconds FROM day")
 def q_demonstration_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fixed day comes to by its schedule alone."""
     return truth.expected(spark)
@@ -536,7 +580,7 @@ def q_demonstration_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOWN = f"WITH {DAY} SELECT machine, k, reason_code, sum(sec)::DOUBLE AS seconds, count(*) FILTER (begins) AS events FROM part WHERE state = 'DOWN' GROUP BY machine, k, reason_code"
 
 
-@query(DOWN)
+@of_day(DOWN)
 def q_demonstration_downtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downtime by reason of the fixed day, from its messages."""
     states = facts(day_ledger(spark), "STATE")
@@ -545,30 +589,30 @@ def q_demonstration_downtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seconds.join(events_, ["machine", "k", "reason_code"], "left").select("machine", "k", "reason_code", (F.col("us") / MICRO).alias("seconds"), F.coalesce("n", F.lit(0)).alias("events"))
 
 
-@query(DOWN)
+@of_day(DOWN)
 def q_demonstration_downtime_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.expected_downtime(spark)
 
 
-@query(f"WITH {DAY} SELECT machine, (a // 28800)::INTEGER AS k, alarm_code, count(*) AS count, sum(b - a)::DOUBLE AS seconds, 0::BIGINT AS open_count FROM al GROUP BY ALL")
+@of_day(f"WITH {DAY} SELECT machine, (a // 28800)::INTEGER AS k, alarm_code, count(*) AS count, sum(b - a)::DOUBLE AS seconds, 0::BIGINT AS open_count FROM al GROUP BY ALL")
 def q_demonstration_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms of the fixed day by shift, from its messages."""
     return with_seconds(alarms.alarms_by_shift(facts(day_ledger(spark), "ALARM"), Shifts()))
 
 
-@query(f"WITH {DAY} SELECT machine, alarm_code, (a // 28800)::INTEGER AS k, count(*) AS count, sum(b - a)::DOUBLE AS seconds FROM al GROUP BY GROUPING SETS ((machine, alarm_code, (a // 28800)::INTEGER), (machine, alarm_code))")
+@of_day(f"WITH {DAY} SELECT machine, alarm_code, (a // 28800)::INTEGER AS k, count(*) AS count, sum(b - a)::DOUBLE AS seconds FROM al GROUP BY GROUPING SETS ((machine, alarm_code, (a // 28800)::INTEGER), (machine, alarm_code))")
 def q_demonstration_alarm_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.expected_alarms(spark)
 
 
-@query(f"WITH {DAY} SELECT DISTINCT machine, alarm_code, true AS reported, true AS planned FROM al")
+@of_day(f"WITH {DAY} SELECT DISTINCT machine, alarm_code, true AS reported, true AS planned FROM al")
 def q_demonstration_alarm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of alarms in the report and in the schedule; both sides hold the same."""
     reported = alarms.alarm_summary(facts(day_ledger(spark), "ALARM")).select("machine", "alarm_code", F.lit(True).alias("reported"))
     return truth.same_keys(reported, schedule.alarms_df(spark))
 
 
-@query(
+@of_day(
     f"""WITH {DAY}, n(type, n) AS (
   SELECT 'STATE', count(*) FROM st UNION ALL SELECT 'ALARM', 2 * count(*) FROM al UNION ALL SELECT 'COUNT', count(*) FROM tick UNION ALL SELECT 'HEARTBEAT', 288 * count(*) FROM mc
 ) SELECT type, n::BIGINT AS n FROM n UNION ALL SELECT NULL, sum(n)::BIGINT FROM n"""
@@ -577,7 +621,7 @@ def q_demonstration_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth.expected_messages(spark)
 
 
-@query("SELECT 'accepted' AS category, (SELECT n FROM (WITH " + DAY + " SELECT (SELECT count(*) FROM st) + 2 * (SELECT count(*) FROM al) + (SELECT count(*) FROM tick) + 288 * (SELECT count(*) FROM mc) AS n))::BIGINT AS n")
+@of_day("SELECT 'accepted' AS category, (SELECT n FROM (WITH " + DAY + " SELECT (SELECT count(*) FROM st) + 2 * (SELECT count(*) FROM al) + (SELECT count(*) FROM tick) + 288 * (SELECT count(*) FROM mc) AS n))::BIGINT AS n")
 def q_demonstration_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages of the fixed day are accepted."""
     return totals(day_ledger(spark))

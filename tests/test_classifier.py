@@ -140,32 +140,58 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(categories(Ledger(spark, args[1]).read())) == sorted(model(raws))
 
 
-def test_an_index_of_many_batches_gives_the_same_ledger(spark, tmp_path, monkeypatch):
+def test_many_batches_give_the_same_ledger_at_a_constant_price(spark, tmp_path, monkeypatch):
     from plantlens.streaming import ledger
 
-    monkeypatch.setattr(ledger, "RUNS", 3)
-    raws = stream(11, 80)
-    book = Ledger(spark, str(tmp_path / "ledger"))
-    for k in range(8):
-        book.append(frame(spark, raws[10 * k : 10 * k + 10], 10 * k), k)
+    monkeypatch.setattr(ledger, "RUN", 16)
+    asked = []
+    for name in ("exists", "children"):
+        monkeypatch.setattr(ledger, name, lambda *a, real=getattr(ledger, name): asked.append(a) or real(*a))
+    raws = stream(11, 100)
+    book, calls, totals = Ledger(spark, str(tmp_path / "ledger")), [], {}
+    for k in range(10):
+        asked.clear()
+        for category, n in book.append(frame(spark, raws[10 * k : 10 * k + 10], 10 * k), k).items():
+            totals[category] = totals.get(category, 0) + n
+        calls.append(len(asked))
     assert categories(book.read()) == model(raws)
-    assert book.runs(7) == [(0, 2), (3, 5), (6, 6)]
+    assert totals == book.totals() == {c: model(raws).count(c) for c in set(model(raws))}
+    # two states, one list, and at most a folder for each run of seqs
+    assert max(calls) <= 3 + 100 // 16 + 1 and calls[-1] <= max(calls[1:4])
+    assert sorted(p.name for p in (tmp_path / "ledger" / "_state").iterdir()) == ["0", "1"]
     with pytest.raises(ValueError):
         book.append(frame(spark, raws[:10]), 3)
 
 
-def test_a_crash_leaves_nothing_that_counts(spark, tmp_path):
+def test_a_batch_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    from plantlens.sources import scratch
+
+    made = []
+    real = scratch.shared_dir
+    monkeypatch.setattr(scratch, "shared_dir", lambda s: made.append(real(s)) or made[-1])
+    Ledger(spark, str(tmp_path / "ledger")).append(frame(spark, stream(3, 50)), 0)
+    assert made and all(spark.read.schema("x long").parquet(p).count() == 0 for p in made)
+
+
+@pytest.mark.parametrize("step", ["write", "commit"])
+def test_a_crash_leaves_nothing_that_counts(spark, tmp_path, monkeypatch, step):
     raws = stream(13, 60)
     book = Ledger(spark, str(tmp_path / "ledger"))
     book.append(frame(spark, raws[:30]), 0)
-    book.append(frame(spark, raws[30:], 30), 1)
-    whole = categories(book.read())
-    # as a writer leaves it that dies before its commit
-    (tmp_path / "ledger" / "batch_id=1" / "_SUCCESS").unlink()
+    before = book.totals()
+    with monkeypatch.context() as m:
+        # as a driver leaves it that dies before the step, or in the middle of the last one
+        real = Ledger.totals_at
+        m.setattr(Ledger, step if step == "write" else "totals_at", lambda *a: (_ for _ in ()).throw(SystemExit) if step == "write" or a[1] == 0 else real(*a))
+        with pytest.raises(SystemExit):
+            book.append(frame(spark, raws[30:], 30), 1)
     again = Ledger(spark, str(tmp_path / "ledger"))
-    assert again.batches() == [0] and categories(again.read()) == whole[:30]
+    assert again.batches() == [0] and categories(again.read()) == model(raws[:30]) and again.totals() == before
+    if step == "commit":
+        with pytest.raises(ValueError, match="given again"):
+            again.append(frame(spark, raws[30:], 30), 2)
     again.append(frame(spark, raws[30:], 30), 1)
-    assert categories(again.read()) == whole == model(raws)
+    assert categories(again.read()) == model(raws) and sum(again.totals().values()) == 60
 
 
 def test_a_write_that_fails_is_made_up_for(spark, tmp_path, monkeypatch):

@@ -1,4 +1,4 @@
-"""Grammar of a message: one vectorised function from payload text to typed fields or the reason of refusal.
+"""Grammar of a message: from payload text to typed fields or the reason of refusal (:mod:`columns` has it by columns).
 
 The standard library's JSON and ISO parsers decide what is well-formed, as
 Spark's own differ on duplicate keys, trailing text and basic ISO forms. Rules
@@ -40,6 +40,7 @@ def delta(name: str):
     return (lambda m: whole(m.get(name)) and 0 <= m[name] <= MAX_DELTA), f"COUNT.{name} must be an integer in [0, {MAX_DELTA}]"
 
 
+# The reasons of refusal, here and in ENVELOPE and refusal.
 #: Per type, tests in the order in which they refuse, each with its reason.
 RULES = {
     "STATE": [
@@ -103,15 +104,6 @@ def parse(raw: str | None) -> tuple:
     return (None, *shown, utc_microseconds(m["ts"]), content_hash(m), *(m.get(n) if n in own else None for n in FIELDS[7:]))
 
 
-@F.pandas_udf(PARSED)
-def parsed(raw: pd.Series) -> pd.DataFrame:
-    rows = [parse(r) for r in raw]
-    frame = pd.DataFrame(rows, columns=FIELDS, dtype=object)
-    for name in ("seq", "ts_us", "good_delta", "reject_delta"):
-        frame[name] = frame[name].astype("Int64")
-    return frame
-
-
 @F.pandas_udf(StringType())
 def quoted(values: pd.Series) -> pd.Series:
     """A value as it is shown in reasons, in quotes."""

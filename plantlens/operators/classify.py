@@ -25,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.functions.grammar import microseconds, ntz, parsed, quoted
+from plantlens.functions.columns import parsed
+from plantlens.functions.grammar import microseconds, ntz, quoted
 from plantlens.operators.automaton import alarm_verdicts
 from plantlens.operators.lines import running_max
 from plantlens.operators.skew import joined

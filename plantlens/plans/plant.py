@@ -108,6 +108,7 @@ cal AS (
 ), cyc AS (SELECT machine, 260.0::DOUBLE + 35.5 * i AS cycle FROM (SELECT DISTINCT machine, i FROM days))"""
 
 
+# The reasons.
 #: Payloads that the grammar refuses, one for each rule, and why; <seq>, <at> and <tag> stand for an event's own.
 BROKEN = [
     ("", "invalid JSON"),

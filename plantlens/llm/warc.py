@@ -42,9 +42,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from plantlens.llm.common import saved, shared_dir
+from plantlens.operators.skew import joined
 
 MEMBER, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+LINE_END = END[:2]
 PIECE, MOST_HEADERS = 1 << 16, 1 << 16
+#: Bytes of a version line, and of a member's own header, at most.
+VERSION_LINE, MOST_FIELDS = 16, 4096
+#: How often the length of an archive is read in vain before a search is confined to what is most likely whole.
+WASTE = 4
 #: Rows and payload bytes of a batch that the reader hands over.
 ROWS, ROWS_BYTES = 500, 16 << 20
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
@@ -77,8 +83,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes:
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     slim = own.where(F.octet_length("html") >= least).where("page_id is not null").select("page_id", "digest").distinct()
-    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-    roles = slim.join(firsts, "digest").where("page_id <> first")
+    firsts = saved(slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1"))
+    # a payload that a large part of the pages share is told to them by broadcast
+    roles = joined(slim, firsts, ["digest"], "many").where("page_id <> first")
     told = own.join(roles, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "first")
 
     def work(batches):
@@ -95,16 +102,37 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes:
     told.mapInArrow(work, "member binary, archive long").select(F.col("member").cast("string").alias("value"), "archive").write.partitionBy("archive").text(path, lineSep="\0")
 
 
-def inflated(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the member at a place and where it ends; None if it is damaged."""
+def has_short_header(data: bytes, at: int) -> bool:
+    """Whether the fields of a member's header end within MOST_FIELDS bytes; else what reads it would go on to the end of the archive."""
+    flags, place, limit = data[at + 3 : at + 4], at + 10, at + MOST_FIELDS
+    if not flags:
+        return False
+    if flags[0] & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for bit in (8, 16):
+        if flags[0] & bit:
+            place = data.find(b"\0", place, limit) + 1
+            if not place:
+                return False
+    return place <= limit
+
+
+def inflated(data: bytes, at: int, told: bool = False) -> tuple[bytes | None, int]:
+    """The content of the member at a place and where it ends; if it is damaged, None and how far it was read. ``told``: it has to begin with a version line."""
+    if not has_short_header(data, at):
+        return None, at
     z, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
+        if told:
+            first = zlib.decompressobj(31)
+            if first.decompress(view[at : at + MOST_FIELDS + PIECE], len(VERSION)) != VERSION and not first.eof:
+                return None, at
         while not z.eof and at < len(data):
             out.append(z.decompress(view[at : at + PIECE]))
             at += PIECE
     except zlib.error:
-        return None
-    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else None
+        return None, min(at + PIECE, len(data))
+    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else (None, len(data))
 
 
 class Places:
@@ -120,27 +148,35 @@ class Places:
         return self.found
 
 
-def parsed(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers, block and end of the record at a place, or why there is none."""
-    stop = raw.find(END, at, at + MOST_HEADERS)
+def parsed(raw: bytes, at: int = 0, within: int | None = None, spent: list[int] | None = None) -> tuple[dict[str, str], bytes, int] | str:
+    """Headers, block and end of the record at a place, or why there is none; ``within``: where a block has to end, ``spent``: gets the bytes hashed in vain."""
+    limit = at + MOST_HEADERS
+    stop = raw.find(LINE_END, at, at + VERSION_LINE)
     if not raw.startswith(VERSION, at) or stop < 0:
         return "no version line"
     headers = {}
-    for line in raw[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    # line by line, so that a broken header costs no more than its good lines
+    while (place := stop + len(LINE_END)) != (stop := raw.find(LINE_END, place, limit)):
+        if stop < 0:
+            return "no version line"
+        name, colon, value = raw[place:stop].partition(b":")
         if not colon:
             return "broken header"
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     size = headers.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
+    if not size.isascii() or not size.isdigit() or len(size) > 18:
         return "no length"
-    begin = stop + len(END)
+    begin = stop + len(LINE_END)
     end = begin + int(size)
     if raw[end : end + len(END)] != END:
         return "length does not fit"
+    if within is not None and end > within:
+        return "record over other records, in an archive with too many of them"
     block = raw[begin:end]
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
+        if spent is not None:
+            spent.append(len(block))
         return "digest does not agree"
     return headers, block, end + len(END)
 
@@ -172,28 +208,33 @@ def records_in(raw: bytes) -> Iterator[tuple]:
 def salvage(data: bytes) -> Iterator[tuple]:
     """(begin, end, gap, headers, block) for records (gap is None) and gaps (headers and block are None), in order, without holes.
 
-    Whatever lies in a member with more than one record has the member's begin and end.
+    Whatever lies in a member with more than one record has the member's begin and end. When WASTE times the length of
+    the archive has been read in vain, only members that begin with a version line are tried, and only records that no other
+    version line lies in, so that the time stays in proportion to the length.
     """
     at, lost, why = 0, None, ""
-    members, versions = Places(data, MEMBER), Places(data, VERSION)
+    members, versions, wasted = Places(data, MEMBER), Places(data, VERSION), []
     while at < len(data):
         found, reason, inner = None, "no member or version line", []
+        hostile = sum(wasted) > WASTE * len(data)
         if data.startswith(MEMBER, at):
-            got = inflated(data, at)
-            if got is None:
+            content, end = inflated(data, at, told=hostile)
+            if content is None:
                 reason = "broken member"
-            elif not got[0]:
-                found = (None, None, got[1])
-            elif not isinstance(one := parsed(got[0]), str) and one[2] == len(got[0]):
-                found = (one[0], one[1], got[1])
+                wasted = [sum(wasted) + end - at]
+            elif not content:
+                found = (None, None, end)
+            elif not isinstance(one := parsed(content), str) and one[2] == len(content):
+                found = (one[0], one[1], end)
             else:
-                inner = list(records_in(got[0]))
+                inner = list(records_in(content))
                 if any(r[2] is None for r in inner):
-                    found = (None, None, got[1])
+                    found = (None, None, end)
                 else:
                     reason, inner = inner[0][2], []
+                    wasted = [sum(wasted) + end - at]
         elif data.startswith(VERSION, at):
-            one = parsed(data, at)
+            one = parsed(data, at, versions.behind(at + 1) if hostile else None, wasted)
             found, reason = (None, one) if isinstance(one, str) else (one, "")
         if found is None:
             lost, why = (at, reason) if lost is None else (lost, why)

@@ -507,6 +507,38 @@ def test_archives_roll_and_large_members(spark, tmp_path):
     assert left.count() == len(rows) - 1 and gaps and all(g.end > g.begin for g in gaps)
 
 
+@pytest.mark.parametrize(
+    "mark",
+    [b"\x1f\x8b\x08", b"\x1f\x8b\x08\x10aaaaaa", b"\x1f\x8b\x08\x04aaaaaa\x10\x00" + b"b" * 16, b"\x1f\x8b\x08\0\0\0\0\0\0\xff", b"\x1f\x8b\x08\0\0\0\0\0\0\xffKLJ", b"WARC/1.", b"WARC/1.0\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0\r\na: b\r\n\r\n"],
+)
+def test_marks_without_records_take_time_in_proportion(mark):
+    import time
+
+    page = b"<p>a page</p>" * 20
+    whole = warc.member(warc.record(7, "http://h/7", page, hashlib.sha256(page).hexdigest(), None, False))
+    took = []
+    for size in (1 << 19, 1 << 22):
+        data = whole + mark * (size // len(mark)) + whole
+        began = time.process_time()
+        rows = list(warc.salvage(data))
+        took.append(time.process_time() - began)
+        assert [r[3]["warc-payload-length"] for r in rows if r[2] is None] == [str(len(page))] * 2
+        assert rows[0][0] == 0 and rows[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(rows, rows[1:]))
+    assert took[1] < 6 and took[1] < 12 * took[0] + 0.5
+
+
+def test_records_that_claim_each_other_take_time_in_proportion():
+    import time
+
+    for n in (2_000, 8_000):
+        head = b"WARC/1.0\r\nWARC-Block-Digest: sha256:00\r\nContent-Length: %09d\r\n\r\n"
+        size = len(head % 0)
+        data = b"".join(head % (size * (n - 1 - k)) for k in range(n)) + b"\r\n\r\n"
+        began = time.process_time()
+        assert all(r[2] for r in warc.salvage(data))
+        assert time.process_time() - began < 5
+
+
 def test_reading_takes_time_in_proportion():
     import time
 

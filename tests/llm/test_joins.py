@@ -222,3 +222,68 @@ def test_vector_join_edges_and_blocks(spark, monkeypatch):
     short = [(4000, 1, 4000, True), (4001, 1, 4000, False)]
     assert [r for r in got if r not in short] == brute_vectors(same) and all(r in got for r in short)
     assert metric_join(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def planted_vectors(rng, n, dim=64):
+    """Vectors of which every tenth has near copies, just within and just out of reach."""
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for k in range(0, n - 5, 10):
+        for j, cosine in enumerate((0.99, 0.951, 0.9500001, 0.949)):
+            away = rng.normal(size=dim)
+            away -= away @ base[k] * base[k]
+            base[k + 1 + j] = cosine * base[k] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+    return base
+
+
+def linked_pairs(x, least=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    short, out = unit.astype(np.float32), []
+    for k in range(0, len(x), 1000):
+        i, j = np.nonzero(short[k : k + 1000] @ short.T >= least - 1e-4)
+        i += k
+        kept = (i < j) & (np.einsum("ij,ij->i", unit[i], unit[j]) >= least)
+        out += zip(i[kept].tolist(), j[kept].tolist())
+    return out
+
+
+def test_few_pairs_of_planted_vectors_are_multiplied(spark, monkeypatch):
+    from collections import Counter
+
+    from plantlens.llm import metric_join as m
+
+    monkeypatch.setattr(m, "BLOCK", 1024)
+    kept, real = [], m.saved
+    monkeypatch.setattr(m, "saved", lambda df, *a: kept.append(real(df, *a)) or kept[-1])
+    x = planted_vectors(np.random.default_rng(20), 8_000)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    got = sorted(tuple(r) for r in m.metric_join(frame).collect())
+    pairs = linked_pairs(x)
+    assert len(pairs) >= 3 * 800
+    degree, of = Counter(i for p in pairs for i in p), least(range(len(x)), pairs)
+    assert got == [(i, degree[i], of[i], of[i] == i) for i in range(len(x))]
+    # the whole vectors of a pair are multiplied if the pair is found by the short ones
+    close = next(k for k in kept if k.columns == ["code", "side", "short", "dim", "cell", "kind", "i", "j"])
+    tried = sum(int(found.sum()) for block in blocks_of(close) for _, _, found in m.close_strips(block, 0.95))
+    assert len(pairs) <= tried < 0.02 * len(x) * (len(x) - 1) / 2
+
+
+def blocks_of(close):
+    import pyarrow as pa
+
+    groups = {}
+    for r in close.collect():
+        groups.setdefault((r.dim, r.cell, r.kind, r.i, r.j), []).append({"side": r.side, "short": bytes(r.short)})
+    return [pa.Table.from_pylist(rows) for rows in groups.values()]
+
+
+def test_short_vectors_never_part_what_is_close():
+    from plantlens.llm import metric_join as m
+
+    rng = np.random.default_rng(21)
+    for dim in (1, 2, 5, 16, 17, 33, 64, 200):
+        x = planted_vectors(rng, 60, dim) if dim > 1 else np.sign(rng.normal(size=(60, 1)))
+        basis = np.linalg.qr(m.unit([v.tobytes() for v in rng.normal(size=(min(m.SPAN, 40), dim))])[: min(m.SPAN, dim)].T)[0]
+        short = m.shortened(x, basis).astype(np.float64)
+        assert np.allclose(np.linalg.norm(short, axis=1), 1, atol=1e-5)
+        assert (short @ short.T >= x @ x.T - m.MARGIN).all()

@@ -6,6 +6,7 @@ once, so both engines give the same doubles.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +24,7 @@ from plantlens.schema import Shifts
 from plantlens.sources import generator, schedule, truth
 from plantlens.sources.scratch import saved, shared_dir
 from plantlens.streaming.cells import Cells
+from plantlens.streaming.ledger import Ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -387,6 +389,45 @@ def q_redelivered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.groupBy("machine").agg(F.sum(F.col("good_delta").cast("long")).alias("good"), F.sum(F.col("reject_delta").cast("long")).alias("reject"), F.count("*").alias("n_messages"))
 
 
+#: Times that the ledger is closed and opened again while the events come in.
+RESTARTS = 3
+
+
+@query(f"WITH RECURSIVE {M}, {A} SELECT arrival_id, category, CASE WHEN category <> 'bad_payload' THEN seq END AS seq FROM z")
+def q_restarted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written in batches, each by a new process that restores seqs, watermarks and alarms from what lies there."""
+    m = saved(replayed(spark, sf_dir))
+    first, last = m.agg(F.min("arrival_id"), F.max("arrival_id")).first()
+    batch, path = F.floor((F.col("arrival_id") - first) * RESTARTS / (last - first + 1)), shared_dir(spark)
+    for n in range(RESTARTS):
+        Ledger(spark, path, POLICY).append(m.where(batch == n), n)
+    return Ledger(spark, path, POLICY).read().select("arrival_id", "category", F.when(F.col("category") != "bad_payload", F.col("seq")).alias("seq"))
+
+
+def logged(text: str) -> str:
+    """DuckDB: which of a broken text's own fields may be shown: those of the right type, (tag, type, seq, ts) of an event or as they stand."""
+    try:
+        m = json.loads(text.replace("<seq>", "1"))
+    except ValueError:
+        m = {}
+    m = m if isinstance(m, dict) else {}
+    own = {"<tag>": "machine", "<at>": "told_at"}
+    shown = lambda v: (own.get(v) or f"'{v}'") if isinstance(v, str) else "NULL"
+    number = "seq" if type(m.get("seq")) is int and m["seq"] < 2**63 else "NULL"
+    return f"{{'tag': {shown(m.get('tag'))}, 'msg_type': {shown(m.get('type'))}, 'seq': {number}, 'ts_raw': {shown(m.get('ts'))}}}"
+
+
+@query(
+    f"""WITH {M}, t AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS told_at FROM m), x AS (
+  SELECT log_id + 9 AS arrival_id, [{', '.join(logged(text) for text, _ in BROKEN)}][(seq // 11) % {len(BROKEN)} + 1] AS f FROM t WHERE seq % 11 = 5
+) SELECT arrival_id, f.tag AS tag, f.msg_type AS msg_type, f.seq AS seq, f.ts_raw AS ts_raw FROM x
+UNION ALL SELECT log_id + 7, NULL, NULL, NULL, NULL FROM t WHERE seq % 40 = 0"""
+)
+def q_refused_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is logged of refused messages: only fields of the right type."""
+    return ledger(spark, sf_dir).where("category = 'bad_payload'").select("arrival_id", "tag", "msg_type", "seq", "ts_raw")
+
+
 @query(f"WITH RECURSIVE {M}, {A} SELECT category, count(*) AS n FROM z GROUP BY category")
 def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))

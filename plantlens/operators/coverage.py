@@ -2,7 +2,8 @@
 
 An observation belongs to the shifts whose edges it is near, that hold it, or
 that the silence behind it reaches into; it is exploded over just those, and
-all conditions of a shift are then conditional aggregates of one grouping.
+all conditions of a shift are then conditional aggregates of one grouping, which
+is summed up before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds
-from plantlens.operators.grid import MICRO, shift_index, shifts_between
-from plantlens.operators.lines import followed
+from plantlens.operators.grid import MICRO, base_us, shift_index, shifts_between
+from plantlens.operators.lines import STRETCH, followed
 from plantlens.schema import Shifts
 
 
 def silences(observed: DataFrame) -> DataFrame:
     """machine, at and next: every time a machine was heard of, and the time it was heard of next."""
-    return followed(observed.select("machine", microseconds("ts").alias("at")).distinct(), ["machine"], "at", "next")
+    laid = [STRETCH] if STRETCH in observed.columns else []
+    return followed(observed.select("machine", microseconds("ts").alias("at"), *laid).distinct(), ["machine"], "at", "next").drop(STRETCH)
 
 
 def edges_and_gaps(joined: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -56,8 +58,13 @@ def coverage(observed: DataFrame, grid: DataFrame, shifts: Shifts, gap_s: int) -
     low = shift_index(F.col("at") - gap - 1, shifts)
     high = shift_index(F.greatest(F.col("at") + gap, F.coalesce("next", F.col("at"))), shifts)
     near = seen.withColumn("k", F.explode(shifts_between(low, high, shifts)))
-    joined = grid.select("machine", "k", "s_start_us", "s_end_us").join(near, ["machine", "k"], "left")
-    return edges_and_gaps(joined, ["machine", "k"], gap).drop("s_start_us")
+    # a shift's edges follow from its number, so observations are summed up before they meet the grid
+    length = shifts.seconds * MICRO
+    start = base_us(shifts) + F.col("k").cast("long") * length
+    found = edges_and_gaps(near.withColumns({"s_start_us": start, "s_end_us": start + length}), ["machine", "k"], gap).drop("s_start_us")
+    rows = grid.select("machine", "k", "s_start_us").join(found, ["machine", "k"], "left")
+    none = {"start_ok": F.lit(False), "end_ok": F.lit(False), "gaps_ok": F.lit(True), "max_gap_us": F.lit(0), "gap_from_us": F.col("s_start_us"), "gap_to_us": F.col("s_start_us"), "n_observations": F.lit(0)}
+    return rows.select("machine", "k", *(F.coalesce(c, value).alias(c) for c, value in none.items()))
 
 
 def state_evidence(states: DataFrame, grid: DataFrame) -> DataFrame:

@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 #: Microseconds of a stretch of time: six hours.
 STRETCH_US = 21_600_000_000
+#: The column of a row's stretch, in tables that are laid out by it.
+STRETCH = "stretch"
 
 
 def followed(rows: DataFrame, keys: Sequence[str], at: str, out: str, ties: Sequence[str] = (), stretch: int = STRETCH_US) -> DataFrame:
-    """``out``: ``at`` of the key's next row in the order of ``at`` and ``ties``; null for its last row."""
-    rows = rows.withColumn("_stretch", F.floor(F.col(at) / stretch))
-    firsts = rows.groupBy(*keys, "_stretch").agg(F.min(at).alias("_first"))
-    behind = firsts.select(*keys, "_stretch", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_stretch")).alias("_behind"))
-    inside = F.lead(at).over(Window.partitionBy(*keys, "_stretch").orderBy(at, *ties))
-    return rows.withColumn("_inside", inside).join(behind, [*keys, "_stretch"], "left").withColumn(out, F.coalesce("_inside", "_behind")).drop("_stretch", "_inside", "_behind")
+    """``out``: ``at`` of the key's next row in the order of ``at`` and ``ties``; null for its last row. A column STRETCH is taken for the rows' stretches."""
+    told = STRETCH in rows.columns
+    s = STRETCH if told else "_stretch"
+    rows = rows if told else rows.withColumn(s, F.floor(F.col(at) / stretch))
+    firsts = rows.groupBy(*keys, s).agg(F.min(at).alias("_first"))
+    behind = firsts.select(*keys, s, F.lead("_first").over(Window.partitionBy(*keys).orderBy(s)).alias("_behind"))
+    inside = F.lead(at).over(Window.partitionBy(*keys, s).orderBy(at, *ties))
+    found = rows.withColumn("_inside", inside).join(behind, [*keys, s], "left").withColumn(out, F.coalesce("_inside", "_behind")).drop("_inside", "_behind")
+    return found if told else found.drop(s)
 
 
 def running_max(rows: DataFrame, key: str, order: str, value: str, out: str, stretch: int, ties: Sequence[str] = ()) -> DataFrame:

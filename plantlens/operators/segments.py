@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.grammar import microseconds
 from plantlens.operators.grid import MICRO, base_us, shift_index, shifts_between
-from plantlens.operators.lines import followed
+from plantlens.operators.lines import STRETCH, followed
 from plantlens.schema import Shifts
 
 
 def segments(states: DataFrame) -> DataFrame:
     """Each state with the time of the machine's next one (null for the last); equal times follow log_id."""
-    rows = states.select("machine", "state", "reason_code", "log_id", microseconds("ts").alias("start_us"))
-    return followed(rows, ["machine"], "start_us", "next_us", ["log_id"])
+    laid = [STRETCH] if STRETCH in states.columns else []
+    rows = states.select("machine", "state", "reason_code", "log_id", microseconds("ts").alias("start_us"), *laid)
+    return followed(rows, ["machine"], "start_us", "next_us", ["log_id"]).drop(STRETCH)
 
 
 def clipped(spans: DataFrame, shifts: Shifts) -> DataFrame:

@@ -22,6 +22,7 @@ from plantlens.operators.lines import numbered, running_max
 from plantlens.plans.plant import BROKEN, CALENDAR, CYCLE_S, GAP_S, GRID, POLICY, SHIFTS, A, M, calendar, cycles, events, replayed
 from plantlens.schema import Shifts
 from plantlens.sources import generator, schedule, truth
+from plantlens.sources.layout import laid_out
 from plantlens.sources.scratch import saved, shared_dir
 from plantlens.streaming.cells import Cells
 from plantlens.streaming.ledger import Ledger
@@ -160,6 +161,22 @@ def q_oee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select(*OEE_COLUMNS)
 
 
+#: Buckets that facts are laid out in.
+BUCKETS = 8
+
+
+def over_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    m = laid_out(events(spark, sf_dir), f"plantlens_facts_{path.rpartition('/')[2]}", path, BUCKETS)
+    return metrics.effectiveness(of(m, "STATE"), of(m, "COUNT"), m, machines(m), SHIFTS, GAP_S)
+
+
+@query(OEE)
+def q_oee_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grid over facts laid out by machine and stretch: events are read where they lie and not shuffled."""
+    return over_layout(spark, sf_dir).select(*OEE_COLUMNS)
+
+
 #: Batches that the events are cut into, and the events that come a batch or two late.
 BATCHES, LATE = 3, 13
 

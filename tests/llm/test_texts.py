@@ -473,6 +473,65 @@ def test_network_gradients_against_differences():
         assert summed[place] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=2e-2, abs=2e-3)
 
 
+def slow_logit(net, text):
+    """Word by word and number by number: windows, both recurrences, attention, and the worst window."""
+    from math import exp, sqrt, tanh
+
+    from plantlens.llm import toxicity as t
+
+    d = {k: v.astype(float) for k, v in net.dense.items()}
+    sigmoid = lambda x: 1 / (1 + exp(-x))
+    dot = lambda xs, column: sum(a * b for a, b in zip(xs, column))
+    words = t.words_of(text) or [""]
+    inputs = []
+    for w in words:
+        found = t.grams(w)
+        row = net.words[net.vocab.get(w, 0)]
+        inputs.append([float(row[i]) + sum(float(net.grams[g][i]) for g in found) / sqrt(len(found)) for i in range(t.DIM)])
+
+    def states(way, xs):
+        h, out = [0.0] * t.HID, []
+        w, u, c = (d[f"{n}{way}"] for n in "WUc")
+        for x in xs:
+            gate = lambda i: dot(x, w[:, i]) + c[i]  # noqa: E731, B023
+            back = lambda i: dot(h, u[:, i])  # noqa: E731, B023
+            z = [sigmoid(gate(i) + back(i)) for i in range(t.HID)]
+            r = [sigmoid(gate(t.HID + i) + back(t.HID + i)) for i in range(t.HID)]
+            n = [tanh(gate(2 * t.HID + i) + r[i] * back(2 * t.HID + i)) for i in range(t.HID)]
+            h = [(1 - z[i]) * n[i] + z[i] * h[i] for i in range(t.HID)]
+            out.append(h)
+        return out
+
+    logits, begin = [], 0
+    while True:
+        xs = inputs[begin : begin + t.WINDOW]
+        both = [f + b for f, b in zip(states("f", xs), states("b", xs[::-1])[::-1])]
+        weights = [exp(sum(tanh(dot(h, d["A"][:, k]) + d["a"][k]) * d["v"][k] for k in range(t.ATT))) for h in both]
+        pooled = [sum(w * h[i] for w, h in zip(weights, both)) / sum(weights) for i in range(2 * t.HID)]
+        logits.append(dot(pooled, d["o"]) + d["k"][0])
+        begin += t.STRIDE
+        if begin + t.WINDOW - t.STRIDE >= len(words):
+            return max(logits)
+
+
+def test_network_against_a_slow_reading():
+    from plantlens.llm import toxicity as t
+
+    rng = np.random.default_rng(14)
+    vocab = [f"w{k}" for k in range(30)]
+    net = t.Net.new({w: k + 1 for k, w in enumerate(vocab)}, 3)
+    net.dense = {k: (v + rng.normal(size=v.shape) * 0.2).astype(np.float32) for k, v in net.dense.items()}
+    sizes = [0, 1, 2, t.WINDOW - 1, t.WINDOW, t.WINDOW + 1, t.WINDOW + t.STRIDE, t.WINDOW + t.STRIDE + 1, 3 * t.WINDOW + 5]
+    texts = [" ".join(rng.choice([*vocab, "unknownword", "é", "日本"], size=n)) for n in sizes] + ["!?", "x" * 95]
+    got = t.Scorer(net)(texts)
+    want = [1 / (1 + np.exp(-slow_logit(net, x))) for x in texts]
+    assert np.allclose(got, want, atol=2e-4)
+    # with other texts, in another order, and read a second time
+    scorer = t.Scorer(net)
+    scorer(texts[::-1])
+    assert np.allclose(scorer(texts), want, atol=2e-4)
+
+
 def test_toxicity_of_odd_tables(spark):
     docs, labels = odd_table(spark), spark.createDataFrame(ODD_LABELS, "doc_id long, quality int, toxic int")
     runs = [sorted(map(str, toxicity.toxicity(docs.repartition(n), labels).collect())) for n in (1, 3)]

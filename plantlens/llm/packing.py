@@ -6,10 +6,12 @@ with a hash of doc_id and ids behind it for ties, orders the corpus. The ordered
 tokens form one line that is cut every ``length`` tokens, so that neighbours on
 the curve share sequences and only the last sequence is padded.
 
-The line is cut into cells of about ``cell_tokens`` tokens (a document's place
-counts once for every WEIGHT of its tokens), one for each task, whatever the
-input's size. The driver holds two numbers per cell: 24 GB of text make about a
-thousand cells.
+The line is cut into cells of about ``cell_tokens`` tokens, one for each task.
+Where they begin is found by a range partition of places alone (a document's
+place counts once for every WEIGHT of its tokens). There are at most MOST_CELLS
+cells, so that what the driver and each task know of them, two numbers a cell, is
+less than 2 MB at any size; beyond that the cells grow, and are sorted on disk. Where cells
+begin does not change the pieces.
 
 Edge cases: a null or empty text is its closing id alone; repeated rows are
 packed one by one; equal documents follow each other in the order of hash and
@@ -34,6 +36,8 @@ from plantlens.llm.words_bpe import encode, vocab
 DIMS, BITS, BUCKETS = 3, 10, 1024
 #: A document weighs one for every so many tokens it begins when cells are cut.
 WEIGHT = 512
+#: Cells at most.
+MOST_CELLS = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,6 +98,13 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int, id_col: str, text_c
     return found.select("doc_id", "ids", "n", (F.shiftleft("place", 32) + F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 32))).alias("at"))
 
 
+def cell_bounds(ready: DataFrame, cells: int) -> np.ndarray:
+    """The least place of each cell but the first, of cells of about as many tokens; equal places lie in one cell."""
+    weighed = ready.select(F.explode(F.array_repeat("at", F.ceil(F.col("n") / WEIGHT).cast("int"))).alias("at"))
+    ranges = weighed.repartitionByRange(cells, "at").select("at", F.spark_partition_id().alias("cell"))
+    return np.sort(ranges.groupBy("cell").agg(F.min("at").alias("at")).toPandas()["at"].to_numpy(dtype=np.int64))[1:]
+
+
 def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1, cell_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark, v = docs.sparkSession, vocab(vocab_path)
@@ -101,10 +112,8 @@ def pack(docs: DataFrame, vocab_path: str, length: int = 2048, end_id: int = 1,
         raise ValueError("ids of this vocabulary need more than two bytes")
     ready = saved(tokenized(docs, vocab_path, end_id, id_col, text_col))
     total = ready.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    wanted = int(total // cell_tokens + 1)
-    shares = [k / wanted for k in range(1, wanted)]
-    weighed = ready.select(F.explode(F.array_repeat("at", F.ceil(F.col("n") / WEIGHT).cast("int"))).alias("at"))
-    bounds = np.unique(np.array((weighed.agg(F.percentile_approx("at", shares, max(10_000, 4 * wanted))).first()[0] or []) if shares else [], dtype=np.int64))
+    wanted = min(int(total // cell_tokens + 1), MOST_CELLS)
+    bounds = cell_bounds(ready, wanted) if wanted > 1 else np.zeros(0, dtype=np.int64)
     cells = len(bounds) + 1
     shared_bounds = spark.sparkContext.broadcast(bounds)
 

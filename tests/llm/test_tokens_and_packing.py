@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plantlens.llm import words_bpe
+from plantlens.llm import packing, words_bpe
 from plantlens.llm.packing import hilbert, pack
 from plantlens.llm.queries import VOCAB
 from plantlens.llm.token_counts import token_counts
@@ -111,6 +111,28 @@ def test_packing_in_many_cells(spark, library):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_packing_in_few_large_cells(spark, library, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    many = pack(docs, VOCAB, cell_tokens=5_000).collect()
+    monkeypatch.setattr(packing, "MOST_CELLS", 3)
+    few = pack(docs, VOCAB, cell_tokens=5_000)
+    assert few.rdd.getNumPartitions() <= 3
+    # where cells begin changes no piece
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many))
+
+
+def test_cells_are_cut_by_tokens(spark):
+    # a third of all rows are short texts of one place, and one text is longer than a cell
+    rows = [(0, 1)] * 3_000 + [(k, 100 + k % 50) for k in range(1, 6_000)] + [(4_000, 90_000)]
+    ready = spark.createDataFrame(rows, "at long, n long").repartition(7)
+    bounds = packing.cell_bounds(ready, 20)
+    assert 10 <= len(bounds) < 20 and (np.diff(bounds) > 0).all() and bounds[0] > 0
+    weights = np.zeros(len(bounds) + 1)
+    for at, n in rows:
+        weights[np.searchsorted(bounds, at, side="right")] += -(-n // packing.WEIGHT)
+    assert weights[1:].max() < 4 * sum(-(-n // packing.WEIGHT) for _, n in rows) / 20
+
+
 def test_packing_without_ids_and_with_other_columns(spark):
     rows = [(None, f"text number {k} " * (k % 9), "x", k) for k in range(300)] + [(None, None, "y", 1), (7, "", "z", 2), (7, "", "z", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, place string, n long")

@@ -11,11 +11,15 @@ First every group of a shingle is tried against one of them; the links found
 there put most copies of a text into one component, whatever their number. Then
 the same is done twice around other holders of each shingle, drawn by hash, and
 at last all pairs of the same shingle that still lie in different components
-are tried (size, position and sketch filters first, none of which loses a
-link), so that no link between components is lost. Links within a component
-would not change the result. In that last join the holders of a shingle meet
-only others of about their size, and a shingle with many is split into blocks
-that meet block by block.
+are tried, so that no link between components is lost. Links within a component
+would not change the result. In all rounds it is groups that hold shingles and
+are paired: a pair of groups is filtered by size, position and components (and
+by sketches, where each has one member), and only pairs that are left are
+expanded to their members, whose components and sketches are filtered again. No filter
+loses a link. Members of one group meet under a token of their own. In the last
+round the holders of a shingle meet only others of about their size, and a
+shingle with many is split into blocks that meet block by block, as are the
+members of large groups.
 
 A set travels to each text it is compared with; the text in the middle of a
 star is sent there once, or once for every STAR others if they are many.
@@ -55,8 +59,8 @@ DRAWS = (1, 2)
 SKETCH = 8
 #: Holders of a shingle in a block of the last join; partners of a text that are compared with it in one group.
 BLOCK, STAR = 2048, 4096
-#: Words of the filter that spares texts which no candidate needs, and bits of the one in front of the list of frequent shingles.
-FILTER_WORDS, LIST_BITS = 1 << 18, 24
+#: Least and most words of the filter that spares texts which no candidate needs (beyond FILTER_MOST it spares fewer), and bits of the one in front of the list of frequent shingles.
+FILTER_WORDS, FILTER_MOST, LIST_BITS = 1 << 18, 1 << 23, 24
 
 
 def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +159,18 @@ def prefixes(own: DataFrame, k: int, percent: int) -> DataFrame:
     return found
 
 
+def filter_size(count: int) -> int:
+    """Words of 63 bits for a filter of so many ids: 16 bits for each, within bounds."""
+    return min(FILTER_MOST, max(FILTER_WORDS, 1 << (count * 16 // 63).bit_length()))
+
+
 def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
-    """The filter, and (node, digest, shingles as bytes) of texts whose id may be among the nodes needed; a bit filter of fixed size spares most others the work."""
-    place = lambda c: (F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(63)))
+    """The filter, and (node, digest, shingles as bytes) of texts whose id may be among the nodes needed; a bit filter, sized by their number, spares most others the work."""
+    size = filter_size(needed.count())
+    place = lambda c: (F.pmod(F.xxhash64(c), F.lit(size)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(63)))
     word, bit = place("node")
     bits = needed.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).select("word", F.call_function("shiftleft", F.col("one"), F.col("bit").cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(FILTER_WORDS, dtype=np.int64)
+    table = np.zeros(size, dtype=np.int64)
     table[bits["word"].to_numpy(dtype=np.int64)] = bits["bits"].to_numpy(dtype=np.int64)
     shared = own.sparkSession.sparkContext.broadcast(table)
     word, bit = place("doc_id")
@@ -212,44 +222,86 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
 
 
 def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
-    """(token, pos, node, n, component, sketch) for the tokens that more than one component holds; a group of several members is a token of its own."""
-    placed = saved(members.join(known, "node", "left").select("node", "gid", "n", "members", F.coalesce("component", "node").alias("component")))
-    own = placed.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.lit(0).alias("pos"), "node", "n", "component")
-    rows = shared.select("token", "gid", "pos").join(placed.select("gid", "node", "n", "component"), "gid").drop("gid").unionByName(own)
-    return saved(still_open(rows).join(members.select("node", "sketch"), "node"))
+    """(token, pos, unit, n, whole, low, high, sketch) for the tokens that more than one component holds.
+
+    A unit is a group (``whole``: one of several members, without sketch), or a member under the token of its group.
+    low and high are the least and the largest component of its members.
+    """
+    between = shared.select("token", "pos", F.col("gid").alias("unit"), "n", "whole")
+    inside = members.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.lit(0).alias("pos"), F.col("node").alias("unit"), "n", F.lit(False).alias("whole"))
+    rows = still_open(with_components(between.unionByName(inside), members, known))
+    return saved(rows.join(members.select(F.col("node").alias("unit"), "sketch"), "unit").withColumn("sketch", F.when(~F.col("whole"), F.col("sketch"))))
 
 
-def reopened(rows: DataFrame, known: DataFrame) -> DataFrame:
+def reopened(rows: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
     """What is left of open rows when more is known: components only grow together, so a token once closed stays so."""
-    return saved(still_open(rows.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+    return saved(still_open(with_components(rows.drop("low", "high"), members, known)))
+
+
+def with_components(rows: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds the least and the largest component of each unit's members."""
+    component = F.coalesce("component", "unit")
+    single = rows.where("not whole").join(known.withColumnRenamed("node", "unit"), "unit", "left").select(*rows.columns, component.alias("low"), component.alias("high"))
+    of_member = placed(members.where("members > 1"), known)
+    of_group = of_member.groupBy(F.col("gid").alias("unit")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return single.unionByName(rows.where("whole").join(of_group, "unit").select(*single.columns))
+
+
+def placed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members with their components."""
+    return members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def still_open(rows: DataFrame) -> DataFrame:
-    several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    several = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("units")).where("least <> most and units > 1").select("token")
     return rows.join(several, "token", "left_semi")
 
 
-def may_link(percent: int) -> str:
-    """What rows x and y that share a token have to meet: unlike components, and sizes, places and sketches that allow for a link."""
+def sketches_allow(percent: int) -> str:
+    """Whether the sketches of x and y allow for a link; those of groups of several members are null and do."""
     differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH))
+    return f"coalesce((100 + {percent}) * ({differ}) <= (100 - {percent}) * (x.n + y.n), true)"
+
+
+def may_link(percent: int) -> str:
+    """What units x and y that share a token have to meet: members of unlike components, and sizes, places and sketches that allow for a link."""
     return (
-        f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        f" AND (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND (100 + {percent}) * ({differ}) <= (100 - {percent}) * (x.n + y.n)"
+        f"x.unit <> y.unit AND least(x.low, y.low) <> greatest(x.high, y.high) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" AND (100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND {sketches_allow(percent)}"
     )
 
 
-PAIR = ("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b")
+SIDES = ("named_struct('unit', x.unit, 'whole', x.whole)", "named_struct('unit', y.unit, 'whole', y.whole)")
+#: A pair of units, each with whether it is a group of several members.
+PAIR = (f"least({', '.join(SIDES)}) AS a", f"greatest({', '.join(SIDES)}) AS b")
+
+
+def expanded(pairs: DataFrame, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes (a < b) that may link, from pairs of units: those with a group of several members are expanded, part by part of large groups."""
+    pairs = saved(pairs)
+    whole = F.col("a.whole") | F.col("b.whole")
+    plain = pairs.where(~whole).select("a.unit", F.col("b.unit").alias("other"))
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    sizes = members.where("node = gid").select("gid", parts.alias("parts"))
+    own = placed(members, known).select("gid", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "n", "component", "sketch")
+    dealt = pairs.where(whole).select(F.col("a.unit").alias("ga"), F.col("b.unit").alias("gb"))
+    for gid, part in (("ga", "pa"), ("gb", "pb")):
+        dealt = dealt.join(sizes.withColumnRenamed("gid", gid), gid).withColumn(part, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    first = dealt.join(own.withColumnsRenamed({"gid": "ga", "part": "pa"}), ["ga", "pa"])
+    met = first.alias("x").join(own.alias("y"), F.expr(f"x.gb = y.gid AND x.pb = y.part AND x.component <> y.component AND {sketches_allow(percent)}"))
+    found = plain.union(met.selectExpr("x.node", "y.node"))
+    return found.select(F.least("unit", "other").alias("a"), F.greatest("unit", "other").alias("b")).distinct()
 
 
 def pairs_with_drawn(rows: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Pairs (a < b) that may link, of the rows of each token with one that is drawn among them."""
-    drawn = F.min_by(F.struct("pos", "node", "n", "component", "sketch"), F.xxhash64("token", "node", F.lit(seed)))
+    """Pairs of units that may link, of the rows of each token with one that is drawn among them."""
+    drawn = F.min_by(F.struct("pos", "unit", "n", "whole", "low", "high", "sketch"), F.xxhash64("token", "unit", F.lit(seed)))
     others = rows.groupBy("token").agg(drawn.alias("y")).select("token", "y.*")
     return rows.alias("x").join(others.alias("y"), F.expr(f"x.token = y.token AND {may_link(percent)}")).selectExpr(*PAIR).distinct()
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) that may link, of all rows of each token.
+    """Pairs of units that may link, of all rows of each token.
 
     Rows are dealt by size, in steps so long that a link reaches the next step at
     most; a token's rows of one step are cut into blocks, and each pair of blocks
@@ -259,19 +311,19 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     placed = rows.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     counts = placed.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("step", "blocks"))).alias("blocks"))
-    dealt = placed.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("step")]).cast("int"))
+    dealt = placed.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("unit"), F.col("blocks")[F.col("step")]).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    cell = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    cell = lambda low, high, i, j: F.struct(low.alias("here"), high.alias("there"), i.alias("i"), j.alias("j"))
     here, mine = F.col("step"), F.col("mine")
     count = lambda at: F.coalesce(F.try_element_at("blocks", at), F.lit(0))
     every = lambda n, make: F.transform(F.when(n > 0, upto(n)).otherwise(F.array().cast("array<int>")), make)
     # as the first of a pair: against all blocks of its own step and of the next; as the second likewise
     first = F.concat(every(count(here), lambda j: cell(here, here, mine, j)), every(count(here + 1), lambda j: cell(here, here + 1, mine, j)))
     second = F.concat(every(count(here), lambda i: cell(here, here, i, mine)), every(count(here - 1), lambda i: cell(here - 1, here, i, mine)))
-    own = ("token", "pos", "node", "n", "component", "sketch")
+    own = ("token", "pos", "unit", "n", "whole", "low", "high", "sketch")
     x, y = (dealt.select(*own, F.explode(cells).alias("cell")).select(*own, "cell.*") for cells in (first, second))
-    same = " AND ".join(f"x.{c} = y.{c}" for c in ("token", "low", "high", "i", "j"))
-    return x.alias("x").join(y.alias("y"), F.expr(f"{same} AND (x.low < x.high OR x.node < y.node) AND {may_link(percent)}")).selectExpr(*PAIR).distinct()
+    same = " AND ".join(f"x.{c} = y.{c}" for c in ("token", "here", "there", "i", "j"))
+    return x.alias("x").join(y.alias("y"), F.expr(f"{same} AND (x.here < x.there OR x.unit < y.unit) AND {may_link(percent)}")).selectExpr(*PAIR).distinct()
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,13 +334,13 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     classes = saved(full.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     groups = classes.groupBy("prefix_key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
     members = saved(classes.join(groups, ["prefix_key", "n"]).select("node", "gid", "n", "members", "sketch"))
-    reps = full.groupBy("prefix_key", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
-    entries = reps.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    reps = full.groupBy("prefix_key", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), (F.min("digest") != F.max("digest")).alias("whole"))
+    entries = reps.select("gid", "n", "whole", F.posexplode("prefix").alias("pos", "token"))
     level = F.col("token").bitwiseAND(F.lit(15))
     salt = F.pmod(F.xxhash64("gid"), F.call_function("shiftleft", F.lit(1), level.cast("int")).cast("long"))
     block = Window.partitionBy("token", "salt")
     shared = entries.withColumn("salt", F.when(level > 0, salt).otherwise(0)).withColumns({"c": F.min(F.struct("gid", "n", "pos")).over(block), "many": F.count("*").over(block)})
-    shared = saved(shared.where((F.col("many") > 1) | (level > 0)).select("token", "gid", "n", "pos", "c"))
+    shared = saved(shared.where((F.col("many") > 1) | (level > 0)).select("token", "gid", "n", "pos", "whole", "c"))
 
     # first round: each group against the first of its block, each member against the first of its group
     able = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n) AND (100 + {percent}) * least(n - pos, c.n - c.pos) >= {percent} * (n + c.n)"
@@ -300,8 +352,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     tested = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rows = None
     for seed in (*DRAWS, None):
-        rows = open_rows(shared, members, known) if rows is None else reopened(rows, known)
-        found = all_pairs(rows, percent) if seed is None else pairs_with_drawn(rows, percent, seed)
+        rows = open_rows(shared, members, known) if rows is None else reopened(rows, members, known)
+        found = expanded(all_pairs(rows, percent) if seed is None else pairs_with_drawn(rows, percent, seed), members, known, percent)
         more = saved(found.join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue

@@ -140,6 +140,43 @@ def test_shingle_join_in_small_blocks_and_stars(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join(docs).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("draws", [(), (1, 2)])
+def test_groups_of_several_members_are_paired_and_expanded(spark, monkeypatch, draws):
+    from plantlens.llm import ngram_join as m
+
+    monkeypatch.setattr(m, "BLOCK", 3)
+    monkeypatch.setattr(m, "DRAWS", draws)
+    paired, expand = [], m.expanded
+    monkeypatch.setattr(m, "expanded", lambda pairs, *rest: paired.append(pairs.where("a.whole or b.whole").count()) or expand(pairs, *rest))
+    # one prefix for all, whatever follows: the first shingles of the order are those of the head, as the tails' are frequent
+    monkeypatch.setattr(m, "frequent", lambda own, k: listed)
+    rng = np.random.default_rng(21)
+    pool = [words(rng, 12) for _ in range(40)]
+    rows = []
+    for h in range(3):  # heads that differ by a word are held by groups of their own
+        head = words(rng, 30).split()
+        for v in range(4):
+            own = list(head)
+            own[29 - v] = f"v{v}"
+            for k in range(9):  # members of a group: 12 words of tails that are alike, or not
+                rows.append((len(rows), " ".join([*own, pool[(7 * k + v * (k % 2)) % 40], pool[k % 3]])))
+    listed_rows = np.unique(np.concatenate([x >> np.uint64(4) for x in m.shingle_sets([f"{t} {u}" for t in pool for u in pool[:3]], 5)]))
+    maybe = np.zeros(1 << m.LIST_BITS, dtype=bool)
+    maybe[listed_rows >> np.uint64(60 - m.LIST_BITS)] = True
+    listed = listed_rows, np.ones(len(listed_rows), dtype=np.uint8), np.packbits(maybe, bitorder="little")
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert sum(paired) > 0
+
+
+def test_filter_grows_with_what_is_needed():
+    from plantlens.llm import ngram_join as m
+
+    assert m.filter_size(0) == m.filter_size(10_000) == m.FILTER_WORDS
+    assert all(63 * m.filter_size(n) >= 16 * n for n in (10**6, 10**7, 3 * 10**7))
+    assert m.filter_size(10**12) == m.FILTER_MOST
+
+
 def test_unlike_texts_of_one_id_give_the_same_on_every_run(spark):
     rng = np.random.default_rng(12)
     a, b = words(rng, 80), words(rng, 80)

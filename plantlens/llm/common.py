@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plantlens.sources.scratch import saved, shared_dir  # noqa: F401
+from plantlens.sources.scratch import NO_BROADCAST, counted, saved, settings, shared_dir  # noqa: F401
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import saved
+from plantlens.llm.common import counted, saved
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def rooted(hook: DataFrame) -> DataFrame:
     hook = saved(hook)
     while True:
         parents = hook.select(F.col("up").alias("node")).distinct().join(hook, "node").where("up <> node")
-        above = saved(parents.select(F.col("node").alias("up"), F.col("up").alias("higher")))
-        if above.isEmpty():
+        above, many = counted(parents.select(F.col("node").alias("up"), F.col("up").alias("higher")))
+        if not many:
             return hook
         hook = saved(hook.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up")))
 
@@ -37,14 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
     steps. A chain in order of its numbers is one round. All of it are joins and
     grouped minima over tables in the shared folder; nothing reaches the driver.
     """
-    live = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live, many = counted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     hooks: list[DataFrame] = []
-    while not live.isEmpty():
+    while many:
         hook = rooted(both_ways(live).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("up")))
         hooks.append(hook)
         first, second = hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = live.join(first, "a").join(second, "b").where("ua <> ub")
-        live = saved(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        live, many = counted(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
     if not hooks:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = hooks[0].select("node", F.col("up").alias("component"))

@@ -47,7 +47,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_slice, id_text, saved
+from plantlens.llm.common import NO_BROADCAST, by_slice, counted, id_text, saved, settings
 from plantlens.llm.components import components, with_links
 from plantlens.llm.word_hash import MULTIPLIER, mixed, word_hashes
 
@@ -164,9 +164,9 @@ def filter_size(count: int) -> int:
     return min(FILTER_MOST, max(FILTER_WORDS, 1 << (count * 16 // 63).bit_length()))
 
 
-def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
-    """The filter, and (node, digest, shingles as bytes) of texts whose id may be among the nodes needed; a bit filter, sized by their number, spares most others the work."""
-    size = filter_size(needed.count())
+def needed_sets(own: DataFrame, needed: DataFrame, count: int, k: int) -> tuple[DataFrame, Broadcast]:
+    """The filter, and (node, digest, shingles as bytes) of texts whose id may be among the ``count`` nodes needed; a bit filter, sized by their number, spares most others the work."""
+    size = filter_size(count)
     place = lambda c: (F.pmod(F.xxhash64(c), F.lit(size)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(63)))
     word, bit = place("node")
     bits = needed.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).select("word", F.call_function("shiftleft", F.col("one"), F.col("bit").cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
@@ -187,10 +187,10 @@ def needed_sets(own: DataFrame, needed: DataFrame, k: int) -> tuple[DataFrame, B
     return by_slice(asked, "text", "node long, digest string, shingles binary", work), shared
 
 
-def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a saved table whose sets are similar enough, saved."""
-    needed = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets, shared = needed_sets(own, needed, k)
+def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of a saved table whose sets are similar enough, saved, and their number."""
+    needed, count = counted(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets, shared = needed_sets(own, needed, count, k)
     sets = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.min_by("shingles", "digest").alias("shingles"))
     # b travels to its place at a, and a once to each part of a
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
@@ -216,9 +216,9 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
                         b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    found = saved(sent.mapInArrow(check, "a long, b long"))
+    found, links = counted(sent.mapInArrow(check, "a long, b long"))
     shared.destroy()
-    return found
+    return found, links
 
 
 def open_rows(shared: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
@@ -328,7 +328,12 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
-    own = id_text(docs, id_col, text_col)
+    with settings(docs.sparkSession, NO_BROADCAST):
+        return linked(id_text(docs, id_col, text_col), k, percent)
+
+
+def linked(own: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same for doc_id and text."""
     ready = prefixes(own, k, percent)
     full = ready.where("doc_id is not null and n > 0")
     classes = saved(full.groupBy("digest", "prefix_key", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
@@ -346,21 +351,24 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     able = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n) AND (100 + {percent}) * least(n - pos, c.n - c.pos) >= {percent} * (n + c.n)"
     tries = shared.where("gid <> c.gid").where(able).select(F.col("c.gid").alias("centre"), "gid").distinct().join(members.select("gid", "node"), "gid").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     tries = saved(tries.union(members.where("node <> gid").select("gid", "node")).distinct())
-    known = components(verified(tries, own, k, percent))
+    known = components(verified(tries, own, k, percent)[0])
 
     # further rounds: what shares a token but no component, around a drawn holder of each token and then in all pairs
     tested = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = None
+    rows = open_rows(shared, members, known)
     for seed in (*DRAWS, None):
-        rows = open_rows(shared, members, known) if rows is None else reopened(rows, members, known)
         found = expanded(all_pairs(rows, percent) if seed is None else pairs_with_drawn(rows, percent, seed), members, known, percent)
-        more = saved(found.join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        more, many = counted(found.join(tested, ["a", "b"], "left_anti"))
+        if not many:
             continue
-        known, tested = with_links(known, verified(more, own, k, percent)), tested.union(more)
+        tested = tested.union(more)
+        links, many = verified(more, own, k, percent)
+        # without links nothing is known that was not before, and after the last round nothing is open
+        if many:
+            known = with_links(known, links)
+            rows = rows if seed is None else reopened(rows, members, known)
     of_digest = classes.join(known, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    linked = ready.join(of_digest, "digest", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return ready.join(of_digest, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

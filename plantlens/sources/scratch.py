@@ -7,10 +7,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-#: Shuffle files of a statement go when it ends, not when the driver's JVM happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files of a statement go when it ends, not when the driver's JVM happens to collect garbage.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: For operators of very many small joins: each table that is broadcast takes some MB of the driver's memory and threads that stay for a minute, however few its rows.
+NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
@@ -27,19 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the statements inside; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder (or a path got from it before) and read it back."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, WRITING):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A saved table and its number of rows, which comes out of the pass that writes it."""
+    told = Observation()
+    found = saved(df.observe(told, F.count(F.lit(1)).alias("n")))
+    return found, told.get["n"]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Empty the tables saved inside at the end: for callers who have written their result by then.

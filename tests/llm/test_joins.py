@@ -169,6 +169,24 @@ def test_groups_of_several_members_are_paired_and_expanded(spark, monkeypatch, d
     assert sum(paired) > 0
 
 
+def test_shingle_join_broadcasts_no_table_and_takes_few_statements(spark):
+    """Each broadcast table takes some MB of the driver's memory, and each statement its plan."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = lambda: [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = max(e.executionId() for e in seen())
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    had = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30)) + f" x{i // 3}") for i in range(30)], "doc_id long, text string")
+    ngram_join(docs)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    own = [e.physicalPlanDescription() for e in seen() if e.executionId() > before]
+    assert 10 < len(own) < 35
+    assert not [p for p in own if "BroadcastExchange" in p]
+    assert spark.conf.get(name) == had
+
+
 def test_filter_grows_with_what_is_needed():
     from plantlens.llm import ngram_join as m
 

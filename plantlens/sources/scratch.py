@@ -10,8 +10,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: While a table is written: shuffle files of a statement go when it ends, not when the driver's JVM happens to collect garbage.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a table is written: shuffle files of a statement go when it ends, not when the driver's JVM happens to collect garbage; and Python is handed this much at once (the buffers of a batch double as they grow, outside the executor's heap).
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 #: For operators of very many small joins: each table that is broadcast takes some MB of the driver's memory and threads that stay for a minute, however few its rows.
 NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)

@@ -3,11 +3,13 @@
 import json
 import sys
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plantlens import __main__ as commands
 from plantlens.operators.lines import followed, numbered, running_max
-from plantlens.sources.scratch import saved, scratch, shared_dir
+from plantlens.sources.scratch import counted, saved, scratch, shared_dir
 
 
 class Running:
@@ -70,3 +72,16 @@ def test_scratch_tables_are_emptied(spark):
         kept = saved(spark.range(5), outer := shared_dir(spark) + "_kept")
     assert kept.count() == 5 and outer
     assert spark.read.schema("id long").parquet(inner.inputFiles()[0].rpartition("/")[0]).count() == 0
+
+
+def test_saved_tables_reach_python_in_small_batches_and_are_counted(spark):
+    """Texts of 20 kB: without a bound on bytes, all 1,000 are one batch."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    rows = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("0123456789"), 2000).alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name)
+    found, many = counted(rows.mapInArrow(sizes, "n long"))
+    got = [r.n for r in found.collect()]
+    assert many == len(got) >= 4 and sum(got) >= 20_000_000 and max(got) < 5_000_000
+    assert spark.conf.get(name) == had
+    assert counted(spark.range(5).where("id > 5"))[1] == 0

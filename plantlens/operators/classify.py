@@ -70,34 +70,45 @@ def by_registry(rows: DataFrame, column: str, names: Sequence[str]) -> tuple[Dat
     return rows.where(known), rows.where(~known)
 
 
-def with_first(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Adds is_first and first_hash: the first row of each seq decides it, unless it was ``seen`` (seq, seen_hash) before.
+def firsts(rows: DataFrame, seen: DataFrame | None, own: Sequence[str] = ()) -> DataFrame:
+    """The first row of each seq, saved: seq, ORDER, content_hash and its ``own`` columns, the seq's number of rows as n, and seen_hash if it was ``seen`` (seq, seen_hash) before.
 
-    A seq that is delivered again and again is summed up before anything is shuffled, and its rows are not brought together.
+    A seq that is delivered again and again is summed up before anything is shuffled.
     """
-    first = F.min(F.struct(*ORDER, "content_hash"))
-    found = rows.groupBy("seq").agg(first.alias("first"), F.count("*").alias("n"))
-    found = found.select("seq", F.col("first.line").alias("first_line"), F.col("first.content_hash").alias("first_hash"), "n")
-    if seen is not None:
-        found = found.join(seen, "seq", "left").select("seq", F.when(F.col("seen_hash").isNull(), F.col("first_line")).alias("first_line"), F.coalesce("seen_hash", "first_hash").alias("first_hash"), "n")
-    return joined(rows, saved(found), ["seq"], "n").withColumn("is_first", F.coalesce(F.col("line") == F.col("first_line"), F.lit(False))).drop("first_line")
+    # a row's line is its own, so nothing behind ORDER decides
+    found = rows.groupBy("seq").agg(F.min(F.struct(*ORDER, "content_hash", *own)).alias("first"), F.count("*").alias("n")).select("seq", "first.*", "n")
+    return saved(found.withColumn("seen_hash", F.lit(None).cast("string")) if seen is None else found.join(seen, "seq", "left"))
+
+
+def deciding(found: DataFrame) -> DataFrame:
+    """What rows of a seq are held against, from ``firsts``: seq, first_line, null if the seq was seen before, first_hash and n."""
+    return found.select("seq", F.when(F.col("seen_hash").isNull(), F.col("line")).alias("first_line"), F.coalesce("seen_hash", "content_hash").alias("first_hash"), "n")
+
+
+def with_first(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds is_first and first_hash: the first row of each seq decides it, unless it was ``seen`` (seq, seen_hash) before. Rows of a frequent seq are not brought together."""
+    rows = joined(rows, deciding(firsts(rows, seen)), ["seq"], "n")
+    return rows.withColumn("is_first", F.coalesce(F.col("line") == F.col("first_line"), F.lit(False))).drop("first_line")
 
 
 def decided(rows: DataFrame, policy: Policy, carry: Carry | None = None) -> DataFrame:
-    """What becomes of parsed rows of known tags, without their payloads: line, is_first, first_hash, mark_us, category, alarm_ok, last_phase and last_us."""
-    rows = rows.select(*ORDER, "seq", "tag", "msg_type", "ts_us", "content_hash", "alarm_code", "phase")
-    rows = with_first(rows, None if carry is None else carry.seen)
-    repeats = rows.where(~F.col("is_first")).select("line", "is_first", "first_hash", F.when(F.col("content_hash") == F.col("first_hash"), "duplicate").otherwise("seq_conflict").alias("category"))
-    fresh = running_max(rows.where("is_first"), "tag", ORDER[0], "ts_us", "mark_us", policy.stretch, ORDER[1:])
+    """What becomes of parsed rows of known tags, without their payloads: line, is_first, mark_us, category, alarm_ok, last_phase and last_us."""
+    found = firsts(rows, None if carry is None else carry.seen, ["tag", "msg_type", "ts_us", "alarm_code", "phase"])
+    # only rows of seqs that came more than once or before are read again
+    again = deciding(found.where((F.col("n") > 1) | F.col("seen_hash").isNotNull()))
+    repeats = joined(rows.select("seq", "line", "content_hash"), again, ["seq"], "n").where(~F.col("line").eqNullSafe(F.col("first_line")))
+    repeats = repeats.select("line", F.lit(False).alias("is_first"), F.when(F.col("content_hash") == F.col("first_hash"), "duplicate").otherwise("seq_conflict").alias("category"))
+    fresh = found.where("seen_hash is null").select(*ORDER, F.lit(True).alias("is_first"), "tag", "msg_type", "ts_us", "alarm_code", "phase")
+    fresh = running_max(fresh, "tag", ORDER[0], "ts_us", "mark_us", policy.stretch, ORDER[1:])
     if carry is not None:
         fresh = fresh.join(F.broadcast(carry.marks.withColumnRenamed("mark_us", "_carried")), "tag", "left").withColumn("mark_us", F.greatest("mark_us", "_carried")).drop("_carried")
     delay = F.col("mark_us") - F.col("ts_us")
     fresh = fresh.withColumn("category", F.when(F.col("mark_us").isNull() | (delay <= 0), "accepted").when(delay <= policy.grace_s * MICRO, "accepted_late").otherwise("out_of_order_rejected"))
     # three ways lead from here, so what has been found is written
-    fresh = saved(fresh.select(*ORDER, "first_hash", "is_first", "tag", "msg_type", "ts_us", "alarm_code", "phase", "mark_us", "category"))
+    fresh = saved(fresh.select(*ORDER, "is_first", "tag", "msg_type", "ts_us", "alarm_code", "phase", "mark_us", "category"))
     is_alarm = (F.col("msg_type") == "ALARM") & (F.col("category") != "out_of_order_rejected")
     verdicts = alarm_verdicts(fresh.where(is_alarm), None if carry is None else carry.alarms, ORDER, policy.stretch)
-    out = ["line", "is_first", "first_hash", "mark_us", "category"]
+    out = ["line", "is_first", "mark_us", "category"]
     alarms = fresh.where(is_alarm).select(*out).join(verdicts, "line")
     alarms = alarms.withColumn("category", F.when(~F.col("alarm_ok"), "alarm_out_of_order_rejected").otherwise(F.col("category")))
     return fresh.where(~is_alarm).select(*out).unionByName(repeats, allowMissingColumns=True).unionByName(alarms, allowMissingColumns=True)
@@ -141,8 +152,11 @@ def placed(messages: DataFrame) -> DataFrame:
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """Messages (arrival_id, raw_payload, maybe file and block) with their fields or the reason of refusal, written once for the branches that follow."""
-    return saved(placed(messages).withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "file", "block", "line", "p.*"))
+    """Messages (arrival_id, raw_payload, maybe file and block) with their fields or the reason of refusal, written once for the branches that follow.
+
+    Those of a batch may lie side by side in a few files, so they are spread over all tasks first.
+    """
+    return saved(placed(messages).repartition("line").withColumn("p", parsed("raw_payload")).select("arrival_id", "raw_payload", "file", "block", "line", "p.*"))
 
 
 def classify(messages: DataFrame, policy: Policy = Policy(), carry: Carry | None = None, ready: bool = False) -> DataFrame:

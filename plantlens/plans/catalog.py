@@ -415,9 +415,10 @@ def q_restarted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger written in batches, each by a new process that restores seqs, watermarks and alarms from what lies there."""
     m = saved(replayed(spark, sf_dir))
     first, last = m.agg(F.min("arrival_id"), F.max("arrival_id")).first()
-    batch, path = F.floor((F.col("arrival_id") - first) * RESTARTS / (last - first + 1)), shared_dir(spark)
+    # ranges, so that a batch skips what lies in others
+    begins, path = [first - (first - last - 1) * n // RESTARTS for n in range(RESTARTS + 1)], shared_dir(spark)
     for n in range(RESTARTS):
-        Ledger(spark, path, POLICY).append(m.where(batch == n), n)
+        Ledger(spark, path, POLICY).append(m.where((F.col("arrival_id") >= begins[n]) & (F.col("arrival_id") < begins[n + 1])), n)
     return Ledger(spark, path, POLICY).read().select("arrival_id", "category", F.when(F.col("category") != "bad_payload", F.col("seq")).alias("seq"))
 
 

@@ -153,6 +153,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.element_at(F.array(*(F.lit(text) for text, _ in BROKEN)), (F.floor(F.col("seq") / 11) % len(BROKEN) + 1).cast("int"))
     for sign, value in (("<seq>", number("seq")), ("<at>", F.col("at")), ("<tag>", F.col("machine"))):
         broken = F.replace(broken, F.lit(sign), value)
+    m, own = m.withColumn("own", own), F.col("own")
     copies = F.array(
         copy(F.col("log_id"), own),
         F.when(F.col("seq") % 50 == 0, copy(F.col("log_id") + 303, own)),
@@ -160,7 +161,8 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("seq") % 40 == 0, copy(F.col("log_id") + 7, F.substring(own, 1, 30))),
         F.when(F.col("seq") % 11 == 5, copy(F.col("log_id") + 9, broken)),
     )
-    return m.select(F.explode(F.array_compact(copies)).alias("c")).select("c.arrival_id", "c.raw_payload")
+    # what filters inside an array is not compiled, nor is all that it is given
+    return m.select(F.explode(copies).alias("c")).where("c is not null").select("c.arrival_id", "c.raw_payload")
 
 
 #: DuckDB: the same messages as view a, typed: bad for cut-off texts, h stands for the content.

@@ -233,3 +233,17 @@ def test_state_restored_after_a_restart(spark, tmp_path):
     later = [message(3, 800), message(1, 1200), alarm(4, 1260, "RAISE"), alarm(5, 1240, "CLEAR"), alarm(6, 1270, "CLEAR"), message(7, 1100)]
     Ledger(spark, str(tmp_path / "ledger")).append(frame(spark, later, 10), 1)
     assert categories(book.read())[2:] == ["out_of_order_rejected", "duplicate", "alarm_out_of_order_rejected", "alarm_out_of_order_rejected", "accepted", "accepted_late"]
+
+
+def test_messages_of_one_file_are_parsed_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from plantlens.operators.classify import parsed_messages
+    from plantlens.sources.scratch import settings
+
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        rows = parsed_messages(frame(spark, stream(3, 200)).coalesce(1))
+    tasks = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert len(tasks) > 2 and max(tasks) < 150 and sum(tasks) == 200
+    lines = [r.line for r in rows.orderBy("arrival_id").collect()]
+    assert lines == sorted(set(lines))
